@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, minhash, simhash, url_trie
+from newsloom.llm import decontaminate, licenses, minhash, simhash, url_trie
 from newsloom.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -52,3 +52,8 @@ def op1_minhash_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
