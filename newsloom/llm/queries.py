@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, licenses, minhash, simhash, url_trie
+from newsloom.llm import decontaminate, licenses, minhash, packing, simhash, url_trie
 from newsloom.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -57,3 +57,8 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @query()
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
