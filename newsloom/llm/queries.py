@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, licenses, minhash, packing, simhash, url_trie
+from newsloom.llm import decontaminate, licenses, minhash, packing, simhash, url_trie, warc
 from newsloom.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -62,3 +62,15 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+g AS (SELECT d, n, max(page_id) AS m FROM p GROUP BY d, n)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN p.n >= 1000 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN p.n >= 1000 AND page_id <> m THEN m END AS refers_to FROM p JOIN g USING (d, n)"""
+
+
+@query(WARC_SQL)
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
