@@ -191,6 +191,17 @@ def plan(histogram: dict[int, int], max_len: int = MAX_LEN, unit: int = UNIT) ->
             offset += n * copies
         sequences += times
 
+    lengths = sorted(left)
+
+    def topped(items: list[tuple[int, int]], times: int) -> list[tuple[int, int]]:
+        """items and what else fits times over: units are rounded up, so there is room that the program does not see."""
+        taken, free = dict(items), max_len - sum(n * k for n, k in items)
+        for n in reversed(lengths[: bisect.bisect_right(lengths, free)]):
+            if n <= free and (more := min(free // n, left[n] // times - taken.get(n, 0))) > 0:
+                taken[n] = taken.get(n, 0) + more
+                free -= more * n
+        return list(taken.items())
+
     for n in [n for n in left if n == max_len]:
         put([(n, 1)], left[n])
     room = max_len // unit
@@ -208,7 +219,7 @@ def plan(histogram: dict[int, int], max_len: int = MAX_LEN, unit: int = UNIT) ->
             sizes = np.nonzero(copies)[0]
             times = int(min(round(amount), min(sum(left[n] for n in by_size[s]) // copies[s] for s in sizes)))
             while times > 0:  # the lengths of a size are used up one after another
-                items, most = [], times
+                items, most, short = [], times, False
                 for s in sizes:
                     need = int(copies[s])
                     for n in by_size[s]:
@@ -219,6 +230,11 @@ def plan(histogram: dict[int, int], max_len: int = MAX_LEN, unit: int = UNIT) ->
                             need -= take
                         if not need:
                             break
+                    short = short or need > 0
+                if short:
+                    break
+                items = topped(items, max(1, most * 4 // 5))
+                most = min(most, *(left[n] // k for n, k in items))
                 put(items, most)
                 times -= most
         if sum(left.values()) > 0.98 * before:
