@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, licenses, minhash, packing, simhash, url_trie, warc
+from newsloom.llm import chunk_dedup, decontaminate, licenses, minhash, packing, simhash, url_trie, warc
 from newsloom.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -74,3 +74,8 @@ SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN p.n >= 1000
 @query(WARC_SQL)
 def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.report(table(spark, sf_dir, "documents"))
