@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chunk_dedup, decontaminate, licenses, minhash, packing, quality, simhash, url_trie, warc
+from newsloom.llm import chunk_dedup, decontaminate, licenses, minhash, packing, quality, simhash, url_trie, warc, wrappers
 from newsloom.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -84,3 +84,8 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
