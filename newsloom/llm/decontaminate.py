@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import NOT_WORD, cut, let, lower_words, row_key, words_of
+from newsloom.llm.common import ANY_WORD, NOT_WORD, cut, let, lower_words, row_key, words_of
 
 WINDOW, BLOCK_WINDOWS = 10, 40_000
 #: Stands for the hash of "this document exists"; it meets a row of its own among the windows.
@@ -126,7 +126,7 @@ def without_spans(text: Column, spans: Column) -> Column:
             parts = F.transform(w, lambda x, i: F.when(F.exists(spans, lambda z: (i >= z["start"]) & (i < z["stop"])), "").otherwise(F.concat(F.get(s, i), x)))
             return F.concat(F.array_join(parts, ""), F.coalesce(F.get(s, F.size(w)), F.lit("")))
 
-        gaps = F.split(text, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+        gaps = F.split(text, ANY_WORD)
         return let(gaps, of)
 
     return let(words_of(text, NOT_WORD), rebuilt)

@@ -43,7 +43,7 @@ def test_against_every_window_tried(spark):
 
 def test_short_items_repeats_nulls_and_blocks(spark):
     items = [(1, "one two"), (10, "One, TWO!"), (2, " ".join("abcdefghijkl")), (3, None), (4, "..."), (5, "É x"), (None, "q r")]
-    rows = [(1, "one two one two-one", 0), (1, "one two one two-one", 1), (2, "z " + " ".join("abcdefghijklm") + " z", 2), (3, None, 3), (4, "", 4), (None, "É x é x", 5), (6, "q r", 6), (7, "one " * 5000 + "two", 7)]
+    rows = [(1, "one two one two-one", 0), (1, "one two one two-one", 1), (2, "z " + " ".join("abcdefghijklm") + " z", 2), (3, None, 3), (4, "", 4), (None, "É x é x", 5), (6, "q r", 6), (7, "one " * 5000 + "two", 7), (8, "AB Cd ONE two eF, G One Two.", 8)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = spark.createDataFrame(rows, "doc_id long, text string, found long")
     want = brute([r[:2] for r in rows], [i for i in items if i[0]])
@@ -55,6 +55,7 @@ def test_short_items_repeats_nulls_and_blocks(spark):
     assert d.report(docs.limit(0), bench).count() == 0
     kept = {(r.doc_id, r.found): r.text for r in d.remove(docs, bench).collect()}
     assert kept[2, 2] == "z m z" and kept[1, 0] == kept[1, 1] == "-one" and kept[3, 3] is None and kept[None, 5] == " é x" and kept[6, 6] == ""
+    assert kept[8, 8] == "AB Cd eF, G."
     assert sorted(r.found for r in d.remove(docs, bench, whole_documents=True).collect()) == [3, 4]
 
 
