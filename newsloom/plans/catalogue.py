@@ -20,3 +20,6 @@ def query(sql: str | None = None):
         return f
 
     return add
+
+
+from newsloom.plans import table_queries, text_queries  # noqa: E402, F401  they register themselves
