@@ -184,15 +184,15 @@ def near(text: Column, left: list[str], right: list[str], reach: int = 90) -> Co
 
 def repaired(text: Column) -> Column:
     """Text whose UTF-8 was read as Latin-1, put right; other text as it is; typographic quotes become plain ones."""
-    fits = F.coalesce(text, F.lit("")).rlike("^[\u0000-ÿ]*[Â-ô][\u0080-¿][\u0000-ÿ]*$")
+    fits = F.coalesce(text, F.lit("")).rlike(r"\A[\x00-\xFF]*[\xC2-\xF4][\x80-\xBF][\x00-\xFF]*\z")
     bytes_ = F.encode(text, "ISO-8859-1")
     fixed = F.when(fits, F.decode(bytes_, "UTF-8")).otherwise(text)
     return F.translate(F.coalesce(fixed, text), "‘’“”", "''\"\"")
 
 
 def json_object(text: Column, schema: str) -> Column:
-    """The JSON object that is the text, or that stands in it."""
-    return F.coalesce(F.from_json(text, schema, {"mode": "PERMISSIVE"}), F.from_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1), schema))
+    """The JSON object that stands in the text, from its first brace to its last; null where there is none."""
+    return F.from_json(F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit("")), schema)
 
 
 def clamp(text: Column, least: float, most: float) -> Column:
