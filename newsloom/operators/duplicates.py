@@ -37,14 +37,14 @@ def near_pairs(df: DataFrame, row: str, text: Column, least: float = 0.75, k: in
     their first n - ceil(least * n) + 1, so only those are joined. A pair's candidates are then counted in full.
     Equal texts are to be folded by the caller.
     """
-    own = cut(shingles(df, row, text, k).select(row, F.xxhash64("shingle").alias("s")))
-    sizes = own.groupBy(row).agg(F.count("*").alias("n"))
-    sets = own.join(own.groupBy("s").agg(F.count("*").alias("df")), "s").groupBy(row).agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("set"))
-    prefix = sets.select(row, F.explode(F.slice("set", 1, (F.size("set") - F.ceil(F.lit(least) * F.size("set")) + 1).cast("int"))).alias("p")).select(row, F.col("p.s").alias("s"), F.col("p.df").alias("df")).where("df > 1").join(sizes, row)
-    left, right = prefix.select(F.col(row).alias("a"), "s", F.col("n").alias("na")), prefix.select(F.col(row).alias("b"), "s", F.col("n").alias("nb"))
-    candidates = left.join(right, "s").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("a", "b").distinct()
-    full = sets.select(row, F.transform("set", lambda x: x["s"]).alias("set"))
-    met = candidates.join(full.withColumnsRenamed({row: "a", "set": "x"}), "a").join(full.withColumnsRenamed({row: "b", "set": "y"}), "b")
+    own = cut(shingles(df.select(F.col(row).alias("_r"), text.alias("_t")), "_r", F.col("_t"), k).select("_r", F.xxhash64("shingle").alias("_s")))
+    sizes = own.groupBy("_r").agg(F.count("*").alias("_n"))
+    sets = own.join(own.groupBy("_s").agg(F.count("*").alias("_df")), "_s").groupBy("_r").agg(F.sort_array(F.collect_list(F.struct("_df", "_s"))).alias("set"))
+    prefix = sets.select("_r", F.explode(F.slice("set", 1, (F.size("set") - F.ceil(F.lit(least) * F.size("set") - 1e-9) + 1).cast("int"))).alias("p")).select("_r", "p._s", "p._df").where("_df > 1").join(sizes, "_r")
+    left, right = prefix.select(F.col("_r").alias("a"), "_s", F.col("_n").alias("na")), prefix.select(F.col("_r").alias("b"), "_s", F.col("_n").alias("nb"))
+    candidates = left.join(right, "_s").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
+    full = sets.select(F.col("_r").alias("r"), F.transform("set", lambda x: x["_s"]).alias("set"))
+    met = candidates.join(full.withColumnsRenamed({"r": "a", "set": "x"}), "a").join(full.withColumnsRenamed({"r": "b", "set": "y"}), "b")
     return met.select("a", "b", T.jaccard(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= least)
 
 

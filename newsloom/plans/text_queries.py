@@ -317,3 +317,44 @@ def url_seen_antijoin(spark, sf_dir):
 def label_crosstab(spark, sf_dir):
     """AGG-13 in long form."""
     return scored(spark, sf_dir).groupBy("source", "quality").agg(F.count("*").alias("n"))
+
+
+@query("WITH l AS (SELECT doc_id, lower(left(text, 60) || ' ' || text) AS t FROM documents WHERE lang = 'en') SELECT doc_id, CASE WHEN contains(t, 'xyz') OR contains(t, 'which') THEN 0.0 ELSE round(((contains(t, 'thing') OR contains(t, 'with'))::INT + contains(t, 'eran')::INT + contains(t, 'for')::INT) / 3, 6) END AS score FROM l")
+def substring_score(spark, sf_dir):
+    """TXT-13, TXT-14, FLT-05."""
+    from newsloom.operators.rounds import substring_score as score
+
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.round(score(F.left(t, F.lit(60)), t, ["thing and with", "eran", "for"], ["xyz", "which"]), 6).alias("score"))
+
+
+@query("SELECT page_id FROM pages WHERE NOT regexp_matches(lower(url), '(?:/es/)|(?:page=2)') AND NOT contains(lower(url), '#top') AND (length(regexp_extract(html, '<title>([^<]*)</title>', 1)) <= 15 OR regexp_matches(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), 'th|en'))")
+def url_prefilter(spark, sf_dir):
+    """FLT-03, FLT-06."""
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    p = table(spark, sf_dir, "pages").select("page_id", "url", title.alias("title"))
+    return p.where(relevance.url_looks_relevant(F.col("url"), F.lit(""), ["/es/", "page=2"], ["#top"], []) & ((F.length("title") <= 15) | F.lower("title").rlike("th|en"))).select("page_id")
+
+
+@query()
+def html_fields(spark, sf_dir):
+    """HTM-01..HTM-05: the standard parser's fields; tested on pages by hand."""
+    from newsloom.operators import html
+
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "fields.title", "fields.canonical_url", "published_day", "extraction_status")
+
+
+@query()
+def bench_classifiers(spark, sf_dir):
+    """ML-01..ML-13: out-of-fold metrics of two models over texts and one over vectors."""
+    from newsloom.operators import models
+
+    docs = models.checked(scored(spark, sf_dir).select("doc_id", "quality").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "text", "quality")
+    vecs = models.vectors(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), (F.col("label") % 2).alias("quality"), "embedding"), "embedding")
+    runs = [("logreg", "text", docs, models.text_features("text")), ("linsvm", "text", docs, models.text_features("text")), ("logreg", "vector", vecs, models.scaled())]
+    out = None
+    for kind, shape, rows, features in runs:
+        got = models.cross_validated(rows, "doc_id", "quality", features, kind, k=3)
+        got = metrics.confusion(got, F.col("quality"), (F.col("probability") >= 0.5).cast("int")).select(F.lit(kind).alias("model"), F.lit(shape).alias("representation"), "*")
+        out = got if out is None else out.unionByName(got)
+    return out

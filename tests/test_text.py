@@ -52,7 +52,7 @@ def test_scalars(spark):
     assert one(spark, T.json_object(F.col("x"), "a int"), x='text {"a": 3} more')["a"] == 3
     assert one(spark, T.any_date(F.col("x"), ["yyyy-MM-dd", "dd/MM/yyyy"]), x="05/03/2024").isoformat() == "2024-03-05"
     assert one(spark, T.repaired(F.col("x")), x="cafÃ© x") == "café x" and one(spark, T.repaired(F.col("x")), x="‘x’") == "'x'" and one(spark, T.repaired(F.col("x")), x="café") == "café"
-    assert one(spark, T.excerpt(F.col("x"), 8), x="one two three") == "one..." and one(spark, T.excerpt(F.col("x"), 80), x="one two") == "one two"
+    assert one(spark, T.excerpt(F.col("x"), 6), x="one two three") == "one..." and one(spark, T.excerpt(F.col("x"), 80), x="one two") == "one two"
     assert one(spark, T.or_group(F.array(F.lit("oil"), F.lit("palm oil")), "title"), x=1) == '(title:oil OR title:"palm oil")'
 
 
