@@ -58,7 +58,7 @@ def read_landed(spark: SparkSession, path: str, connector: str) -> DataFrame:
     has = set(raw.columns)
     pick = lambda *names: F.coalesce(*(F.col(n) for n in names if n in has), F.lit(None).cast("string"))
     url, date = pick("url", "link"), pick("published_date", "publish_date", "seendate", "pubDate")
-    day = T.any_date(date, ["yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyyMMdd'T'HHmmssX", "EEE, dd MMM yyyy HH:mm:ss zzz"])
+    day = T.any_date(F.regexp_replace(date, "^[A-Za-z]{3}, ", ""), ["yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyyMMdd'T'HHmmssX", "dd MMM yyyy HH:mm:ss z", "dd MMM yyyy HH:mm:ss xx"])
     return raw.select(url.alias("url"), F.lit(connector).alias("discovery_method"), F.left(F.concat_ws(" ", pick("title"), pick("snippet", "description")), F.lit(500)).alias("title_snippet"), pick("source", "media_name").alias("source"), T.domain(url).alias("domain"), day.cast("string").alias("published_date"), F.lit("pending").alias("status"))
 
 

@@ -10,7 +10,7 @@ LATE = "10 minutes"
 
 
 def timed(events: DataFrame) -> DataFrame:
-    return events.withWatermark("ts", LATE) if events.isStreaming else events
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE) if events.isStreaming else events
 
 
 def tumbling(events: DataFrame, width: str) -> DataFrame:
