@@ -34,19 +34,36 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
     return sweep.orderBy(F.desc("f1"), "threshold").limit(1)
 
 
+#: Slices of the score axis; sums over all slices before one are a table of this size.
+SLICES = 4096
+
+
+def running(held: DataFrame, columns: list[str], descending: bool) -> DataFrame:
+    """held (s, columns) with before_<column>: its sum over all rows with a smaller s (a larger one, if descending).
+
+    Sums over whole slices of the axis come from a small table, so no task holds more than a slice."""
+    slice_ = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("s"))) * SLICES)
+    cut = held.withColumn("_b", slice_)
+    key = F.desc if descending else F.asc
+    totals = cut.groupBy("_b").agg(*(F.sum(c).alias(c) for c in columns))
+    whole = Window.orderBy(key("_b")).rowsBetween(Window.unboundedPreceding, -1)  # SLICES + 1 rows
+    before = totals.select(F.col("_b"), *(F.coalesce(F.sum(c).over(whole), F.lit(0)).alias(f"_{c}") for c in columns))
+    own = Window.partitionBy("_b").orderBy(key("s")).rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.join(F.broadcast(before), "_b")
+    return out.select(*held.columns, *((F.col(f"_{c}") + F.coalesce(F.sum(c).over(own), F.lit(0))).alias(f"before_{c}") for c in columns))
+
+
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """The rank-sum formula with average ranks for ties; distinct scores only are put in order."""
+    """The rank-sum formula with average ranks for ties."""
     held = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    below = held.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    total = below.agg(F.sum(F.col("p") * (F.col("before") + F.col("n") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    total = running(held, ["n"], False).agg(F.sum(F.col("p") * (F.col("before_n") + F.col("n") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return total.select(F.round(F.try_divide(F.col("u"), F.col("p") * F.col("n")), 6).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     """Sum over distinct scores, from the top, of the gain in recall times the precision."""
     held = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("s"))
-    run = held.select("p", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("k"))
+    run = running(held, ["p", "n"], True).select("p", (F.col("before_p") + F.col("p")).alias("tp"), (F.col("before_n") + F.col("n")).alias("k"))
     return run.agg(F.round(F.try_divide(F.sum(F.col("p") * F.col("tp") / F.col("k")), F.sum("p")), 6).alias("average_precision"))
 
 

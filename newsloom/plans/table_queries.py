@@ -137,7 +137,8 @@ def category_percent(spark, sf_dir):
     """AGG-08, AGG-14, AGG-18."""
     d = table(spark, sf_dir, "documents").select(F.when(F.col("n_chars") < 500, "short").when(F.col("lang") == "en", "english").otherwise("other").alias("category"))
     g = d.groupBy("category").agg(F.count("*").alias("n"))
-    return g.join(F.broadcast(d.agg(F.count("*").alias("total")))).select("category", "n", F.round(100 * F.col("n") / F.col("total"), 4).alias("percent"))
+    total = F.sum("n").over(Window.partitionBy())  # a row for each category
+    return g.select("category", "n", F.round(100 * F.col("n") / total, 4).alias("percent"))
 
 
 @query("SELECT coalesce(lang, 'all') AS lang, coalesce(source, 'all') AS source, count(*) AS n FROM documents GROUP BY ROLLUP (lang, source)")
@@ -212,8 +213,9 @@ def set_operations(spark, sf_dir):
     """SET-01..SET-04."""
     ls = table(spark, sf_dir, "labels")
     a, b = ls.where("quality = 1").select("doc_id"), ls.where("toxic = 1").select("doc_id")
-    counts = [x.agg(F.count("*").alias(n)) for x, n in ((a.union(b).distinct(), "either"), (a.intersect(b), "both"), (a.exceptAll(b).distinct(), "only_first"))]
-    return counts[0].join(counts[1]).join(counts[2])  # one row each
+    sets = ((a.union(b).distinct(), "either"), (a.intersect(b), "both"), (a.exceptAll(b).distinct(), "only_first"))
+    each = [x.select(F.lit(n).alias("name")) for x, n in sets]
+    return each[0].union(each[1]).union(each[2]).groupBy().pivot("name", ["either", "both", "only_first"]).count().na.fill(0)
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
