@@ -107,9 +107,3 @@ def fallback_join(df: DataFrame, table: DataFrame, steps: list[tuple[Column, Col
     names = [f"_v{k}" for k in range(len(steps))]
     return out.withColumn(value, F.coalesce(*names)).drop(*names)
 
-
-def ordered_product(*lists: list[str]) -> str:
-    """SQL for the product of several lists of literals in lexicographic order of places: columns a0, a1, ..., n."""
-    parts = [f"(SELECT posexplode(array({', '.join(repr(x) for x in xs)})) AS (p{k}, a{k}))" for k, xs in enumerate(lists)]
-    order = ", ".join(f"p{k}" for k in range(len(lists)))
-    return f"SELECT {', '.join(f'a{k}' for k in range(len(lists)))}, row_number() OVER (ORDER BY {order}) AS n FROM {' CROSS JOIN '.join(parts)}"
