@@ -21,13 +21,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import let, lower_words
+from newsloom.llm.common import cut, let, lower_words
 
 #: Labelled rows that the document model is fitted on, at most; words of the lexicon, at most; the score and the number
 #: of distinct texts from which a word, or a beginning of words, counts as toxic; ridge; odds of rejection.
 SAMPLE, WORDS, LEAST_Z, LEAST_TEXTS, RIDGE, CUT = 12_000, 2048, 3.0, 4, 1e-3, 0.5
 #: Lengths, in characters, of the beginnings of words that are looked at, too: inflected and compound words.
 STARTS = (4, 5, 6, 7, 8)
+#: Sites (a host and a path, and four rates) that are broadcast at most: some 20 MB.
+FEW_SITES = 100_000
 #: Bounds for a prior's strength, in labels.
 WEAK, STRONG = 2.0, 1000.0
 
@@ -179,6 +181,10 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, host: str =
                 out[kind] = np.zeros(len(part)) if w is None or x is None else np.clip(x @ w[:-1] + w[-1], -30, 30)
             yield pd.DataFrame(out)
 
+    # A join by host would bring a hot host's rows together, so sites are broadcast while they are few; a checkpoint
+    # leaves a plain join, which Spark splits where it is skewed, for more.
+    sites = cut(sites)
+    sites = F.broadcast(sites) if sites.count() <= FEW_SITES else sites
     sites = sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), *(F.col(f"path_{k}").alias(f"_{k}") for k in ("quality", "toxic")))
     found = docs.withColumn("_own", evidence("text")).join(sites, (F.coalesce(F.col(host), F.lit("")) == F.col("_host")) & (F.coalesce(F.col(path), F.lit("")) == F.col("_path")), "left")
 
