@@ -186,7 +186,8 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, host: str =
     sites = cut(sites)
     sites = F.broadcast(sites) if sites.count() <= FEW_SITES else sites
     sites = sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), *(F.col(f"path_{k}").alias(f"_{k}") for k in ("quality", "toxic")))
-    found = docs.withColumn("_own", evidence("text")).join(sites, (F.coalesce(F.col(host), F.lit("")) == F.col("_host")) & (F.coalesce(F.col(path), F.lit("")) == F.col("_path")), "left")
+    # Not deterministic: else a filter on the result is split and each part evaluates the function again.
+    found = docs.withColumn("_own", evidence.asNondeterministic()("text")).join(sites, (F.coalesce(F.col(host), F.lit("")) == F.col("_host")) & (F.coalesce(F.col(path), F.lit("")) == F.col("_path")), "left")
 
     def chance(kind: str) -> Column:
         site = F.coalesce(logit(F.col(f"_{kind}")) - logit(F.lit(rates[kind])), F.lit(0.0))
