@@ -211,7 +211,7 @@ W = PROFILE
 @query(f"""WITH p AS (SELECT doc_id, text, {P} AS p FROM documents WHERE lang = 'en'),
 n AS (SELECT doc_id, contains(lower(text), '###') AS rej, {COUNT('p', W.product)} AS a, {COUNT('p', W.adulteration)} AS b, {COUNT('p', W.action)} AS c, contains(p, ' of ') AS pl, contains(p, ' are ') AS ind FROM p),
 s AS (SELECT *, round(least(1.0, least(a * 0.25, 0.30) + least(b * 0.20, 0.25) + least(c * 0.15, 0.20) + least(0.10 + CASE WHEN pl THEN 0.05 ELSE 0 END, 0.15)), 4) AS t FROM n)
-SELECT doc_id, round(CASE WHEN rej OR NOT ind OR a = 0 THEN 0.0 WHEN b + c = 0 THEN 0.05 ELSE t END, 4) AS score, CASE WHEN rej OR NOT ind OR a = 0 OR b + c = 0 OR t < 0.25 THEN 'irrelevant' WHEN t >= 0.55 THEN 'relevant' ELSE 'maybe_relevant' END AS label FROM s""")
+SELECT doc_id, round(CASE WHEN rej OR NOT ind OR a = 0 THEN 0.0 WHEN b + c = 0 THEN 0.05 ELSE t END::DOUBLE, 4) AS score, CASE WHEN rej OR NOT ind OR a = 0 OR b + c = 0 OR t < 0.25 THEN 'irrelevant' WHEN t >= 0.55 THEN 'relevant' ELSE 'maybe_relevant' END AS label FROM s""")
 def lexicon_score(spark, sf_dir):
     """TXT-05, TXT-06."""
     docs = table(spark, sf_dir, "documents").where("lang = 'en'")
@@ -226,7 +226,7 @@ NEAR = "regexp_matches(lower(t), '(thing|that).{{0,90}}(with|from)|(with|from).{
 @query(f"""WITH c AS (SELECT doc_id, {CLEAN} AS t FROM documents WHERE lang = 'en'), p AS (SELECT doc_id, t, {PAD.format('t')} AS p FROM c),
 n AS (SELECT doc_id, t, {HAS('p', W.product)} AS a, {HAS('p', W.adulteration + W.action)} AS b, {HAS('p', W.non_food)} AS nf, {HAS('p', W.business)} AS bu, {HAS('p', W.out_of_scope)} AS oo FROM p)
 SELECT doc_id, CASE WHEN nf AND NOT a THEN 'irrelevant' WHEN contains(lower(t), 'is the of') THEN 'irrelevant' WHEN oo AND NOT a THEN 'irrelevant' WHEN bu AND NOT b THEN 'irrelevant' WHEN contains(lower(t), 'the that') THEN 'relevant' WHEN a AND b THEN 'manual_review' ELSE 'irrelevant' END AS label,
- CASE WHEN nf AND NOT a THEN 0.95 WHEN contains(lower(t), 'is the of') THEN 0.90 WHEN oo AND NOT a THEN 0.85 WHEN bu AND NOT b THEN 0.85 WHEN contains(lower(t), 'the that') THEN 0.94 WHEN a AND b AND {NEAR} THEN 0.74 WHEN a AND b THEN 0.55 WHEN a OR b THEN 0.70 ELSE 0.80 END AS confidence FROM n""")
+ CASE WHEN nf AND NOT a THEN 0.95 WHEN contains(lower(t), 'is the of') THEN 0.90 WHEN oo AND NOT a THEN 0.85 WHEN bu AND NOT b THEN 0.85 WHEN contains(lower(t), 'the that') THEN 0.94 WHEN a AND b AND {NEAR} THEN 0.74 WHEN a AND b THEN 0.55 WHEN a OR b THEN 0.70 ELSE 0.80 END::DOUBLE AS confidence FROM n""")
 def cascade_label(spark, sf_dir):
     """TXT-07, TXT-18."""
     docs = table(spark, sf_dir, "documents").where("lang = 'en'")
