@@ -165,7 +165,12 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     Rows with a null doc_id cannot be named and stay.
     """
-    groups = cut(near_duplicates(docs, max_bits))
+    return one_of_each(docs, near_duplicates(docs, max_bits))
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is that of their component, once; groups is (doc_id, component_id, ...)."""
+    groups = cut(groups)
     kept = groups.where("doc_id = component_id")
     out = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
     if kept.groupBy("doc_id").count().where("count > 1").limit(1).count():
