@@ -133,6 +133,14 @@ def shingle_jaccard_pairs(spark, sf_dir):
     return duplicates.near_pairs(docs, "doc_id", F.col("text"), 0.75).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+@query()
+def shingle_jaccard_pairs_all(spark, sf_dir):
+    """DD-06, DD-07, JN-15 over all documents; copies are told of their text's first row. Too many shingles for a SQL
+    twin: tested against brute force."""
+    found = duplicates.near_pairs_folded(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), 0.75)
+    return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 @query()
 def leader_dedup(spark, sf_dir):
     """DD-08..DD-11: layers of URL, title and text over all documents; tested against a sequential scan."""
