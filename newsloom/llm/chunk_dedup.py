@@ -1,10 +1,11 @@
-"""Substring dedup by content-defined chunks.
-
-A gear rolling hash runs over the hashes of a text's words; a chunk ends after each word where some bits of it are
-small. As only the last few words reach these bits, chunks fall in step again right after an insertion, and a passage
-is cut alike wherever it stands. A digest covers three chunks in a row, so that short chunks of common words do not
-repeat by chance. The first document of a digest is found by a pre-aggregated minimum; a document loses each stretch
-of at least min_words words whose digests all have an earlier document.
+"""Substring dedup by anchors, verified run by run.
+
+A run is RUN words in a row; a stretch is repeated where all its runs have an earlier document, so its length is known to
+the word. To look at all runs of a corpus would cost a row for each word. Each run has an anchor instead: the smallest
+hash of the ANCHOR-word runs within it. Equal runs have equal anchors, and neighbours mostly share theirs, so there are
+about two for each RUN - ANCHOR + 2 words. Only runs whose anchor stands in several documents are then looked at
+themselves. The first document of an anchor or run is found by a pre-aggregated minimum; a document loses each stretch
+of at least min_words words whose runs all have an earlier document.
 """
 
 from __future__ import annotations
@@ -20,56 +21,42 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.common import cut
 
-#: Words of the gear window; of the values 0..15 of its upper bits those under CUTS end a chunk (3: every 5.3 words);
-#: words after which a chunk ends anyhow; chunks of a digest; words of the shortest stretch that is taken out.
-WINDOW, CUTS, LONGEST, TOGETHER, MIN_WORDS = 6, 3, 64, 3, 16
+#: Words of an anchor and of a run; words of the shortest stretch that is taken out.
+ANCHOR, RUN, MIN_WORDS = 5, 16, 16
 #: Sorts after all ids: rows without an id.
 LAST = (1 << 63) - 1
-#: Odd multipliers, by a rule: powers of the golden ratio's 64-bit fraction.
+#: An odd multiplier: the golden ratio's 64-bit fraction.
 GOLDEN = 0x9E3779B97F4A7C15
 
 
-def chunks(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Where each chunk ends (words from 0, exclusive), and for each chunk its 64-bit digest."""
-    own = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), dtype=np.uint64, count=len(words))
-    gear = own.copy()
-    for k in range(1, min(WINDOW, len(own))):
-        gear[k:] += own[:-k] << np.uint64(k)
-    ends = np.nonzero(((gear >> np.uint64(WINDOW - 4)) & np.uint64(15)) < CUTS)[0] + 1
-    if not len(ends) or ends[-1] != len(own):
-        ends = np.append(ends, len(own))
-    gaps = np.diff(ends, prepend=0)
-    if (gaps > LONGEST).any():
-        ends = np.unique(np.concatenate([ends, *(np.arange(e - g + LONGEST, e, LONGEST) for e, g in zip(ends[gaps > LONGEST], gaps[gaps > LONGEST], strict=True))]))
-        gaps = np.diff(ends, prepend=0)
-    powers = np.cumprod(np.full(LONGEST, GOLDEN, dtype=np.uint64))
-    digests = np.add.reduceat(own * powers[np.arange(len(own)) - np.repeat(ends - gaps, gaps)], ends - gaps) + gaps.astype(np.uint64)
-    digests ^= digests >> np.uint64(32)
-    return ends, digests * np.uint64(GOLDEN)
-
-
 def runs(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Chunk ends as in chunks(), and the digest of each TOGETHER chunks in a row (of all, where there are fewer)."""
-    if not words:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    ends, own = chunks(words)
-    n = max(1, len(own) - TOGETHER + 1)
-    out = np.zeros(n, dtype=np.uint64)
-    for k in range(min(TOGETHER, len(own))):
-        out = (out ^ (out >> np.uint64(29))) * np.uint64(GOLDEN) + own[k : k + n]
-    return ends, out
+    """For each word that RUN words begin with, the anchor and the 64-bit digest of these."""
+    if len(words) < RUN:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+    own = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), dtype=np.uint64, count=len(words))
+    some = np.zeros(len(own) - ANCHOR + 1, dtype=np.uint64)
+    for k in range(ANCHOR):
+        some = (some ^ (some >> np.uint64(29))) * np.uint64(GOLDEN) + own[k : k + len(some)]
+    some = (some ^ (some >> np.uint64(32))) * np.uint64(GOLDEN)
+    n = len(own) - RUN + 1
+    anchors = some[:n].copy()
+    for k in range(1, RUN - ANCHOR + 1):
+        np.minimum(anchors, some[k : k + n], out=anchors)
+    whole = np.zeros(n, dtype=np.uint64)
+    for k in sorted({*range(0, RUN - ANCHOR, ANCHOR), RUN - ANCHOR}):
+        whole = (whole ^ (whole >> np.uint64(29))) * np.uint64(GOLDEN) + some[k : k + n]
+    return anchors, (whole ^ (whole >> np.uint64(32))) * np.uint64(GOLDEN)
 
 
 def repeated_spans(words: list[str], known: set[int], min_words: int) -> list[tuple[int, int]]:
-    """Stretches of words whose digests are all in known, of min_words at least."""
-    ends, digests = runs(words)
+    """Stretches of words whose runs are all in known, of min_words at least."""
+    digests = runs(words)[1].view("int64")
     spans: list[list[int]] = []
-    for k in [k for k, d in enumerate(digests.view("int64").tolist()) if d in known]:
-        start, stop = int(ends[k - 1]) if k else 0, int(ends[min(k + TOGETHER, len(ends)) - 1])
+    for start in np.nonzero(np.isin(digests, np.fromiter(known, dtype=np.int64, count=len(known))))[0].tolist():
         if spans and spans[-1][1] >= start:
-            spans[-1][1] = max(stop, spans[-1][1])
+            spans[-1][1] = start + RUN
         else:
-            spans.append([start, stop])
+            spans.append([start, start + RUN])
     return [(a, b) for a, b in spans if b - a >= min_words]
 
 
@@ -84,6 +71,12 @@ def without(text: str, known: set[int], min_words: int) -> tuple[str, list[tuple
     return "".join(kept) + text[last:], spans
 
 
+def _first_of(held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, ds) -> each (doc, digest), and (digest, first) of the digests that several documents have."""
+    each = held.select("doc", F.explode("ds").alias("digest"))
+    return each, each.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("digest", "first")
+
+
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with a struct column repeated: text (what stays), spans (word stretches taken out, start and stop) and
     n_removed (their words). A null text stays null.
@@ -94,9 +87,18 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
 
     @F.pandas_udf("array<long>")
-    def digests(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def anchors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield pd.Series([np.unique(runs((t or "").split())[1]).view("int64") for t in part], dtype=object)
+            yield pd.Series([np.unique(runs((t or "").split())[0]).view("int64") for t in part], dtype=object)
+
+    @F.pandas_udf("array<long>")
+    def digests(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, sets in parts:
+            found = []
+            for t, shared in zip(texts, sets, strict=True):
+                own, ds = runs((t or "").split())
+                found.append(np.unique(ds[np.isin(own.view("int64"), shared)]).view("int64"))
+            yield pd.Series(found, dtype=object)
 
     @F.pandas_udf("text string, spans array<struct<start:int,stop:int>>, n_removed int")
     def rest(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -105,9 +107,11 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield pd.DataFrame({"text": [r[0] for r in rows], "spans": [[{"start": a, "stop": b} for a, b in r[1]] for r in rows], "n_removed": [sum(b - a for a, b in r[1]) for r in rows]})
 
     order = F.coalesce(F.col("doc_id"), F.lit(LAST))
-    held = cut(docs.select(order.alias("doc"), digests("text").alias("ds")))
-    each = held.select("doc", F.explode("ds").alias("digest"))
-    first = each.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("digest", "first")
+    held = cut(docs.select(order.alias("doc"), anchors("text").alias("ds")))
+    each, first = _first_of(held)
+    shared = each.join(first, "digest").groupBy("doc").agg(F.collect_set("digest").alias("shared"))
+    held = cut(docs.select(order.alias("doc"), "text").where(F.length("text") > 0).join(shared, "doc").select("doc", digests("text", "shared").alias("ds")))
+    each, first = _first_of(held)
     known = each.join(first, "digest").where("first < doc").groupBy("doc").agg(F.collect_set("digest").alias("_known"))
     met = docs.withColumn("_doc", order).join(known.withColumnRenamed("doc", "_doc"), "_doc", "left")
     # Only texts with something repeated go to Python.

@@ -63,3 +63,32 @@ def test_edges(spark):
     kept = dict(got)
     assert kept[2].startswith("x\n") and kept[2].endswith("y") and len(kept[2]) < len(long) and kept[7] == "the " * 20_000 and kept[8] == "" and kept[3] is None and kept[5] == " \n"
     assert c.report(docs.limit(0)).count() == 0
+
+
+def test_every_passage_of_51_words_goes_to_the_word(spark):
+    """Also shorter ones down to a run; of 15 words none."""
+    rng = random.Random(51)
+    rows, want = [], {}
+    for k in range(400):
+        n = (51, 51, 51, 27, 16, 15)[k % 6]
+        passage, a, b, c_, d = words(rng, n), *(words(rng, 30) for _ in range(4))
+        rows += [(k, " ".join(["x1", *a, f"p{k}", *passage, f"q{k}", *b])), (1000 + k, " ".join([*c_, f"r{k}", *passage, f"s{k}", *d]))]
+        want[k] = rows[-2][1]
+        want[1000 + k] = rows[-1][1] if n < 16 else " ".join([*c_, f"r{k}", f"s{k}", *d])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in c.report(docs).collect()} == want
+
+
+def test_stretches_are_those_of_all_word_runs(spark):
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    seen: dict[tuple, int] = {}
+    for doc, text in rows:
+        w = text.split()
+        for k in range(len(w) - 15):
+            seen[tuple(w[k : k + 16])] = min(doc, seen.get(tuple(w[k : k + 16]), doc))
+    want = {}
+    for doc, text in rows:
+        w = text.split()
+        want[doc] = len({j for k in range(len(w) - 15) if seen[tuple(w[k : k + 16])] < doc for j in range(k, k + 16)})
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in c.report(docs).collect()} == want and any(want.values())
