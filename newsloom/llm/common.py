@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,10 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where it is unset, as in tests, an own one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir. Only a local session, as in tests, may leave it unset and
+    then gets an own one, which goes with it."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="newsloom-checkpoint-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="newsloom-checkpoint-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -45,6 +52,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def carried(df: DataFrame, *more: Column) -> DataFrame:
+    """Each row as one struct column, row, and the given columns of it (they see df's columns): what an operator adds
+    cannot clash with the names of its input."""
+    return df.select(F.struct(*(F.col(_quoted(c)) for c in df.columns)).alias("row"), *more)
+
+
+def restored(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of carried() rows again, some of them changed."""
+    return df.select(*(changed[c].alias(c) if c in changed else F.col(f"row.{_quoted(c)}") for c in columns))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to lower case and nothing else. lower() is the faster way where all characters are ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -70,6 +92,14 @@ def lower_words(text: Column) -> Column:
     return F.filter(F.split(spaced, " "), lambda w: w != "")
 
 
+#: Sorts after all ids: rows without an id.
+LAST = (1 << 63) - 1
+
+
+def doc_order(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(LAST))
+
+
 def row_key(text: Column) -> Column:
     """Tells rows of one doc_id apart by their text."""
     return F.xxhash64(F.coalesce(text, F.lit("")), F.char_length(text))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.common import cut
 
+#: Components that are broadcast at most: those with more than one in HOT_ROOTS of all nodes.
+HOT_ROOTS = 10_000
+
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """links (a long, b long), in either direction, repeats and loops allowed -> (node, root) for every linked node.
@@ -33,3 +36,18 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def least_of_component(rooted: DataFrame) -> DataFrame:
+    """(key, least, root) -> (key, root, first): the smallest least of the key's component.
+
+    A component with more than one in HOT_ROOTS of all nodes would land in one task of a join by root, so these, of
+    which there are HOT_ROOTS at most, are broadcast; the others meet their rows in a join that no root skews.
+    """
+    rooted = cut(rooted)
+    firsts = cut(rooted.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("n")))
+    total = rooted.count()
+    hot = firsts.where(F.col("n") * HOT_ROOTS > total).select("root", "first", F.lit(True).alias("hot"))
+    met = rooted.join(F.broadcast(hot), "root", "left")
+    rest = met.where("hot is null").select("key", "root").join(firsts.where(F.col("n") * HOT_ROOTS <= total).select("root", "first"), "root")
+    return met.where("hot").select("key", "root", "first").unionByName(rest.select("key", "root", "first"))

@@ -1,7 +1,8 @@
 """SimHash fingerprints and near duplicates by a binary trie self-join.
 
 Copies of a text are folded into one fingerprint before any comparing. Distinct fingerprints within max_bits of each
-other agree on one of max_bits + 1 blocks of bits, so a cell (block, its value) holds both; in each cell a trie over
+other agree on two of max_bits + 2 blocks of bits, so a cell (two blocks, their values) holds both. For 3 bits a cell's
+key has some 25 bits: 10^10 fingerprints put a few hundred in each of the ten kinds of cells. In each cell a trie over
 the fingerprints is joined with itself: node pairs go down together, differing bits add up, and a pair that exceeds
 the budget is dropped with all below it. A cell with more than cell_rows fingerprints is dealt into classes and
 joined class by class, so no task grows with a hot cell and no link is lost. A task returns a spanning forest of its
@@ -11,6 +12,7 @@ links, not all pairs, and components follow from these.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -18,8 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import cut
-from newsloom.llm.graph import connected_components
+from newsloom.llm.common import LAST, carried, cut, doc_order, restored, row_key
+from newsloom.llm.graph import connected_components, least_of_component
 
 MAX_BITS, SHINGLE, CELL_ROWS, TASK_ROWS = 3, 3, 4096, 60_000
 #: Shingles whose bits are summed at a time.
@@ -131,50 +133,54 @@ def _links_of(part: pd.DataFrame, max_bits: int) -> pd.DataFrame:
 
 def near_links(prints: DataFrame, max_bits: int = MAX_BITS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Distinct fingerprints (fp long) -> links (a, b) that connect all that are within max_bits, repeats possible."""
-    blocks = max_bits + 1
+    blocks = max_bits + 2
     edge = [64 * k // blocks for k in range(blocks + 1)]
-    values = [F.struct(F.lit(k).alias("block"), F.expr(f"shiftrightunsigned(fp, {edge[k]}) & {(1 << (edge[k + 1] - edge[k])) - 1}L").alias("value")) for k in range(blocks)]
-    cells = prints.select("fp", F.explode(F.array(*values)).alias("c")).select("fp", F.expr("c.value * 64 + c.block").alias("cell"))
+    value = [f"shiftrightunsigned(fp, {edge[k]}) & {(1 << (edge[k + 1] - edge[k])) - 1}L" for k in range(blocks)]
+    kinds = list(combinations(range(blocks), 2))
+    values = [F.expr(f"((({value[i]}) << {edge[j + 1] - edge[j]}) | ({value[j]})) * {len(kinds)} + {k}") for k, (i, j) in enumerate(kinds)]
+    cells = prints.select("fp", F.explode(F.array(*values)).alias("cell"))
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n"))
-    many = sizes.where(F.col("n") > 1).select("cell", F.ceil(F.col("n") / cell_rows).cast("int").alias("classes"))
+    many = cut(sizes.where(F.col("n") > 1).select("cell", "n", F.ceil(F.col("n") / cell_rows).cast("int").alias("classes")))
     dealt = cells.join(many, "cell").withColumn("own", F.expr("cast(pmod(xxhash64(fp, 7), classes) as int)"))
     pairs = dealt.select("fp", "cell", "own", F.explode(F.sequence(F.lit(0), F.col("classes") - 1)).alias("other"))
     pairs = pairs.select("cell", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"), F.expr("cast(own > other as int)").alias("side"), "fp")
-    tasks = max(1, -(-prints.count() * blocks // TASK_ROWS))
+    tasks = max(1, -(-(many.agg(F.sum(F.col("n") * F.col("classes"))).first()[0] or 0) // TASK_ROWS))
     pairs = pairs.withColumn("task", F.expr(f"pmod(xxhash64(cell, s, t), {tasks * 4})"))
     return pairs.groupBy("task").applyInPandas(lambda part: _links_of(part, max_bits), "a long, b long")
 
 
+def components(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text, ...) -> its rows (doc_id, fp) and for each fp (key): root and first, the smallest (doc, rk) of
+    its component; doc orders rows without an id last, rk tells texts of one id apart."""
+    prints = cut(docs.select("doc_id", row_key(F.col("text")).alias("rk"), simhash_column(F.col("text"), shingle).alias("fp")))
+    nodes = cut(prints.groupBy("fp").agg(F.min(F.struct(doc_order(F.col("doc_id")).alias("doc"), "rk")).alias("least")))
+    roots = connected_components(near_links(nodes.select("fp"), max_bits))
+    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.col("fp").alias("key"), "least", F.coalesce("root", "fp").alias("root"))
+    return prints.select("doc_id", "fp"), least_of_component(rooted)
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, text, ...) -> one row per row: doc_id, fp long, component_id long.
 
     component_id is the smallest doc_id that can be reached over links; texts without words have fingerprint 0 and
-    link like any other. Rows with a null doc_id take part; a component of such rows only has a null id. Repeated
-    rows stay as they are. An empty table gives an empty one; other columns are not looked at.
+    link like any other; a text of any length is hashed whole. Rows with a null doc_id take part; a component of such
+    rows only has a null id. Repeated rows stay as they are. An empty table gives an empty one; other columns are not
+    looked at, whatever their names.
     """
-    prints = cut(docs.select("doc_id", simhash_column(F.col("text"), shingle).alias("fp")))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(near_links(nodes.select("fp"), max_bits))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    prints, named = components(docs, max_bits, shingle)
+    return prints.join(named.select(F.col("key").alias("fp"), "first"), "fp").select("doc_id", "fp", F.nullif("first.doc", F.lit(LAST)).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """docs without near duplicates: of each component the document with the smallest doc_id stays, once.
+def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
+    """docs without near duplicates: of each component one row stays, see one_of_each()."""
+    return one_of_each(docs, components(docs, max_bits, shingle)[1])
 
-    Rows with a null doc_id cannot be named and stay.
-    """
-    return one_of_each(docs, near_duplicates(docs, max_bits))
-
-
-def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is that of their component, once; groups is (doc_id, component_id, ...)."""
-    groups = cut(groups)
-    kept = groups.where("doc_id = component_id")
-    out = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
-    if kept.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    if groups.where("doc_id is null").limit(1).count():
-        out = out.unionByName(docs.where("doc_id is null"))
-    return out.select(docs.columns)
+
+def one_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """Of each component the row with the smallest doc_id stays, of several texts under that id the one with the
+    smallest key, once where the row is repeated. Other texts under the same doc_id are judged by their own components.
+    Rows without an id cannot be named and stay. All columns stay, whatever their names."""
+    first = named.select("first.doc", "first.rk").distinct()
+    rows = carried(docs, doc_order(F.col("doc_id")).alias("doc"), row_key(F.col("text")).alias("rk"))
+    kept = rows.where("row.doc_id is not null").join(first, ["doc", "rk"], "left_semi").dropDuplicates(["doc", "rk"])
+    return restored(kept.unionByName(rows.where("row.doc_id is null")), docs.columns)

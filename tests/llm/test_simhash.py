@@ -1,7 +1,7 @@
 import numpy as np
 import xxhash
 
-from newsloom.llm import simhash
+from newsloom.llm import near_texts, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -81,3 +81,22 @@ def test_nulls_ties_repeats_and_empty_tables(spark):
     assert got == sorted([("3", "1"), ("1", "1"), ("1", "1"), ("None", "1"), ("None", "None"), ("7", "6"), ("6", "6")])
     assert sorted(r.doc_id or -1 for r in simhash.keep_one(docs).collect()) == [-1, -1, 1, 6]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_texts_that_share_an_id_are_judged_apart(spark):
+    """A copy goes though another text under its id stays; values of columns with clashing names stay what they were."""
+    rows = [(1, "one text that is here once only", "a"), (1, "a second text under the same id", "b"), (2, "a third text with a copy further on", "c"), (3, "a third text with a copy further on", "d"), (3, "the last text has id three too", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").selectExpr("*", "row rk", "row first", "'x' doc", "7 `a.b`")
+    for kept in (simhash.keep_one(docs), near_texts.keep_one(docs)):
+        assert sorted(tuple(r) for r in kept.collect()) == sorted((*r, r[2], r[2], "x", 7) for r in rows if r[2] != "d") and kept.columns == docs.columns
+
+
+def test_a_hot_component_has_one_name(spark):
+    """A third of all rows in one component: its rows meet their name by a broadcast."""
+    rng = np.random.default_rng(9)
+    base = " ".join(f"w{k}" for k in range(400))
+    rows = [(k + 5, f"{base} {'x' * int(rng.integers(1, 50))}") for k in range(300)] + [(1000 + k, " ".join(map(str, rng.integers(10**6, size=30)))) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    roots = brute_components([plain_simhash(t) for _, t in rows])
+    assert got == {rows[k][0]: rows[r][0] for k, r in enumerate(roots)} and sum(v == 5 for v in got.values()) > 200
