@@ -4,9 +4,13 @@ Documents are tokenized where they are; the driver only sees the histogram of pi
 max_len rows. Over it the configuration program (as few sequences as cover every length's demand) is solved by
 multiplicative weights: a length that is behind gains weight, a knapsack by dynamic programming prices the best
 configuration at these weights, and that configuration is used for a share of the scarcest demand. The fractional
-solution is rounded, what is left is solved again, and a last remainder of bounded size is placed by best fit. A plan
-is a table of runs (length, first rank, ...); its size depends on max_len, not on the corpus. Pieces get a rank within
-their length from counts per partition, and the plan turns it into a sequence and a place.
+solution is rounded, what is left is solved again, and what rounding leaves goes into the open room of sequences by
+best fit, length by length: pieces of one length and sequences with equal room are handled as runs, so the driver's
+work depends on max_len, not on the number of pieces. This is tried after each solution, until the plan needs as few
+sequences as the tokens do or solutions place nothing more. The plan with the fewest sequences is taken; best fit alone
+only where it needs fewer than every solution, so no plan is worse than it.
+A plan is a table of runs (length, first rank, ...). Pieces get a rank within their length from counts per partition,
+and the plan turns it into a sequence and a place.
 """
 
 from __future__ import annotations
@@ -27,10 +31,13 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import cut
 
 MAX_LEN, END_ID, TOKENIZER = 4096, 1, "word_bpe_49k.json"
-#: Tokens of a unit of length in the program; share of the scarcest demand used at once; weight of being behind.
-UNIT, SHARE, URGE = 4, 0.2, 3.0
-#: Priced configurations for each solution, solutions at most, pieces that may be left to best fit.
-PRICES, SOLUTIONS, TAIL = 300, 12, 20_000
+#: Share of the scarcest demand used at once; weight of being behind.
+SHARE, URGE = 0.2, 3.0
+#: Programs: tokens of a unit of length, priced configurations for each solution, solutions at most. A unit of one token
+#: fills sequences to the last one; a coarse one tells fewer lengths apart, so more of them are covered.
+PROGRAMS = [(1, 100, 4), (4, 300, 12)]
+#: The share of what is left that a solution has to place for another one.
+PROGRESS = 0.02
 #: Words whose ids a worker remembers.
 REMEMBERED = 600_000
 #: Texts that are encoded together: rows and bytes at most, but for a single longer one.
@@ -150,7 +157,7 @@ def price(values: np.ndarray, room: int) -> np.ndarray:
     return copies
 
 
-def solve(demand: np.ndarray, prices: int = PRICES) -> list[tuple[float, np.ndarray]]:
+def solve(demand: np.ndarray, prices: int) -> list[tuple[float, np.ndarray]]:
     """demand[size] -> (amount, copies of each size) by multiplicative weights, the amounts scaled so that together
     they cover the demand once."""
     room = len(demand) - 1
@@ -172,102 +179,131 @@ def solve(demand: np.ndarray, prices: int = PRICES) -> list[tuple[float, np.ndar
     return sorted(((a / scale, c) for a, c in used.values()), key=lambda x: -x[0])
 
 
-def plan(histogram: dict[int, int], max_len: int = MAX_LEN, unit: int = UNIT) -> pd.DataFrame:
-    """Lengths and how many pieces have them -> runs: length, rank (the first), n (pieces), each (in one sequence),
-    sequence (the first), offset (of the first in its sequence)."""
-    left = {n: k for n, k in histogram.items() if k > 0}
-    given: dict[int, int] = dict.fromkeys(left, 0)
-    runs: list[tuple] = []
-    sequences = 0
-
-    def put(items: list[tuple[int, int]], times: int) -> None:
-        """items: (length, copies) of one sequence."""
-        nonlocal sequences
+class Packer:
+    """A plan in the making. Sequences with equal room are kept as runs of consecutive numbers."""
+
+    def __init__(self, histogram: dict[int, int], max_len: int):
+        self.max_len = max_len
+        self.left = {n: k for n, k in histogram.items() if k > 0}
+        self.given = dict.fromkeys(self.left, 0)
+        self.runs: list[tuple] = []
+        self.sequences = 0
+        #: Rooms of open sequences, sorted; room -> runs of sequences (first, count) that have it.
+        self.rooms: list[int] = []
+        self.at: dict[int, list[tuple[int, int]]] = {}
+
+    def open(self, room: int, first: int, count: int) -> None:
+        if room and count:
+            if room not in self.at:
+                bisect.insort(self.rooms, room)
+                self.at[room] = []
+            self.at[room].append((first, count))
+
+    def place(self, n: int, each: int, times: int, first: int, offset: int) -> None:
+        """each pieces of length n into each of times sequences from first on, at offset."""
+        self.runs.append((n, self.given[n], times * each, each, first, offset))
+        self.given[n] += times * each
+        self.left[n] -= times * each
+
+    def put(self, items: list[tuple[int, int]], times: int) -> None:
+        """times new sequences of items (length, copies)."""
         offset = 0
         for n, copies in items:
-            runs.append((n, given[n], times * copies, copies, sequences, offset))
-            given[n] += times * copies
-            left[n] -= times * copies
+            self.place(n, copies, times, self.sequences, offset)
             offset += n * copies
-        sequences += times
-
-    lengths = sorted(left)
-
-    def topped(items: list[tuple[int, int]], times: int) -> list[tuple[int, int]]:
-        """items and what else fits times over: units are rounded up, so there is room that the program does not see."""
-        taken, free = dict(items), max_len - sum(n * k for n, k in items)
-        for n in reversed(lengths[: bisect.bisect_right(lengths, free)]):
-            if n <= free and (more := min(free // n, left[n] // times - taken.get(n, 0))) > 0:
-                taken[n] = taken.get(n, 0) + more
-                free -= more * n
-        return list(taken.items())
-
-    for n in [n for n in left if n == max_len]:
-        put([(n, 1)], left[n])
-    room = max_len // unit
-    for _ in range(SOLUTIONS):
-        if sum(left.values()) <= TAIL:
-            break
-        by_size: dict[int, list[int]] = {}
-        demand = np.zeros(room + 1)
-        for n in sorted(left, reverse=True):
-            if left[n]:
-                by_size.setdefault(-(-n // unit), []).append(n)
-                demand[-(-n // unit)] += left[n]
-        before = sum(left.values())
-        for amount, copies in solve(demand):
-            sizes = np.nonzero(copies)[0]
-            times = int(min(round(amount), min(sum(left[n] for n in by_size[s]) // copies[s] for s in sizes)))
-            while times > 0:  # the lengths of a size are used up one after another
-                items, most, short = [], times, False
-                for s in sizes:
-                    need = int(copies[s])
-                    for n in by_size[s]:
-                        take = min(need, left[n])
-                        if take:
-                            items.append((n, take))
-                            most = min(most, left[n] // take)
-                            need -= take
-                        if not need:
-                            break
-                    short = short or need > 0
-                if short:
-                    break
-                items = topped(items, max(1, most * 4 // 5))
-                most = min(most, *(left[n] // k for n, k in items))
-                put(items, most)
-                times -= most
-        if sum(left.values()) > 0.98 * before:
+        self.open(self.max_len - offset, self.sequences, times)
+        self.sequences += times
+
+    def best_fit(self) -> None:
+        """Longest first, each piece into the sequence with the least room that holds it, else into a new one. Once a
+        piece of length n is in, its sequence has the least room for the next one: it is filled before another."""
+        for n in sorted(self.left, reverse=True):
+            while k := self.left[n]:
+                spot = bisect.bisect_left(self.rooms, n)
+                if spot == len(self.rooms):
+                    each = min(k, self.max_len // n)
+                    self.put([(n, each)], k // each)
+                    continue
+                room = self.rooms[spot]
+                first, count = self.at[room].pop()
+                if not self.at[room]:
+                    del self.at[room]
+                    self.rooms.pop(spot)
+                each = min(k, room // n)
+                times = min(count, k // each)
+                self.place(n, each, times, first, self.max_len - room)
+                self.open(room - each * n, first, times)
+                self.open(room, first + times, count - times)
+
+    def copy(self) -> Packer:
+        out = Packer({}, self.max_len)
+        out.left, out.given, out.runs, out.sequences = dict(self.left), dict(self.given), list(self.runs), self.sequences
+        out.rooms, out.at = list(self.rooms), {k: list(v) for k, v in self.at.items()}
+        return out
+
+    def program(self, unit: int, prices: int, solutions: int) -> Iterator[None]:
+        """Solutions of the configuration program over lengths in units, rounded, until they place nothing to speak of.
+        Yields after each."""
+        for n in [n for n in self.left if n == self.max_len]:
+            self.put([(n, 1)], self.left[n])
+        room = self.max_len // unit
+        for _ in range(solutions):
+            by_size: dict[int, list[int]] = {}
+            demand = np.zeros(room + 1)
+            for n in sorted(self.left, reverse=True):
+                if self.left[n] and -(-n // unit) <= room:
+                    by_size.setdefault(-(-n // unit), []).append(n)
+                    demand[-(-n // unit)] += self.left[n]
+            before = sum(self.left.values())
+            if not by_size:
+                return
+            for amount, copies in solve(demand, prices):
+                sizes = np.nonzero(copies)[0]
+                times = int(min(round(amount), min(sum(self.left[n] for n in by_size[s]) // copies[s] for s in sizes)))
+                while times > 0:  # the lengths of a size are used up one after another
+                    items, most = [], times
+                    for s in sizes:
+                        need = int(copies[s])
+                        for n in by_size[s]:
+                            take = min(need, self.left[n])
+                            if take:
+                                items.append((n, take))
+                                most = min(most, self.left[n] // take)
+                                need -= take
+                    self.put(items, most)
+                    times -= most
+            yield
+            if before - sum(self.left.values()) < PROGRESS * before:
+                return
+
+
+def plan(histogram: dict[int, int], max_len: int = MAX_LEN) -> pd.DataFrame:
+    """Lengths and how many pieces have them -> runs: length, rank (the first), n (pieces), each (in one sequence),
+    sequence (the first), offset (of the first in its sequence). Never more sequences than best fit needs."""
+    fewest = -(-sum(n * k for n, k in histogram.items()) // max_len)
+    best = Packer(histogram, max_len)
+    best.best_fit()
+    for unit, prices, solutions in PROGRAMS:
+        own = Packer(histogram, max_len)
+        for _ in own.program(unit, prices, solutions):
+            filled = own.copy()
+            filled.best_fit()
+            if filled.sequences <= best.sequences:
+                best = filled
+            if best is filled and filled.sequences == fewest:
+                break
+        if best.sequences == fewest:
             break
-    # Best fit for what is left, longest first: open sequences by the room that they have.
-    rooms: list[int] = []
-    at: dict[int, list[int]] = {}
-    for n in sorted(left, reverse=True):
-        for _ in range(left[n]):
-            k = bisect.bisect_left(rooms, n)
-            if k == len(rooms):
-                seq, free = sequences, max_len
-                sequences += 1
-            else:
-                free = rooms[k]
-                seq = at[free].pop()
-                if not at[free]:
-                    rooms.pop(k)
-            runs.append((n, given[n], 1, 1, seq, max_len - free))
-            given[n] += 1
-            free -= n
-            if free:
-                if not at.get(free):
-                    bisect.insort(rooms, free)
-                at.setdefault(free, []).append(seq)
+    runs = best.runs
     return pd.DataFrame(runs, columns=["length", "rank", "n", "each", "sequence", "offset"]).astype("int64").sort_values(["length", "rank"], ignore_index=True)
 
 
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, max_len: int = MAX_LEN, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every row.
 
-    A null or empty text is one piece, the end id. Repeated rows are packed each. An empty table gives an empty one.
-    Other columns are not looked at.
+    A null or empty text is one piece, the end id; a text of any length is tokenized whole. A null doc_id stays null.
+    Repeated rows are packed each. An empty table gives an empty one. Other columns are not looked at, whatever their
+    names.
     """
     spark = docs.sparkSession
     found = cut(pieces_of(docs, tokenizer, max_len, end_id).withColumn("part", F.spark_partition_id()))
