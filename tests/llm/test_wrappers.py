@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 from newsloom.llm import wrappers as w
@@ -40,12 +41,82 @@ def test_parts_that_are_not_the_article():
 
 
 def test_wrappers_are_inferred_with_optional_and_repeated_parts():
-    a = w.wrapper_of(w.tree("<body><article><h1>x</h1><p>a</p><p>b</p></article></body>"))
-    b = w.wrapper_of(w.tree("<body><div>n</div><article><h1>x</h1><p>a<b>c</b></p><table></table></article></body>"))
-    one = w.expression(w.merge(a, b))
-    assert "(<p>(.*)(<b>(.*)</b>)?</p>)+" in one and "(<div>(.*)</div>)?" in one and "(<table></table>)?" in one
-    assert w.expression(w.merge(b, a)) == one or "(<p>" in w.expression(w.merge(b, a))
-    assert w.expression(w.merge(a, a)) == w.expression(a)
+    a = w.wrapper_of(w.tree("<body><div><a>m</a></div><article><h1>x</h1><p>a</p><table><tr><td>1<td>2</table></article></body>"))
+    b = w.wrapper_of(w.tree("<body><section>n</section><div><a>m</a></div><article><h1>x</h1><p>a<b>c</b></p></article></body>"))
+    one = w.expression(w.absorb(a, b))
+    assert one == "<body>(<section>(.*)</section>)?<div>(.*)</div><article>(.*)(<table>(<td>(.*)</td>)+</table>)?</article></body>"
+    assert w.expression(w.unpacked(w.packed(a))) == one
+    cards = [w.wrapper_of(w.tree("<body>" + "<div><h2>c</h2><p>t</p></div>" * n + "<div><a>f</a></div></body>")) for n in (2, 5)]
+    assert w.expression(w.absorb(*cards)).count("+") == 1
+
+
+def prose(rng: random.Random, n: int) -> str:
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+
+
+def unmarked(rng: random.Random, k: int) -> tuple[str, str]:
+    """A page of divs without classes, and its text: a menu, now and then a banner, the text, links to others that
+    differ from page to page, and a note that does not."""
+    menu = "".join(f"<li><a href='/{x}'>{x}</a></li>" for x in ("Home", "News", "Sport", "Weather"))
+    blocks = [prose(rng, 4), *(prose(rng, rng.randint(5, 60)) for _ in range(rng.randint(1, 6)))]
+    body = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{x}</p>" for x in blocks[1:])
+    if k % 4 == 1:
+        more = [prose(rng, 5), prose(rng, 6), prose(rng, 30)]
+        body += f"<ul><li>{more[0]}</li><li>{more[1]}</li></ul><div><p>{more[2]}</p></div>"
+        blocks += more
+    banner = f"<div><p>{prose(rng, 6)}</p></div>" if k % 3 == 0 else ""
+    links = f"<div><a href=/x>{prose(rng, 3)}</a><a href=/y>{prose(rng, 4)}</a></div>"
+    page = f"<html><body><div><ul>{menu}</ul></div>{banner}<div><div>{body}</div>{links}</div><div><p>All rights reserved by the paper</p><p>Imprint and contact</p></div></body></html>"
+    return page, "\n".join(blocks)
+
+
+def test_only_the_wrapper_tells_menu_from_text(spark, monkeypatch):
+    rng = random.Random(1)
+    made = {k: unmarked(rng, k) for k in range(120)}
+    pages = spark.createDataFrame([(k, f"https://Site{k % 2}.example/{k}", page) for k, (page, _) in made.items()], "page_id long, url string, html string").repartition(7)
+    want = {k: text for k, (_, text) in made.items()}
+    assert {r.page_id: r.text for r in w.extract(pages).collect()} == want
+    # Without wrappers no page's text is found.
+    assert not [k for k, (page, text) in made.items() if w.read(w.tree(page), w.Part("", "")) == text]
+    # Folded two tasks at a time, so in levels.
+    known = w.infer(pages.selectExpr("lower(split_part(split_part(url, '://', 2), '/', 1)) host", "html"), fan_in=2).collect()
+    assert sorted(r.host for r in known) == ["site0.example", "site1.example"]
+    for r in known:
+        wrapper = w.unpacked(r.wrapper)
+        assert wrapper.pages == 60 and all(w.read(w.tree(made[k][0]), wrapper) == want[k] for k in made if f"site{k % 2}.example" == r.host)
+
+
+def test_what_stands_on_every_page_is_no_article_where_nothing_is_marked():
+    """Also right beside the text, in no container of its own."""
+    rng = random.Random(3)
+    made = [[prose(rng, 30), prose(rng, 40)] for _ in range(5)]
+    pages = [f"<body><p>Join our newsletter</p><p>{a}</p><p>{b}</p><p>All rights reserved</p></body>" for a, b in made]
+    wrapper = w.wrapper_of(w.tree(pages[0]))
+    for page in pages[1:]:
+        w.absorb(wrapper, w.wrapper_of(w.tree(page)))
+    assert [w.read(w.tree(p), wrapper) for p in pages] == ["\n".join(x) for x in made]
+    # Within a marked article nothing is dropped for that.
+    pages = [f"<body><article><p>Our correspondent</p><p>{a}</p></article><p>x</p></body>" for a, _ in made]
+    wrapper = w.wrapper_of(w.tree(pages[0]))
+    for page in pages[1:]:
+        w.absorb(wrapper, w.wrapper_of(w.tree(page)))
+    assert [w.read(w.tree(p), wrapper) for p in pages] == [f"Our correspondent\n{a}" for a, _ in made]
+
+
+def test_class_words_do_not_drop_the_article():
+    same = {
+        '<article class="post has-sidebar"><p>x': "x", '<article class="post comments-open"><p>x': "x", '<div id="content" class="with-sidebar"><p>x</p></div>': "x",
+        '<article><div class="article-header"><h1>T</h1></div><p>b</p></article>': "T\nb", '<article>cost <span class="share-price">5</span> <label>now</label></article>': "cost 5 now",
+        '<div class="sidebar"><p>all there is</p></div>': "all there is", '<article><p>text that is long enough</p><div class="ad">buy</div><ul class="share-links"><li>s</ul></article>': "text that is long enough",
+    }
+    assert {p: extracted(p) for p in same} == same
+
+
+def test_nesting_may_be_deep():
+    for n in (130, 20_000):
+        assert extracted("<div>" * n + "<nav>menu</nav><p>text</p>") == "text"
+    assert len(extracted("".join(f"<div><p>w{k}</p></div>" for k in range(5000))).split("\n")) == 5000
+    assert extracted("<table>" + "<tr><td>x" * 5000 + "</table>") == "\n".join("x" * 5000)
 
 
 def test_edges(spark):
