@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.common import shared_path
 
-#: Payloads from this size on are written once; bytes of a record's block and of a chunk; records in a file.
-REVISIT_BYTES, SEGMENT_BYTES, CHUNK_BYTES, FILE_RECORDS = 1000, 1 << 17, 1 << 13, 2000
+#: Payloads from this size on are written once; bytes of a record's block (a larger one goes on in continuations) and of
+#: a chunk; records in a file; bytes of records that are handed on at a time.
+REVISIT_BYTES, SEGMENT_BYTES, CHUNK_BYTES, FILE_RECORDS, STEP_BYTES = 1000, 1 << 13, 1 << 12, 2000, 4 << 20
 END, DATE = "\r\n\r\n", "2000-01-01T00:00:00Z"
 HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -29,21 +30,43 @@ PARTS = "origin string, segment int, total long, block binary, page_id long, url
 
 
 def with_types(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """pages with payload_digest, payload_bytes, record_type and refers_to. Rows of the largest page_id are responses,
-    all of them where rows repeat. A null page_id is smaller than any; where a group has none else, all are responses."""
+    """pages with payload_digest, payload_bytes, record_type and refers_to, and with at and refers_at: which row it is
+    and which one it refers to. Rows of the largest page_id are responses, all of them where rows repeat. A null page_id
+    is smaller than any; where a group has none else, all are responses."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    sized = pages.select("page_id", "url", "html", F.sha1(F.encode(html, "UTF-8")).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
-    largest = sized.where(F.col("payload_bytes") >= revisit_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("largest"), F.count("*").alias("copies"))
-    largest = largest.where("copies > 1 and largest is not null").drop("copies")
+    sized = pages.select("page_id", "url", "html", F.sha1(F.encode(html, "UTF-8")).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes"), F.monotonically_increasing_id().alias("at"))
+    largest = sized.where(F.col("payload_bytes") >= revisit_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", "at")).alias("largest"), F.count("*").alias("copies"))
+    largest = largest.where("copies > 1 and largest.page_id is not null").drop("copies")
     found = sized.join(largest, ["payload_digest", "payload_bytes"], "left")
-    again = F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest"))
-    return found.select("page_id", "url", "html", "payload_digest", "payload_bytes", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("largest")).alias("refers_to"))
+    again = F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest.page_id"))
+    return found.select(
+        "page_id", "url", "html", "payload_digest", "payload_bytes", F.when(again, "revisit").otherwise("response").alias("record_type"),
+        F.when(again, F.col("largest.page_id")).alias("refers_to"), "at", F.when(again, F.col("largest.at")).alias("refers_at"),
+    )
+
+
+def pieces(text: str, size: int) -> Iterator[str]:
+    """text in pieces of whole characters that take at most size bytes, but one character at least."""
+    data = text.encode()
+    if len(data) == len(text):
+        yield from (text[k : k + size] for k in range(0, len(text), size))
+        return
+    at = 0
+    while at < len(data):
+        stop = min(at + size, len(data))
+        while at < stop < len(data) and data[stop] & 0xC0 == 0x80:
+            stop -= 1
+        if stop == at:
+            stop += 1
+            while stop < len(data) and data[stop] & 0xC0 == 0x80:
+                stop += 1
+        yield data[at:stop].decode()
+        at = stop
 
 
 def chunked(text: str, size: int = CHUNK_BYTES) -> str:
-    """text in chunked transfer framing; chunks are whole characters of at most size characters."""
-    parts = [text[k : k + size] for k in range(0, len(text), size)]
-    return "".join(f"{len(p.encode()):x}\r\n{p}\r\n" for p in parts) + "0\r\n\r\n"
+    """text in chunked transfer framing; chunks are pieces() of size bytes."""
+    return "".join(f"{len(p.encode()):x}\r\n{p}\r\n" for p in pieces(text, size)) + "0\r\n\r\n"
 
 
 def unchunked(body: bytes) -> bytes:
@@ -67,25 +90,29 @@ def record(fields: dict[str, object], block: str) -> str:
     return "\r\n".join(lines) + END + block
 
 
-def records_of(row: dict, own: str, segment_bytes: int, chunk_bytes: int) -> Iterator[str]:
-    """The record of a page, or its segments. own: what tells this row apart."""
+def record_id(own: str, segment: int = 1) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{own}/{segment}')}>"
+
+
+def records_of(row: dict, own: str, segment_bytes: int, chunk_bytes: int, refers_own: str | None = None) -> Iterator[str]:
+    """The record of a page, or its segments. own: what tells this row apart; refers_own: the row that it refers to."""
     uri = (row["url"] or "").replace("\r", "%0D").replace("\n", "%0A")
-    name = lambda k: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{own}/{k}')}>"
-    fields = {"WARC-Record-ID": name(1), "WARC-Date": DATE, "WARC-Target-URI": uri if row["url"] is not None else None, "WARC-Payload-Digest": f"sha1:{row['payload_digest']}", "X-Payload-Length": row["payload_bytes"], "X-Page-Id": row["page_id"]}
+    fields = {"WARC-Record-ID": record_id(own), "WARC-Date": DATE, "WARC-Target-URI": uri if row["url"] is not None else None, "WARC-Payload-Digest": f"sha1:{row['payload_digest']}", "X-Payload-Length": row["payload_bytes"], "X-Page-Id": row["page_id"]}
     if row["record_type"] == "revisit":
-        fields |= {"WARC-Type": "revisit", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:page:{row['refers_to']}>", "Content-Type": "application/http;msgtype=response"}
+        refers = {"WARC-Refers-To": record_id(refers_own) if refers_own else None, "X-Refers-To-Page-Id": row["refers_to"]}
+        fields |= refers | {"WARC-Type": "revisit", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "Content-Type": "application/http;msgtype=response"}
         yield record(fields, HEAD)
         return
     block = HEAD + chunked(row["html"] or "", chunk_bytes)
     fields |= {"WARC-Type": "response", "Content-Type": "application/http;msgtype=response"}
-    if len(block) <= segment_bytes:
+    first, *others = pieces(block, segment_bytes)
+    if not others:
         yield record(fields, block)
         return
-    parts = [block[k : k + segment_bytes] for k in range(0, len(block), segment_bytes)]
-    yield record(fields | {"WARC-Segment-Number": 1}, parts[0])
-    for k, part in enumerate(parts[1:], 2):
-        last = {"WARC-Segment-Total-Length": len(block.encode())} if k == len(parts) else {}
-        yield record({"WARC-Record-ID": name(k), "WARC-Date": DATE, "WARC-Type": "continuation", "WARC-Segment-Origin-ID": name(1), "WARC-Segment-Number": k} | last, part)
+    yield record(fields | {"WARC-Segment-Number": 1}, first)
+    for k, part in enumerate(others, 2):
+        last = {"WARC-Segment-Total-Length": len(block.encode())} if k == len(others) + 1 else {}
+        yield record({"WARC-Record-ID": record_id(own, k), "WARC-Date": DATE, "WARC-Type": "continuation", "WARC-Segment-Origin-ID": record_id(own), "WARC-Segment-Number": k} | last, part)
 
 
 def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, file_records: int = FILE_RECORDS) -> None:
@@ -93,12 +120,20 @@ def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, chunk
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            ready, size = [], 0
             for row in batch.to_dict("records"):
-                row |= {k: None if pd.isna(row[k]) else int(row[k]) for k in ("page_id", "refers_to")}
-                yield pd.DataFrame({"value": list(records_of(row, f"{row['page_id']}/{row['at']}", segment_bytes, chunk_bytes))})
+                row |= {k: None if pd.isna(row[k]) else int(row[k]) for k in ("page_id", "refers_to", "refers_at")}
+                refers_own = None if row["refers_at"] is None else f"{row['refers_to']}/{row['refers_at']}"
+                for text in records_of(row, f"{row['page_id']}/{row['at']}", segment_bytes, chunk_bytes, refers_own):
+                    ready.append(text)
+                    size += len(text)
+                if size > STEP_BYTES:
+                    yield pd.DataFrame({"value": ready})
+                    ready, size = [], 0
+            yield pd.DataFrame({"value": ready})
 
-    ready = pages.select("url", "html", "payload_digest", "payload_bytes", "record_type", F.col("page_id").cast("string"), F.col("refers_to").cast("string"), F.monotonically_increasing_id().alias("at"))
-    ready.mapInPandas(run, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+    rows = pages.select("url", "html", "payload_digest", "payload_bytes", "record_type", "at", *(F.col(c).cast("string") for c in ("page_id", "refers_to", "refers_at")))
+    rows.mapInPandas(run, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -144,11 +179,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 for f, block in parse(bytes(data)):
                     segment = int(f.get("warc-segment-number", 0))
                     digest = f.get("warc-payload-digest", "").removeprefix("sha1:")
-                    to = f.get("warc-refers-to", "").removeprefix("<urn:page:").removesuffix(">")
+                    to = f.get("x-refers-to-page-id")
                     origin = f.get("warc-segment-origin-id") or f["warc-record-id"]
                     body = None if f["warc-type"] == "revisit" else block if segment else _checked(block, digest)
                     length = f.get("x-payload-length")
-                    rows.append((origin, segment, int(f.get("warc-segment-total-length", 0)), body, f.get("x-page-id"), f.get("warc-target-uri"), f["warc-type"], to or None, length, digest))
+                    rows.append((origin, segment, int(f.get("warc-segment-total-length", 0)), body, f.get("x-page-id"), f.get("warc-target-uri"), f["warc-type"], to, length, digest))
                     size += len(block)
                     if size > 1 << 22:
                         yield frame(rows)
@@ -177,7 +212,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(pages: DataFrame, path: str | None = None, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Writes pages (page_id, url, html; null html: empty) as archives and reads them: page_id, payload_bytes,
     payload_digest, record_type, refers_to for every row, repeated rows too. An empty table gives an empty one. Other
-    columns are not looked at. Sizes and digests of responses are those of the payloads read."""
+    columns are not looked at, whatever their names. Payloads of any length go through, in segments. Sizes and digests of
+    responses are those of the payloads read."""
     path = path or shared_path(pages.sparkSession, "warc")
     write(with_types(pages), path, segment_bytes, chunk_bytes)
     found = read(pages.sparkSession, path)

@@ -57,3 +57,19 @@ def test_chunked_framing():
     assert warc.unchunked(warc.chunked("é" * 20, 3).encode()) == ("é" * 20).encode()
     with pytest.raises(ValueError):
         warc.unchunked(b"3\r\nabcd\r\n0\r\n\r\n")
+
+
+def test_segments_and_references_are_those_of_the_standard(spark, tmp_path):
+    """At production sizes: blocks within the limit of bytes, also of wide characters; every reference is the id of a
+    response with the same payload."""
+    rows = [(k, f"u{k}", ("é漢" * 9000 if k % 2 else f"p{k}" * 5000) + str(k % 6)) for k in range(24)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = f"file://{tmp_path}/a"
+    assert sorted(map(tuple, warc.round_trip(pages, path).collect()), key=str) == expected(rows)
+    records = [r for f in sorted((tmp_path / "a").glob("*.gz")) for r in warc.parse(f.read_bytes())]
+    assert max(len(block) for _, block in records) <= warc.SEGMENT_BYTES and len({f["warc-record-id"] for f, _ in records}) == len(records)
+    digests = {f["warc-record-id"]: f["warc-payload-digest"] for f, _ in records if f["warc-type"] == "response"}
+    again = [f for f, _ in records if f["warc-type"] == "revisit"]
+    assert again and all(digests[f["warc-refers-to"]] == f["warc-payload-digest"] for f in again)
+    assert sum(f["warc-type"] == "continuation" for f, _ in records) > 20
+    assert ["".join(warc.pieces(t, n)) for t in ("aé漢😀b", "") for n in (1, 2, 3, 9)] == ["aé漢😀b"] * 4 + [""] * 4
