@@ -72,7 +72,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, defau
 
     rules: (verdict, host, path) as a list, or a DataFrame with these columns. A rule fits its host and all
     subdomains if the path starts with its path. Null and malformed URLs have an empty host and path and get the
-    default. Repeated rows stay; an empty table gives an empty one.
+    default; URLs of any length are read whole. Repeated rows stay; an empty table gives an empty one. Other columns are
+    not looked at, whatever their names.
     """
     spark = pages.sparkSession
     host, path = host_and_path(F.col("url"))
@@ -97,12 +98,17 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, defau
 
 
 def judge_by_join(parts: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """The same for more rules than a broadcast may hold. Distinct URLs only are matched, host by host suffix; a
-    URL's rows meet by (host, path), pre-aggregated to the longest rule."""
+    """The same for more rules than a broadcast may hold. Distinct URLs only are matched, by host suffix and by the
+    folders of their path, a rule by its host and the folder that its path ends in; so neither a top-level domain nor a
+    host with many rules meets more than it shares a folder with. A URL's rows meet by (host, path), pre-aggregated to
+    the longest rule."""
     urls = parts.select("host", "path").distinct()
-    labels = F.split("host", r"\.")
-    suffix = urls.select("host", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))).alias("at"))
+    labels, names = F.split("host", r"\."), F.split("path", "/")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    folders = F.transform(F.sequence(F.lit(1), F.size(names)), lambda k: F.array_join(F.concat(F.slice(names, 1, k - 1), F.array(F.lit(""))), "/"))
+    places = urls.select("host", "path", F.explode(suffixes).alias("at"), folders.alias("fs")).select("host", "path", "at", F.explode("fs").alias("folder"))
     rules = rules.groupBy(F.col("host").alias("at"), F.col("path").alias("start")).agg(F.max("verdict").alias("verdict"))
-    fits = suffix.join(rules, "at").where(F.col("path").startswith(F.col("start")))
+    rules = rules.withColumn("folder", F.regexp_extract("start", "(?s)^(.*/)", 1))
+    fits = places.join(rules, ["at", "folder"]).where(F.col("path").startswith(F.col("start")))
     best = fits.groupBy("host", "path").agg(F.max(F.struct((F.length("at") + F.length("start")).alias("n"), F.length("at").alias("h"), F.concat("at", "start").alias("rule"), "verdict")).alias("b"))
     return parts.join(best, ["host", "path"], "left").select("page_id", "host", "path", "b.rule", F.coalesce("b.verdict", F.lit(default)).alias("verdict"))

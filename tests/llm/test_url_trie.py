@@ -31,3 +31,13 @@ def test_trie_and_join_agree_with_every_rule_tried(spark):
     assert sorted(map(tuple, url_trie.judge(pages, table, max_rules=3).collect())) == sorted(want)
     assert url_trie.judge(pages.limit(0), rules).count() == 0
     assert url_trie.judge(pages.union(pages).where("page_id = 3"), rules).count() == 2
+
+
+def test_very_long_urls(spark):
+    urls = ["http://a.example.org/" + "x/" * 3000, "http://" + "a." * 2000 + "example.org/es/" + "y" * 50_000, "http://example.org" + "/" * 2000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = [(k, *brute(u, URL_RULES)) for k, u in enumerate(urls)]
+    table = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    assert sorted(map(tuple, url_trie.judge(pages, URL_RULES).collect())) == want
+    short = pages.where("page_id <> 1")
+    assert sorted(map(tuple, url_trie.judge(short, table, max_rules=3).collect())) == [want[0], want[2]]
