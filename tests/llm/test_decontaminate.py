@@ -74,3 +74,27 @@ def test_no_python_in_the_plan(spark):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     plan = d.report(docs, items)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_spans_by_hand_and_in_long_texts(spark):
+    """Spans of random hits as a set of words has them; 60,000 contaminated words are cut in a moment; clashing names."""
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for k in range(60):
+        own = sorted({(rng.randrange(150), rng.choice([2, 10, 10, 3])) for _ in range(rng.choice([0, 1, 5, 40, 200]))})
+        rows.append((k, own))
+    got = spark.createDataFrame(rows, "k int, f array<struct<place:int,length:int>>").select("k", d.merged(d.F.col("f")).alias("s")).collect()
+    for k, spans in got:
+        words_hit = {w for p, n in rows[k][1] for w in range(p, p + n)}
+        touch = {p for p, _ in rows[k][1]}
+        want = sorted(w for w in words_hit if w - 1 not in words_hit)
+        assert sorted(w for a, b in spans for w in range(a, b)) == sorted(words_hit) and {a for a, _ in spans} >= set(want) and {a for a, _ in spans} <= touch
+    items = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(12))) for k in range(300)], "item_id long, text string")
+    long = " ".join(["keep", *(f"w{j}" for j in range(12))] * 5000)
+    docs = spark.createDataFrame([(1, long, 7), (2, "clean", None)], "doc_id long, text string, n_chars long").selectExpr("*", "'a' `row`", "'b' spans", "'c' doc", "'d' own", "'e' new")
+    rows = {r.doc_id: tuple(r) for r in d.remove(docs, items).collect()}
+    assert rows == {1: (1, "keep" + " keep" * 4999, 24_999, *"abcde"), 2: (2, "clean", None, *"abcde")}
+    seen = {r.doc_id: r for r in d.report(docs, items).collect()}
+    assert seen[1].n_hit == 60_000 and seen[1].n_items == 300 and seen[2].n_items == 0
