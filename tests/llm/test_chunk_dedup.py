@@ -1,94 +1,149 @@
 import random
+import re
 
 from newsloom.llm import chunk_dedup as c
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.001"
+N = c.MIN_WORDS
 
 
-def brute(rows, min_words):
-    """All stretches, document by document in the order of ids, against a set of all earlier digests."""
-    seen, out = {}, {}
-    for doc, text in rows:
-        for d in c.runs((text or "").split())[1].view("int64").tolist():
-            seen[d] = min(doc, seen.get(d, doc))
+def split(text):
+    """Words by a regular expression: nothing of the operator is used."""
+    return re.findall(r"[^ \t\n\x0b\x0c\r]+", text or "")
+
+
+def bounds(rows, n):
+    """(doc, text), in order -> doc -> which words stand in a run of n words that an earlier document has, or that
+    stands wholly before in this one."""
+    first: dict[tuple, tuple[int, int]] = {}
+    out = {}
     for doc, text in rows:
-        known = {d for d in c.runs((text or "").split())[1].view("int64").tolist() if seen[d] < doc}
-        out[doc] = c.without(text or "", known, min_words)[0] if known else text
+        own, hit = split(text), set()
+        for k in range(len(own) - n + 1):
+            at, where = first.setdefault(tuple(own[k : k + n]), (doc, k))
+            if at != doc or k - where >= n:
+                hit |= set(range(k, k + n))
+        out[doc] = hit
     return out
 
 
-def test_against_all_digests_in_one_place(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+def words(rng, n):
+    return ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 7))) for _ in range(n)]
+
+
+def test_cuts_lie_between_two_brute_force_bounds(spark):
+    """Every word that goes stands in a repeated run of some 20 words, and of runs of FOUND words all but MARGIN words
+    at the ends go. Both are sets of words over all tuples of words of a table."""
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    long = [r for r in rows if len(split(r[1])) > 120][:40]
+    # Whole copies, copies with a word changed, and with a part taken out, after all others.
+    rows += [(10_000 + k, t) for k, (_, t) in enumerate(long)]
+    rows += [(20_000 + k, re.sub(r"\S+", "changed", t, count=1)) for k, (_, t) in enumerate(long)]
+    rows += [(30_000 + k, t[: len(t) // 3] + "\n" + t[len(t) // 2 :]) for k, (_, t) in enumerate(long)]
+    most, least = bounds(rows, 2 * c.MARGIN + 1), bounds(rows, c.FOUND)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in c.report(docs).collect()}
-    assert {k: r.text for k, r in got.items()} == brute(rows, c.MIN_WORDS)
-    texts = dict(rows)
-    assert all((r.n_removed > 0) == (r.text != texts[k]) for k, r in got.items())
+    assert len(got) == len(rows)
+    changed = 0
+    for doc, text in rows:
+        spans = [tuple(map(int, x.split("-"))) for x in got[doc].spans.split(",") if x]
+        gone = {k for a, b in spans for k in range(a, b)}
+        assert got[doc].n_removed == len(gone) and got[doc].n_spans == len(spans) and all(b - a >= N for a, b in spans)
+        assert split(got[doc].text) == [w for k, w in enumerate(split(text)) if k not in gone]
+        assert spans or got[doc].text == text
+        edge = {k for a in least[doc] if a - 1 not in least[doc] for k in range(a, a + c.MARGIN)} | {k for b in least[doc] if b + 1 not in least[doc] for k in range(b - c.MARGIN + 1, b + 1)}
+        assert least[doc] - edge <= gone
+        whole = {k for k in gone if k in most[doc] or 0 < len(split(text)) < c.FOUND}
+        assert whole == gone
+        changed += bool(spans)
+    assert changed > 100
+
+
+def test_every_passage_of_51_words_is_found(spark):
+    """Whatever the words' lengths: 1,200 passages of 51 to 90 words, each in two texts; of the ends MARGIN words may
+    stay. Passages below min_words stay whole."""
+    rng = random.Random(51)
+    rows, plain, size = [], {}, {}
+    for k in range(1200):
+        n = (51, 51, 52, 60, 90, N - 1)[k % 6]
+        passage, a, b, d, e = words(rng, n), *(words(rng, 30) for _ in range(4))
+        if k % 5 == 0:
+            passage = [w[0] for w in passage]
+        rows += [(k, " ".join(["x1", *a, f"p{k}", *passage, f"q{k}", *b])), (10_000 + k, "\n".join([*d, f"r{k}", *passage, f"s{k}", *e]))]
+        plain[k], size[k] = rows[-2][1], n
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in c.report(docs).collect()}
+    assert all(got[k].text == t for k, t in plain.items())
+    left = []
+    for k, n in size.items():
+        r = got[10_000 + k]
+        if n < N:
+            assert r.text == dict(rows)[10_000 + k]
+            continue
+        (start, stop), = [tuple(map(int, x.split("-"))) for x in r.spans.split(",")]
+        assert 31 <= start <= 31 + c.MARGIN and 31 + n - c.MARGIN <= stop <= 31 + n
+        left.append(n - (stop - start))
+    print("words left at both ends together, on average", sum(left) / len(left))
+    assert sum(left) / len(left) < 12
+
+
+def test_passages_within_a_document_and_texts_without_blanks(spark):
+    rng = random.Random(5)
+    par = " ".join(words(rng, 60))
+    chinese = "".join(chr(0x4E00 + rng.randrange(6000)) for _ in range(400))
+    data = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(4000))
+    thai = "".join(chr(0x0E01 + rng.randrange(46)) for _ in range(1500))
+    rows = [
+        (1, "\n".join([par] * 5)), (2, f"其他文字{chinese}而且"), (3, f"开头不同{chinese}，结尾"), (4, data), (5, f"x=1;{data}"), (6, thai), (7, f"ก{thai}ข"),
+    ]
+    got = {r.doc_id: r.text for r in c.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == par + "\n" and got[2] == rows[1][1] and got[3].startswith("开头不同") and got[3].endswith("，结尾") and len(got[3]) < 30
+    assert got[4] == data and len(got[5]) < 600 and got[6] == thai and len(got[7]) < 400
+
+
+def test_insertions_move_only_the_boundaries_beside_them():
+    rng = random.Random(2)
+    body = words(rng, 2000)
+    plain, edited = (c.Words(" ".join(w)) for w in (body, body[:1000] + ["new"] + body[1000:]))
+    a, b = c.boundaries(plain), c.boundaries(edited)
+    reach = c.SPREAD + c.GEAR_BYTES // 2
+    assert [x for x in a if x < 1000 - reach] == [x for x in b if x < 1000 - reach]
+    assert [x + 1 for x in a if x > 1000 + reach] == [x for x in b if x > 1001 + reach]
+    assert max(y - x for x, y in zip(a, a[1:], strict=False)) <= c.SPREAD and 4 < 2000 / len(a) < 6
+    assert len(set(c.chunks(plain)[2].tolist()) & set(c.chunks(edited)[2].tolist())) > 0.97 * len(a)
+    assert c.SPREAD + 2 * c.MARGIN < c.MIN_WORDS
 
 
-def words(rng, n):
-    return ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n)]
-
-
-def test_planted_passages_go_and_clean_texts_stay(spark):
-    rng = random.Random(8)
-    passages = [words(rng, 55) for _ in range(60)]
-    rows = []
-    for k in range(300):
-        body = words(rng, 200)
-        at = rng.randint(0, 200)
-        rows.append((k, " ".join(body[:at] + (passages[k % 60] if k < 180 else []) + body[at:])))
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "length(text) n_chars", "1 repeated")
-    out = {r.doc_id: r for r in c.apply(docs).collect()}
-    assert all(out[k].text == t for k, t in rows if k < 60 or k >= 180)
-    left = [len(set(passages[k % 60]) & set(out[k].text.split())) for k in range(60, 180)]
-    assert sum(n > 35 for n in left) <= 3 and sum(left) / len(left) < 22
-    assert all(" ".join(passages[k % 60]) not in out[k].text for k in range(60, 180) if left[k - 60] <= 35)
-    assert all(r.n_chars == len(r.text) for r in out.values()) and len(next(iter(out.values()))) == 4
-
-
-def test_insertions_do_not_shift_chunks():
-    rng = random.Random(2)
-    body = words(rng, 500)
-    a, b = set(c.runs(body)[1].tolist()), set(c.runs(body[:250] + ["new"] + body[250:])[1].tolist())
-    assert len(a & b) > 0.9 * len(a)
+def test_gear_hash_rolls():
+    data = bytes(random.Random(1).randrange(256) for _ in range(300))
+    import numpy as np
+
+    got, h = c.gear(np.frombuffer(data, dtype=np.uint8)).tolist(), 0
+    for k in range(len(data)):
+        h = sum(int(c.GEAR[data[k - j]]) << j for j in range(c.GEAR_BYTES) if k >= j) % (1 << 64)
+        assert got[k] == h
 
 
 def test_edges(spark):
-    long = " ".join(f"w{k}" for k in range(40))
-    rows = [(1, long), (1, long), (2, f"x\n{long}\n\ny"), (None, long), (None, long), (3, None), (4, ""), (5, " \n"), (6, "one"), (7, "the " * 20_000), (8, "the " * 20_000)]
+    long = " ".join(f"w{k}" for k in range(60))
+    other = " ".join(f"v{k}" for k in range(50))
+    the = "the " * 20_000
+    rows = [
+        (1, long), (1, long), (2, f"x\n{long}\n\ny"), (None, long), (None, long), (3, None), (4, ""), (5, " \n"), (6, "one"), (7, the), (8, the), (9, "one"), (10, other), (10, f"z {other}"), (None, f"n1 {other}"), (None, f"n2 {other}"),
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id or -1, r.text) for r in c.report(docs).collect()), key=str)
     assert len(got) == len(rows) and got.count((1, long)) == 2 and got.count((-1, "")) == 2
     kept = dict(got)
-    assert kept[2].startswith("x\n") and kept[2].endswith("y") and len(kept[2]) < len(long) and kept[7] == "the " * 20_000 and kept[8] == "" and kept[3] is None and kept[5] == " \n"
+    assert kept[2].startswith("x\n") and kept[2].endswith("y") and len(kept[2].split()) <= 2 + 2 * c.MARGIN
+    assert kept[7] == "the " * N and kept[8] == "" and kept[3] is None and kept[4] == "" and kept[5] == " \n" and kept[6] == kept[9] == "one"
+    assert {t for d, t in got if d == 10} == {other, f"z {other}"} and sum(d == -1 and t[:2] in ("n1", "n2") and len(t.split()) <= 1 + 2 * c.MARGIN for d, t in got) == 2
     assert c.report(docs.limit(0)).count() == 0
 
 
-def test_every_passage_of_51_words_goes_to_the_word(spark):
-    """Also shorter ones down to a run; of 15 words none."""
-    rng = random.Random(51)
-    rows, want = [], {}
-    for k in range(400):
-        n = (51, 51, 51, 27, 16, 15)[k % 6]
-        passage, a, b, c_, d = words(rng, n), *(words(rng, 30) for _ in range(4))
-        rows += [(k, " ".join(["x1", *a, f"p{k}", *passage, f"q{k}", *b])), (1000 + k, " ".join([*c_, f"r{k}", *passage, f"s{k}", *d]))]
-        want[k] = rows[-2][1]
-        want[1000 + k] = rows[-1][1] if n < 16 else " ".join([*c_, f"r{k}", f"s{k}", *d])
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.text for r in c.report(docs).collect()} == want
-
-
-def test_stretches_are_those_of_all_word_runs(spark):
-    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    seen: dict[tuple, int] = {}
-    for doc, text in rows:
-        w = text.split()
-        for k in range(len(w) - 15):
-            seen[tuple(w[k : k + 16])] = min(doc, seen.get(tuple(w[k : k + 16]), doc))
-    want = {}
-    for doc, text in rows:
-        w = text.split()
-        want[doc] = len({j for k in range(len(w) - 15) if seen[tuple(w[k : k + 16])] < doc for j in range(k, k + 16)})
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.n_removed for r in c.report(docs).collect()} == want and any(want.values())
+def test_columns_with_clashing_names_keep_their_values(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, long, 9), (2, f"a {long} b", 9)], "doc_id long, text string, n_chars long")
+    docs = docs.selectExpr("*", "'r' repeated", "'k' known", "'d' doc", "'s' `row`", "'f' found", "'c' copy")
+    got = {r.doc_id: tuple(r) for r in c.apply(docs).collect()}
+    assert got[1] == (1, long, 9, *"rkdsfc") and got[2][2] == len(got[2][1]) < len(long) - 100 and got[2][3:] == tuple("rkdsfc") and c.apply(docs).columns == docs.columns
