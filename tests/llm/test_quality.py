@@ -42,3 +42,67 @@ def test_edges(spark):
     assert out.columns == docs.columns and {k for k in kept if k is not None and k < 80} == set(range(1, 80, 2)) and kept.count(901) == 2
     assert quality.keep_good(docs, labels.limit(0)).count() == len(rows)
     assert quality.report(docs.limit(0), labels).count() == 0
+
+
+def brute_posteriors(rows):
+    """(host, path, label, evidence) -> {(host, path): (host rate, path rate, news)}, with plain loops."""
+    import math
+
+    def mean(xs):
+        return sum(xs) / len(xs)
+
+    rate = (sum(r[2] for r in rows) + 1) / (len(rows) + 2)
+    hosts, paths = {}, {}
+    for h, p, y, z in rows:
+        e = 1 / (1 + math.exp(-(z + math.log(rate / (1 - rate)))))
+        hosts.setdefault(h, []).append((y, e))
+        paths.setdefault((h, p), []).append((y, e))
+    # spread between hosts around the global rate, and within hosts around their own rate
+    q = sum(len(v) * (mean([y for y, _ in v]) - rate) ** 2 for v in hosts.values())
+    between = (q - len(hosts) * rate * (1 - rate)) / len(rows)
+    over_hosts = 1000 if between <= 0 else min(1000, max(2, rate * (1 - rate) / between - 1))
+    q = noise = room = v = 0.0
+    for (h, _), own in paths.items():
+        n, all_ = len(own), len(hosts[h])
+        centre = mean([y for y, _ in hosts[h]])
+        q += n * (mean([y for y, _ in own]) - centre) ** 2
+        noise += (1 - n / all_) * centre * (1 - centre)
+        room += n * (1 - n / all_)
+        v += n * centre * (1 - centre) / len(rows)
+    within = (q - noise) / room
+    over_paths = 1000 if within <= 0 else min(1000, max(2, v / within - 1))
+    out = {}
+    for (h, p), own in paths.items():
+        got = []
+        for k in (0, 1):
+            of_host = (sum(x[k] for x in hosts[h]) + over_hosts * rate) / (len(hosts[h]) + over_hosts)
+            got.append((of_host, (sum(x[k] for x in own) + over_paths * of_host) / (len(own) + over_paths)))
+        (host, path), (_, foreseen) = got
+        out[h, p] = (host, path, math.log(path / (1 - path)) - math.log(foreseen / (1 - foreseen)))
+    return out, over_hosts, over_paths
+
+
+def test_posteriors_by_brute_force(spark):
+    """Hosts far apart, paths near their host's rate: paths are held to their host more than hosts to all."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for h in range(30):
+        at = rng.uniform(0.1, 0.95)
+        for p in range(6):
+            own = min(0.99, max(0.01, at + rng.normal(0, 0.05)))
+            rows += [(f"h{h}", f"p{p}", int(rng.random() < own), float(rng.normal(0, 1))) for _ in range(int(rng.integers(1, 60)))]
+    docs = spark.createDataFrame([(k, h, p, z, 0.0) for k, (h, p, _, z) in enumerate(rows)], "doc_id long, source string, lang string, own_quality double, own_toxic double")
+    labels = spark.createDataFrame([(k, y, 0) for k, (_, _, y, _) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    want, over_hosts, over_paths = brute_posteriors(rows)
+    assert over_paths > 3 * over_hosts
+    got = {(r.host, r.path): (r.host_quality, r.path_quality, r.news_quality) for r in quality.posteriors(docs, labels)[0].collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
+
+
+def test_what_texts_show_already_is_no_news_of_the_site(spark):
+    """A site whose texts are poor as their shape says adds nothing; one whose labels are worse than its texts does."""
+    rows = [(k, "plain", "p", 0.0) for k in range(200)] + [(200 + k, "seen", "p", -4.0) for k in range(100)] + [(300 + k, "hidden", "p", 0.0) for k in range(100)]
+    docs = spark.createDataFrame([(*r, 0.0) for r in rows], "doc_id long, source string, lang string, own_quality double, own_toxic double")
+    labels = spark.createDataFrame([(k, int(h == "plain" and k % 20 > 0 or h != "plain" and k % 20 == 0), 0) for k, h, _, _ in rows], "doc_id long, quality int, toxic int")
+    news = {r.host: r.news_quality for r in quality.posteriors(docs, labels)[0].collect()}
+    assert news["hidden"] < -1.5 and abs(news["seen"]) < 0.5 * abs(news["hidden"])
