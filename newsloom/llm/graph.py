@@ -11,25 +11,35 @@ from newsloom.llm.common import cut
 HOT_ROOTS = 10_000
 
 
+def _told(links: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """links (u, v) with m of least (u, m, n)."""
+    many = F.col("n") * HOT_ROOTS > 2 * total
+    met = links.join(F.broadcast(least.where(many).select("u", "m")), "u", "left")
+    rest = met.where("m is null").select("u", "v").join(least.where(~many).select("u", "m"), "u")
+    return met.where("m is not null").select("u", "v", "m").unionByName(rest.select("u", "v", "m"))
+
+
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """links (a long, b long), in either direction, repeats and loops allowed -> (node, root) for every linked node.
 
     root is the smallest node of the component. Alternates large-star and small-star steps: each node hands its
     larger (or smaller) neighbours to its smallest one, so that links become a star around the root after about
-    log(n) rounds. Minima are pre-aggregated before the shuffle; the join that hands on is a sort-merge join that
-    Spark splits where a node is hot. Every round is checkpointed. No links: no rows. Nulls are no nodes.
+    log(n) rounds. Minima are pre-aggregated before the shuffle; a node with more than one in HOT_ROOTS of all links,
+    as the centre of a large star is, hands on its minimum by a broadcast of HOT_ROOTS rows at most. Every round is
+    checkpointed. No links: no rows. Nulls are no nodes.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u is not null and v is not null and u <> v").distinct()
     edges, before = cut(edges), None
+    total = edges.count()
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _told(both, least, total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        moved = _told(large, least, total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         state = after.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
-        edges = after
+        edges, total = after, state["n"]
         if (state["n"], state["x"]) == before:
             break
         before = (state["n"], state["x"])
