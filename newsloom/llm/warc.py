@@ -22,9 +22,10 @@ from newsloom.llm.common import shared_path
 
 #: Payloads from this size on are written once; bytes of a record's block (a larger one goes on in continuations) and of
 #: a chunk; records in a file; bytes of records that are handed on at a time.
-REVISIT_BYTES, SEGMENT_BYTES, CHUNK_BYTES, FILE_RECORDS, STEP_BYTES = 1000, 1 << 13, 1 << 12, 2000, 4 << 20
+REVISIT_BYTES, SEGMENT_BYTES, CHUNK_BYTES, FILE_RECORDS, STEP_BYTES = 1000, 1 << 13, 1 << 13, 2000, 4 << 20
 END, DATE = "\r\n\r\n", "2000-01-01T00:00:00Z"
-HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
+SPLIT = END.encode()
+HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 PARTS = "origin string, segment int, total long, block binary, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
 
@@ -35,38 +36,35 @@ def with_types(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFram
     is smaller than any; where a group has none else, all are responses."""
     html = F.coalesce(F.col("html"), F.lit(""))
     sized = pages.select("page_id", "url", "html", F.sha1(F.encode(html, "UTF-8")).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes"), F.monotonically_increasing_id().alias("at"))
-    largest = sized.where(F.col("payload_bytes") >= revisit_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", "at")).alias("largest"), F.count("*").alias("copies"))
-    largest = largest.where("copies > 1 and largest.page_id is not null").drop("copies")
+    largest = sized.where(F.col("payload_bytes") >= revisit_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("largest"), F.max_by("at", "page_id").alias("largest_at"), F.count("*").alias("copies"))
+    largest = largest.where("copies > 1 and largest is not null").drop("copies")
     found = sized.join(largest, ["payload_digest", "payload_bytes"], "left")
-    again = F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest.page_id"))
+    again = F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest"))
     return found.select(
         "page_id", "url", "html", "payload_digest", "payload_bytes", F.when(again, "revisit").otherwise("response").alias("record_type"),
-        F.when(again, F.col("largest.page_id")).alias("refers_to"), "at", F.when(again, F.col("largest.at")).alias("refers_at"),
+        F.when(again, F.col("largest")).alias("refers_to"), "at", F.when(again, F.col("largest_at")).alias("refers_at"),
     )
 
 
-def pieces(text: str, size: int) -> Iterator[str]:
-    """text in pieces of whole characters that take at most size bytes, but one character at least."""
-    data = text.encode()
-    if len(data) == len(text):
-        yield from (text[k : k + size] for k in range(0, len(text), size))
-        return
-    at = 0
-    while at < len(data):
-        stop = min(at + size, len(data))
-        while at < stop < len(data) and data[stop] & 0xC0 == 0x80:
+def pieces(data: bytes, size: int) -> Iterator[bytes]:
+    """UTF-8 in pieces of whole characters that take at most size bytes, but one character at least."""
+    at, n = 0, len(data)
+    while at < n:
+        stop = min(at + size, n)
+        while at < stop < n and data[stop] & 0xC0 == 0x80:
             stop -= 1
         if stop == at:
             stop += 1
-            while stop < len(data) and data[stop] & 0xC0 == 0x80:
+            while stop < n and data[stop] & 0xC0 == 0x80:
                 stop += 1
-        yield data[at:stop].decode()
+        yield data[at:stop]
         at = stop
 
 
-def chunked(text: str, size: int = CHUNK_BYTES) -> str:
+def chunked(text: str | bytes, size: int = CHUNK_BYTES) -> bytes:
     """text in chunked transfer framing; chunks are pieces() of size bytes."""
-    return "".join(f"{len(p.encode()):x}\r\n{p}\r\n" for p in pieces(text, size)) + "0\r\n\r\n"
+    data = text.encode() if isinstance(text, str) else text
+    return b"".join(x for p in pieces(data, size) for x in (b"%x\r\n" % len(p), p, b"\r\n")) + b"0\r\n\r\n"
 
 
 def unchunked(body: bytes) -> bytes:
@@ -84,17 +82,17 @@ def unchunked(body: bytes) -> bytes:
         at += 2
 
 
-def record(fields: dict[str, object], block: str) -> str:
+def record(fields: dict[str, object], block: bytes) -> bytes:
     """A record without the end that the writer puts after it."""
-    lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in fields.items() if v is not None), f"Content-Length: {len(block.encode())}"]
-    return "\r\n".join(lines) + END + block
+    lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in fields.items() if v is not None), f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + SPLIT + block
 
 
 def record_id(own: str, segment: int = 1) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{own}/{segment}')}>"
 
 
-def records_of(row: dict, own: str, segment_bytes: int, chunk_bytes: int, refers_own: str | None = None) -> Iterator[str]:
+def records_of(row: dict, own: str, segment_bytes: int, chunk_bytes: int, refers_own: str | None = None) -> Iterator[bytes]:
     """The record of a page, or its segments. own: what tells this row apart; refers_own: the row that it refers to."""
     uri = (row["url"] or "").replace("\r", "%0D").replace("\n", "%0A")
     fields = {"WARC-Record-ID": record_id(own), "WARC-Date": DATE, "WARC-Target-URI": uri if row["url"] is not None else None, "WARC-Payload-Digest": f"sha1:{row['payload_digest']}", "X-Payload-Length": row["payload_bytes"], "X-Page-Id": row["page_id"]}
@@ -111,7 +109,7 @@ def records_of(row: dict, own: str, segment_bytes: int, chunk_bytes: int, refers
         return
     yield record(fields | {"WARC-Segment-Number": 1}, first)
     for k, part in enumerate(others, 2):
-        last = {"WARC-Segment-Total-Length": len(block.encode())} if k == len(others) + 1 else {}
+        last = {"WARC-Segment-Total-Length": len(block)} if k == len(others) + 1 else {}
         yield record({"WARC-Record-ID": record_id(own, k), "WARC-Date": DATE, "WARC-Type": "continuation", "WARC-Segment-Origin-ID": record_id(own), "WARC-Segment-Number": k} | last, part)
 
 
@@ -133,7 +131,8 @@ def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, chunk
             yield pd.DataFrame({"value": ready})
 
     rows = pages.select("url", "html", "payload_digest", "payload_bytes", "record_type", "at", *(F.col(c).cast("string") for c in ("page_id", "refers_to", "refers_at")))
-    rows.mapInPandas(run, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+    texts = rows.mapInPandas(run, "value binary").select(F.col("value").cast("string"))
+    texts.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -194,19 +193,25 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         out = pd.DataFrame(rows, columns=[x.split()[0] for x in PARTS.split(", ")])
         return out.astype({k: "Int64" for k in ("page_id", "refers_to", "payload_bytes")}) if len(out) else out
 
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("segment", ignore_index=True)
-        first, block = group.iloc[0], b"".join(group.block)
-        if group.segment.tolist() != list(range(1, len(group) + 1)) or len(block) != group.total.max():
-            raise ValueError(f"the segments of {first.origin} are not whole")
-        out = pd.DataFrame([(first.page_id, first.url, first.record_type, first.refers_to, first.payload_bytes, first.payload_digest, _checked(block, first.payload_digest))], columns=[x.split()[0] for x in RECORDS.split(", ")])
-        return out.astype({k: "Int64" for k in ("page_id", "refers_to", "payload_bytes")})
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            payloads = []
+            for origin, digest, parts in zip(batch.origin, batch.payload_digest, batch.parts, strict=True):
+                parts = sorted(parts, key=lambda p: p["segment"])
+                block = b"".join(bytes(p["block"]) for p in parts)
+                if [p["segment"] for p in parts] != list(range(1, len(parts) + 1)) or len(block) != max(p["total"] for p in parts):
+                    raise ValueError(f"the segments of {origin} are not whole")
+                payloads.append(_checked(block, digest))
+            out = batch.assign(payload=payloads)[columns]
+            yield out.astype({k: "Int64" for k in ("page_id", "refers_to", "payload_bytes")})
 
-    parts = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, PARTS)
     columns = [x.split()[0] for x in RECORDS.split(", ")]
+    parts = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, PARTS)
     whole = parts.where("segment = 0").withColumnRenamed("block", "payload").select(columns)
-    pieces = parts.where("segment > 0").groupBy("origin").applyInPandas(join, RECORDS)
-    return whole.unionByName(pieces)
+    # A group is one record: its segments, and what the first of them says of it.
+    fields = [F.max_by(c, -F.col("segment")).alias(c) for c in columns if c != "payload"]
+    groups = parts.where("segment > 0").groupBy("origin").agg(*fields, F.collect_list(F.struct("segment", "total", "block")).alias("parts"))
+    return whole.unionByName(groups.mapInPandas(join, RECORDS))
 
 
 def round_trip(pages: DataFrame, path: str | None = None, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
