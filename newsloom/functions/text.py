@@ -1,15 +1,37 @@
-"""Scalar text functions over columns; all of them stay in the JVM."""
+"""Scalar text functions over columns. They stay in the JVM, but for decomposing letters that are not ASCII."""
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-# Query parameters that carry no content.
+# Query parameters that carry no content, for the canonical and for the review key.
 TRACKING = [
-    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "fbclid", "gclid", "ref", "referrer", "source", "from", "via", "share", "s", "mod", "cmpid", "ocid",
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content",
+    "ref", "referrer", "fbclid", "gclid", "msclkid", "_ga", "source",
+    "from", "via", "share", "s", "cmpid", "mod",
 ]
+REVIEW_TRACKING = ["fbclid", "gclid", "mc_cid", "mc_eid", "ref", "ref_src", "source", "utm"]
+# Schemes whose URLs have an authority even where it is empty.
+WITH_AUTHORITY = ["ftp", "http", "gopher", "nntp", "telnet", "imap", "wais", "file", "mms", "https", "shttp", "snews", "prospero", "rtsp", "rtspu", "rsync", "svn", "svn+ssh", "sftp", "nfs", "git", "git+ssh", "ws", "wss", "itms-services"]
 EMPTY = ["", "nan", "null", "none", "n/a", "na"]
+#: What a word is made of, and a character that is none, as in word boundaries of any script.
+WORD = r"[\p{L}\p{N}_]"
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once for each row: a lambda's variable is never inlined again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def _part(url: Column, pattern: str, group: int = 1) -> Column:
@@ -32,28 +54,71 @@ def url_query(url: Column) -> Column:
     return _part(url, r"^[^?#]*\?([^#]*)")
 
 
+def unquoted(text: Column) -> Column:
+    """Percent codes and + decoded; a text with malformed codes keeps them."""
+    return F.coalesce(F.try_url_decode(text), F.replace(text, F.lit("+"), F.lit(" ")))
+
+
+def quoted(text: Column) -> Column:
+    """Percent-encoded with + for a space; letters, digits and _.-~ stay."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def _parsed(url: Column, body) -> Column:
+    """body(scheme, authority, path, parameters) of a trimmed URL, also of one without scheme or authority; parameters
+    are structs of decoded names and values, in order."""
+    clean = F.regexp_replace(trimmed(url), r"[\t\r\n]", "")
+    kind = F.lower(_part(clean, r"^([A-Za-z][A-Za-z0-9+.-]*):"))
+    rest = F.regexp_replace(F.regexp_replace(clean, r"^[A-Za-z][A-Za-z0-9+.-]*:", ""), "(?s)#.*$", "")
+    host = F.lower(_part(rest, r"^//([^/?]*)"))
+    path = _part(F.regexp_replace(rest, r"^//[^/?]*", ""), r"(?s)^([^?]*)")
+
+    def pair(p: Column) -> Column:
+        at = F.instr(p, "=")
+        return F.struct(unquoted(F.when(at > 0, F.left(p, at - 1)).otherwise(p)).alias("k"), unquoted(F.when(at > 0, F.substr(p, at + 1)).otherwise("")).alias("v"))
+
+    query = F.transform(F.filter(F.split(_part(rest, r"(?s)^[^?]*\?(.*)$"), "&"), lambda p: p != ""), pair)
+    return let(F.struct(kind.alias("kind"), host.alias("host"), path.alias("path"), query.alias("query")), lambda u: body(u["kind"], u["host"], u["path"], u["query"]))
+
+
+def _joined(kind: Column, host: Column, path: Column, query: Column) -> Column:
+    slashed = F.when((path == "") | path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+    place = (
+        F.when(host != "", F.concat(F.lit("//"), host, slashed)).when(path.startswith("//"), F.concat(F.lit("//"), path))
+        .when(kind.isin(WITH_AUTHORITY) & ((path == "") | path.startswith("/")), F.concat(F.lit("//"), path)).otherwise(path)
+    )
+    return F.concat(F.when(kind == "", "").otherwise(F.concat(kind, F.lit(":"))), place, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+
+
 def canonical_url(url: Column, tracking: list[str] = TRACKING) -> Column:
-    """Scheme and authority in lower case without a leading www., path without ;parameters and a trailing slash (the
-    root stays), parameters that are not tracking and not blank, the first of each name, by name; no fragment. A string
-    without scheme and authority is returned as it is; null stays null."""
-    host = F.regexp_replace(authority(url), r"^www\.", "")
-    path = F.regexp_replace(F.regexp_replace(url_path(url), ";[^/]*$", ""), "/+$", "")
-    path = F.when(path == "", "/").otherwise(path)
-    name = lambda p: F.split_part(p, F.lit("="), F.lit(1))
-    parts = F.filter(F.split(url_query(url), "&"), lambda p: p.rlike("^[^=]+=.+") & ~F.lower(name(p)).isin(tracking))
-    firsts = F.filter(parts, lambda p, i: F.when(i == 0, True).otherwise(~F.exists(F.slice(parts, 1, F.greatest(i, F.lit(1))), lambda q: name(q) == name(p))))
-    query = F.array_join(F.array_sort(firsts), "&")
-    whole = F.concat(scheme(url), F.lit("://"), host, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    return F.when((scheme(url) == "") | (authority(url) == ""), url).otherwise(whole)
+    """Scheme and authority in lower case without a leading www., path without the last segment's ;parameters and
+    without trailing slashes (the root stays), decoded parameters that are not tracking and not blank, the first of each
+    name, by name; no fragment. White space around goes; null stays null."""
+
+    def of(kind: Column, host: Column, path: Column, query: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(path, r"(?s);[^/]*$", ""), "/+$", "")
+        kept = F.filter(query, lambda q: (q["v"] != "") & ~F.lower(q["k"]).isin(tracking))
+
+        def firsts(ps: Column) -> Column:
+            return F.transform(F.array_sort(F.array_distinct(F.transform(ps, lambda q: q["k"]))), lambda k: F.concat(k, F.lit("="), F.get(F.filter(ps, lambda q: q["k"] == k), F.lit(0))["v"]))
+
+        return _joined(kind, F.regexp_replace(host, r"^www\.", ""), F.when(bare == "", "/").otherwise(bare), F.array_join(let(kept, firsts), "&"))
+
+    return _parsed(url, of)
 
 
 def review_url(url: Column) -> Column:
-    """The review key: blank values and repeated names stay, utm_* and click ids go, the rest by name."""
-    name = lambda p: F.lower(F.split_part(p, F.lit("="), F.lit(1)))
-    parts = F.filter(F.split(url_query(url), "&"), lambda p: (p != "") & ~name(p).startswith("utm_") & ~name(p).isin("fbclid", "gclid", "ref"))
-    query = F.array_join(F.array_sort(parts), "&")
-    kind = F.when(scheme(url) == "", "https").otherwise(scheme(url))
-    return F.concat(kind, F.lit("://"), F.regexp_replace(authority(url), r"^www\.", ""), F.regexp_replace(url_path(url), "/+$", ""), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    """The review key: blank values and repeated names stay, utm_* and click ids go, the rest encoded again and in the
+    order of name and value; https where there is no scheme, the root's slash stays. Null and blank give an empty string."""
+
+    def of(kind: Column, host: Column, path: Column, query: Column) -> Column:
+        bare = F.regexp_replace(path, "/+$", "")
+        kept = F.array_sort(F.filter(query, lambda q: ~F.lower(q["k"]).isin(REVIEW_TRACKING) & ~F.startswith(F.lower(q["k"]), F.lit("utm_"))))
+        items = F.array_join(F.transform(kept, lambda q: F.concat(quoted(q["k"]), F.lit("="), quoted(q["v"]))), "&")
+        return _joined(F.when(kind == "", "https").otherwise(kind), F.regexp_replace(host, r"^www\.", ""), F.when(bare == "", path).otherwise(bare), items)
+
+    raw = F.coalesce(url, F.lit(""))
+    return F.when(trimmed(raw) == "", "").otherwise(_parsed(raw, of))
 
 
 def plain_url_key(url: Column) -> Column:
@@ -70,9 +135,20 @@ def cleaned_text_path(url: Column) -> Column:
     return F.concat(F.regexp_replace(domain(url), r"[^A-Za-z0-9_.-]", "_"), F.lit("/"), F.left(F.sha2(url, 256), F.lit(16)), F.lit(".txt"))
 
 
+@F.pandas_udf(StringType())
+def _decomposed(part: pd.Series) -> pd.Series:
+    return part.map(lambda t: t if t is None else unicodedata.normalize("NFKD", t))
+
+
+def decomposed(text: Column) -> Column:
+    """Compatibility decomposition (NFKD), which no built-in function has; ASCII texts are as they are."""
+    other = F.octet_length(text) != F.char_length(text)
+    return F.when(other, _decomposed(F.when(other, text))).otherwise(text)
+
+
 def normal_title(title: Column) -> Column:
-    """Lower case, digits joined over separators, punctuation to spaces, spaces folded. Marks and letters of all scripts stay."""
-    t = F.regexp_replace(F.lower(title), r"([0-9])[,.]([0-9])", "$1$2")
+    """Lower case, letters decomposed, digits joined over separators, punctuation and marks to spaces, spaces folded."""
+    t = F.regexp_replace(decomposed(F.lower(title)), r"([0-9])[,.]([0-9])", "$1$2")
     t = F.regexp_replace(t, r"[^\p{L}\p{N}_\s]", " ")
     t = F.regexp_replace(t, r"\s+", " ")
     return F.btrim(F.regexp_replace(t, r"([0-9]) ([0-9])", "$1$2"))
@@ -87,15 +163,78 @@ def padded(text: Column) -> Column:
     return F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " ")), F.lit(" "))
 
 
-def terms_in(text: Column, terms: list[str], cap: int | None = None) -> Column:
-    """The terms that stand in the text as whole words, longest first, then in the given order; cap of them at most."""
+def padded_terms(text: Column, terms: list[str], cap: int | None = None) -> Column:
+    """The terms that stand in the padded text, longest first, then in the given order; cap of them at most."""
     ordered = sorted(dict.fromkeys(terms), key=lambda t: -len(t))
-    hits = F.array_compact(F.array(*(F.when(F.contains(padded(text), F.lit(f" {t} ")), F.lit(t)) for t in ordered)))
+    hits = let(padded(text), lambda p: F.array_compact(F.array(*(F.when(F.contains(p, F.lit(f" {t} ")), F.lit(t)) for t in ordered))))
     return F.slice(hits, 1, cap) if cap else hits
 
 
-def term_count(text: Column, terms: list[str]) -> Column:
-    return sum((F.contains(padded(text), F.lit(f" {t} ")).cast("int") for t in dict.fromkeys(terms)), F.lit(0))
+def whole(term: str) -> str:
+    """A regular expression for the term between word boundaries of any script."""
+    def edge(c: str, look: str) -> str:
+        return f"(?{look}{'!' if c.isalnum() or c == '_' else '='}{WORD})"
+
+    return f"{edge(term[0], '<')}{re.escape(term)}{edge(term[-1], '')}"
+
+
+def terms_in_low(low: Column, terms: list[str]) -> Column:
+    """The terms that stand in a lower-cased text as whole words, in the order of the list, each once. The cheap look
+    for the bare string comes first, so most terms never run a regular expression."""
+    own = [t for t in dict.fromkeys(terms) if t]
+    if not own:
+        return F.array().cast("array<string>")
+    return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t.lower())) & low.rlike(whole(t.lower())), F.lit(t)) for t in own)))
+
+
+def terms_in(text: Column, terms: list[str]) -> Column:
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: terms_in_low(low, terms))
+
+
+def around(text: Column, start: Column, length: Column, before: int, after: int) -> Column:
+    """Text from before characters ahead of a place (from 1) to after characters behind length more, trimmed."""
+    first = F.greatest(F.lit(1), start - before)
+    return trimmed(F.substring(text, first, start + length + after - first))
+
+
+def term_evidence(text: Column, low: Column, terms: Column, before: int = 100, after: int = 140) -> Column:
+    """Text around the first of the terms (an array, lower-cased here) that stands in it; empty where none does."""
+    here = F.filter(F.transform(terms, lambda t: F.lower(t)), lambda t: F.contains(low, t))
+    return let(F.get(here, F.lit(0)), lambda t: F.when(t.isNull(), "").otherwise(around(text, F.instr(low, t), F.length(t), before, after)))
+
+
+def pattern_evidence(text: Column, patterns: list[str], before: int = 80, after: int = 100) -> Column:
+    """Text around the match of the first of the patterns, in any case, that matches; empty where none does."""
+    out = F.lit("")
+    for pattern in reversed(patterns):
+        at = F.regexp_instr(text, F.lit(f"(?i){pattern}"))
+        out = F.when(at > 0, around(text, at, F.length(F.regexp_substr(text, F.lit(f"(?i){pattern}"))), before, after)).otherwise(out)
+    return out
+
+
+def proximity_evidence(text: Column, left: list[str], right: list[str], reach: int = 90) -> Column:
+    """The text up to reach characters on both sides of the first left term, in the order of the lists, that has a right
+    term as whole words there; the left one counts within words, too. Empty where there is none."""
+    if not left or not right:
+        return F.lit("")
+
+    def having(b: str):
+        return lambda x: F.contains(F.lower(x), F.lit(b)) & F.lower(x).rlike(whole(b))
+
+    def of_low(low: Column) -> Column:
+        def of_left(a: Column) -> Column:
+            quoted_ = F.concat(F.lit("\\Q"), a, F.lit("\\E"))
+            # The literal comes first, so that only its places are looked around. Before it: reach characters, or all there are.
+            found = F.concat(F.lit("(?is)"), quoted_, F.lit(f"(?<=(\\A.{{0,{reach}}}|.{{{reach}}})"), quoted_, F.lit(f")(?=(.{{0,{reach}}}))"))
+            sides = F.arrays_zip(F.regexp_extract_all(text, found, F.lit(1)).alias("x"), F.regexp_extract_all(text, found, F.lit(0)).alias("y"), F.regexp_extract_all(text, found, F.lit(2)).alias("z"))
+            here = F.transform(sides, lambda p: F.concat(p["x"], p["y"], p["z"]))
+            return let(here, lambda h: F.flatten(F.array(*(F.filter(h, having(b)) for b in rights))))
+
+        lefts = F.filter(F.array(*(F.lit(t.lower()) for t in dict.fromkeys(left))), lambda a: F.contains(low, a))
+        return F.coalesce(trimmed(F.get(F.flatten(F.transform(lefts, of_left)), F.lit(0))), F.lit(""))
+
+    rights = [t.lower() for t in dict.fromkeys(right)]
+    return let(F.lower(text), of_low)
 
 
 def phrase_count(text: Column, phrase: str) -> Column:

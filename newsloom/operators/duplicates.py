@@ -8,20 +8,15 @@ groups: rows of equal keys hear of their group's earliest leader and earliest un
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
+from newsloom.sources.shared import cut
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Lineage ends here: a checkpoint in spark.checkpoint.dir, which all executors share; an own folder where it is unset."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="newsloom-"))
-    return df.checkpoint(eager=True)
+#: Rounds before a rest of at most FEW undecided rows with FEW_LINKS links is walked in order on the driver: what is
+#: open then are long chains, of which a round decides two rows each.
+ROUNDS, FEW, FEW_LINKS = 8, 50_000, 500_000
 
 
 def shingles(df: DataFrame, row: str, text: Column, k: int = 3) -> DataFrame:
@@ -65,49 +60,80 @@ def memberships(df: DataFrame, row: str, layers: list[Column]) -> DataFrame:
     return df.select(F.col(row).alias("r"), F.explode(each).alias("m")).select("r", "m.layer", "m.key").where("key is not null and key <> ''")
 
 
-def leaders(rows: DataFrame, members: DataFrame, near: DataFrame | None, row: str, max_rounds: int = 200) -> DataFrame:
-    """rows (row), members (r, layer, key) and near pairs (a, b) of the last layer -> row, leader (null for leaders), layer.
-
-    A group of equal keys is told to its rows by its earliest leader and its earliest undecided row, so its size does
-    not matter. One join and one aggregation for each round.
+def _walked(keys: DataFrame, near: DataFrame) -> list[tuple[int, int]]:
+    """Undecided rows that no leader precedes, keys (r, keys) and near links between them (a, b), a before b: each row
+    in order leads unless an earlier one that leads has one of its keys or is near it."""
+    back: dict[int, list[int]] = {}
+    for x in near.collect():
+        back.setdefault(x["b"], []).append(x["a"])
+    taken: set[tuple] = set()
+    leading: set[int] = set()
+    out = []
+    for x in keys.orderBy("r").collect():
+        own = {tuple(k) for k in x["keys"]}
+        leads = not own & taken and not any(a in leading for a in back.get(x["r"], ()))
+        if leads:
+            taken |= own
+            leading.add(x["r"])
+        out.append((x["r"], 1 if leads else 2))
+    return out
+
+
+def leaders(rows: DataFrame, members: DataFrame, near: DataFrame | None, row: str, near_of: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """rows (row), members (r, layer, key), near pairs (a, b) of groups and near_of (r, grp), which of them a row is in
+    -> row, leader (null for leaders), layer (near: the one after the last). Without near_of each row is a group.
+
+    A group of equal keys is told to its rows by its earliest leader and its earliest undecided row, and so is a group to
+    those near it; so neither a group's size nor that of two near ones makes pairs of rows. One join and one aggregation
+    for each round.
     """
-    none = rows.sparkSession.createDataFrame([], "a long, b long")
-    near = cut((near or none).select("a", "b"))
+    spark = rows.sparkSession
+    pairs = cut(near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()) if near is not None else spark.createDataFrame([], "a long, b long")
+    if near_of is None:
+        near_of = rows.select(F.col(row).alias("r"), F.col(row).alias("grp")).where(F.lit(near is not None))
+    near_of = cut(near_of)
     members = cut(members)
     last = 1 + (members.agg(F.max("layer")).first()[0] or 0)
     state = cut(rows.select(F.col(row).alias("r"), F.lit(0).alias("s")))  # 0 undecided, 1 leader, 2 duplicate
+    summary = [F.min(F.when(F.col("s") == 1, F.col("r"))).alias("led"), F.min(F.when(F.col("s") == 0, F.col("r"))).alias("open")]
 
     def facts() -> DataFrame:
         """(r, layer, led: the earliest leader before it, open: whether an undecided row is before it)."""
-        known = members.join(state, "r")
-        groups = known.groupBy("layer", "key").agg(F.min(F.when(F.col("s") == 1, F.col("r"))).alias("led"), F.min(F.when(F.col("s") == 0, F.col("r"))).alias("open"))
-        by_key = members.join(groups, ["layer", "key"]).select("r", "layer", F.when(F.col("led") < F.col("r"), F.col("led")).alias("led"), (F.col("open") < F.col("r")).alias("open"))
-        by_pair = near.join(state.select(F.col("r").alias("a"), "s"), "a").select(F.col("b").alias("r"), F.lit(last).alias("layer"), F.when(F.col("s") == 1, F.col("a")).alias("led"), (F.col("s") == 0).alias("open"))
-        return by_key.unionByName(by_pair)
-
-    for _ in range(max_rounds):
+        groups = members.join(state, "r").groupBy("layer", "key").agg(*summary)
+        by_key = members.join(groups, ["layer", "key"]).select("r", "layer", "led", "open")
+        others = near_of.join(state, "r").groupBy(F.col("grp").alias("b")).agg(*summary)
+        told = pairs.join(others, "b").groupBy(F.col("a").alias("grp")).agg(F.min("led").alias("led"), F.min("open").alias("open"))
+        by_near = near_of.join(told, "grp").select("r", F.lit(last).alias("layer"), "led", "open")
+        return by_key.unionByName(by_near).select("r", "layer", F.when(F.col("led") < F.col("r"), F.col("led")).alias("led"), (F.col("open") < F.col("r")).alias("open"))
+
+    done = 0
+    while True:
         told = facts().groupBy("r").agg(F.min("led").alias("led"), F.max(F.coalesce("open", F.lit(False))).alias("open"))
         state = cut(state.join(told, "r", "left").select("r", F.when(F.col("s") != 0, F.col("s")).when(F.col("led").isNotNull(), 2).when(~F.coalesce("open", F.lit(False)), 1).otherwise(0).alias("s")))
-        if not state.where("s = 0").limit(1).count():
+        done += 1
+        if not (left := state.where("s = 0").count()):
             break
-    else:
-        raise RuntimeError("leaders are not decided")
+        if done >= rounds and left <= FEW:
+            led = facts().groupBy("r").agg(F.min("led").alias("led"))
+            free = cut(state.where("s = 0").join(led, "r", "left").where("led is null").select("r"))
+            own = near_of.join(free, "r")
+            links = cut(own.select(F.col("r").alias("a"), F.col("grp").alias("ga")).join(pairs.select(F.col("a").alias("ga"), F.col("b").alias("gb")), "ga").join(own.select(F.col("r").alias("b"), F.col("grp").alias("gb")), "gb").where("a < b").select("a", "b"))
+            if links.limit(FEW_LINKS + 1).count() <= FEW_LINKS:
+                keys = free.join(members.select("r", F.struct("layer", "key").alias("k")), "r", "left").groupBy("r").agg(F.collect_list("k").alias("keys"))
+                walked = spark.createDataFrame(_walked(keys, links), "r long, w int")
+                state = cut(state.join(walked, "r", "left").select("r", F.when(F.col("s") != 0, F.col("s")).otherwise(F.coalesce("w", F.lit(2))).alias("s")))
+                break
     led = facts().where("led is not null").groupBy("r").agg(F.min(F.struct("layer", "led")).alias("m"))
     return state.join(led, "r", "left").select(F.col("r").alias(row), F.when(F.col("s") == 2, F.col("m.led")).alias("leader"), F.when(F.col("s") == 2, F.col("m.layer")).alias("layer"))
 
 
 def layered(df: DataFrame, row: str, url: Column, title: Column, text: Column, least: float = 0.75) -> DataFrame:
     """df with is_duplicate, duplicate_of, duplicate_layer (0 URL, 1 title of over 10 characters, 2 text, 3 near text)
-    and duplicate_cluster. row is a number in scan order."""
+    and duplicate_cluster. row is a number in scan order. Near pairs are sought, and kept, between distinct texts."""
     shaped = cut(df.select(row, T.canonical_url(url).alias("_u"), T.normal_title(title).alias("_t"), T.text_hash(text).alias("_h"), text.alias("_text")))
-    # near pairs are sought between distinct texts; each row of a text takes part through its text's key
-    firsts = shaped.where("_h is not null").groupBy("_h").agg(F.min(row).alias(row))
-    near = near_pairs(shaped.join(firsts.select(row), row, "left_semi"), row, F.col("_text"), least)
-    named = firsts.select(F.col(row).alias("_rep"), "_h")
-    near = near.join(named.withColumnsRenamed({"_rep": "a", "_h": "ha"}), "a").join(named.withColumnsRenamed({"_rep": "b", "_h": "hb"}), "b")
-    rows = shaped.select(F.col(row).alias("r"), "_h")
-    near = near.join(rows.withColumnsRenamed({"r": "ra", "_h": "ha"}), "ha").join(rows.withColumnsRenamed({"r": "rb", "_h": "hb"}), "hb")
-    near = near.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+    firsts = cut(shaped.where("_h is not null").groupBy("_h").agg(F.min(row).alias("grp")))
+    near = near_pairs(shaped.join(firsts.select(F.col("grp").alias(row)), row, "left_semi"), row, F.col("_text"), least)
+    near_of = shaped.select(F.col(row).alias("r"), "_h").join(firsts, "_h").select("r", "grp")
     members = memberships(shaped, row, [F.col("_u"), F.when(F.length("_t") > 10, F.col("_t")), F.col("_h")])
-    decided = leaders(shaped, members, near, row).withColumnsRenamed({"leader": "duplicate_of", "layer": "duplicate_layer"})
+    decided = leaders(shaped, members, near, row, near_of).withColumnsRenamed({"leader": "duplicate_of", "layer": "duplicate_layer"})
     return df.join(decided, row, "left").withColumn("is_duplicate", F.col("duplicate_of").isNotNull()).withColumn("duplicate_cluster", F.sha2(F.coalesce("duplicate_of", row).cast("string"), 256))

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from newsloom.functions import text as T
 
 # Elements that hold no article, and words of a full and of a partial extraction.
-DROPPED = {"script", "style", "nav", "footer", "header", "aside", "form", "noscript", "iframe", "svg", "button", "template"}
+DROPPED = {"script", "style", "nav", "footer", "header", "aside", "form", "noscript", "iframe", "ads"}
+BODY_NAME = re.compile(r"article[_-]?(body|content|text)", re.I)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 FULL, PARTIAL = 30, 20
 FIELDS = "title string, description string, author string, site string, canonical_url string, published string, body string"
@@ -27,8 +28,10 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.meta: dict[str, str] = {}
         self.linked: list[str] = []
-        self.text: dict[str, list[str]] = {"article": [], "main": [], "body": []}
+        #: Texts by what holds them, the best first: an article, a class or an id that names one, main, body.
+        self.text: dict[str, list[str]] = {"article": [], "class": [], "id": [], "main": [], "body": []}
         self.open: list[str] = []
+        self.kinds: list[tuple[str, ...]] = []
         self.names: dict[str, str] = {}
         self.canonical = ""
 
@@ -40,20 +43,21 @@ class Page(HTMLParser):
             self.canonical = self.canonical or a.get("href", "")
         if tag not in VOID:
             self.open.append("ld" if tag == "script" and a.get("type", "").lower() == "application/ld+json" else tag)
+            named = [k for k in ("class", "id") if BODY_NAME.search(a.get(k, ""))]
+            self.kinds.append((*named, *([tag] if tag in self.text else [])))
         if tag in ("p", "br", "div", "h1", "h2", "h3", "li", "tr"):
             self._add("\n")
 
     def handle_endtag(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k] == tag or tag == "script" and self.open[k] == "ld":
-                del self.open[k:]
+                del self.open[k:], self.kinds[k:]
                 break
 
     def _add(self, data: str) -> None:
         if not DROPPED.intersection(self.open):
-            for name, parts in self.text.items():
-                if name in self.open:
-                    parts.append(data)
+            for name in {n for kinds in self.kinds for n in kinds}:
+                self.text[name].append(data)
 
     def handle_data(self, data: str) -> None:
         last = self.open[-1] if self.open else ""
@@ -85,7 +89,7 @@ def fields_of(page: str) -> tuple:
     p.feed(page)
     p.close()
     ld, m = linked_fields(p.linked), p.meta
-    body = next((b for b in (re.sub(r"\s*\n\s*", "\n", re.sub(r"[ \t\r\f\v]+", " ", "".join(p.text[k]))).strip() for k in ("article", "main", "body")) if b), "")
+    body = next((b for b in (re.sub(r"\s*\n\s*", "\n", re.sub(r"[ \t\r\f\v]+", " ", "".join(p.text[k]))).strip() for k in p.text) if b), "")
     first = lambda *xs: next((x for x in xs if x), None)
     return (
         first(m.get("og:title"), m.get("twitter:title"), ld.get("title"), p.names.get("h1"), p.names.get("title")), first(m.get("og:description"), m.get("twitter:description"), m.get("description")), first(m.get("author"), m.get("article:author"), ld.get("author")),

@@ -2,28 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _no_key(keys: list[str]) -> Column:
+    out = F.lit(False)
+    for k in keys:
+        out = out | F.col(k).isNull()
+    return out
+
+
+def _one_of_each(df: DataFrame, keys: list[str], chosen: Column) -> DataFrame:
+    """The chosen row of each key, pre-aggregated before the shuffle; rows whose keys are null stay all and go nowhere."""
+    keyed = df.where(~_no_key(keys)).groupBy(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys))).agg(chosen.alias("_row")).select("_row.*")
+    return keyed.unionByName(df.where(_no_key(keys)))
+
+
 def keep_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key in the given order; rows whose keys are null stay all."""
-    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rn", rn).where((F.col("_rn") == 1) | F.greatest(*(F.col(k).isNull().cast("int") for k in (*keys, keys[0]))).cast("boolean")).drop("_rn")
+    """The first row of each key in the given, ascending order; rows whose keys are null stay all."""
+    return _one_of_each(df, keys, F.min_by(F.struct("*"), F.struct(*order)))
 
 
 def keep_last(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The last row of each key: what a dictionary that is filled in this order holds."""
-    return keep_first(df, keys, *(F.col(c).desc() for c in order))
+    return _one_of_each(df, keys, F.max_by(F.struct("*"), F.struct(*order)))
 
 
 def duplicates_of_first(df: DataFrame, keys: list[str], *order: Column) -> tuple[DataFrame, DataFrame]:
-    """(first rows, the others with their key's first row beside them as first.*)."""
-    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    first = ranked.where("_rn = 1").drop("_rn")
-    rest = ranked.where("_rn > 1").drop("_rn")
-    beside = first.select(*keys, F.struct(*[F.col(c) for c in df.columns]).alias("first"))
-    return first, rest.join(beside, keys)
+    """(first rows, the others with their key's first row beside them as first.*). Rows whose keys are null are firsts.
+    The order tells all rows of a key apart."""
+    first = keep_first(df, keys, *order)
+    beside = first.where(~_no_key(keys)).select(*keys, F.struct(*[F.col(c) for c in df.columns]).alias("first"), F.struct(*order).alias("_first"))
+    rest = df.join(beside, keys).where(F.struct(*order) != F.col("_first")).drop("_first")
+    return first, rest
 
 
 def look_up(df: DataFrame, table: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -107,3 +119,20 @@ def fallback_join(df: DataFrame, table: DataFrame, steps: list[tuple[Column, Col
     names = [f"_v{k}" for k in range(len(steps))]
     return out.withColumn(value, F.coalesce(*names)).drop(*names)
 
+
+
+def overlay_labels(base: DataFrame, override: DataFrame, key: str, label: str, source: str, name: str) -> DataFrame:
+    """base with the label that override has for its key, if it has the key at all (the last one of it, also an empty
+    one), and from it final_label and review_status; a label that came from override adds name to the source."""
+    last = override.where(F.btrim(key) != "").groupBy(F.btrim(F.col(key)).alias("_k")).agg(F.max_by(F.coalesce(label, F.lit("")), "position").alias("_label"))
+    out = base.join(last, F.btrim(base[key]) == F.col("_k"), "left")
+    keep = F.coalesce("_label", F.when(F.col("_k").isNull(), F.coalesce(F.col(label), F.lit(""))), F.lit(""))
+    final = F.when(keep == "1", "relevant").when(keep == "0", "irrelevant").otherwise("")
+    added = F.when(F.col("_k").isNotNull() & (keep != ""), F.regexp_replace(F.concat_ws("; ", F.coalesce(F.col(source), F.lit("")), F.lit(name)), "^[; ]+", "")).otherwise(F.coalesce(F.col(source), F.lit("")))
+    status = F.when(keep.isin("0", "1"), "human_reviewed").otherwise("needs_review")
+    return out.withColumns({"final_keep": keep, "final_label": final, "review_status": status, "_source": added}).drop("_k", "_label", source).withColumnRenamed("_source", source)
+
+
+def attach(base: DataFrame, other: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Columns of other for base's key, each only where it has a value; else base's own."""
+    return patch(base, other, [key], columns)

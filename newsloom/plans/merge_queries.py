@@ -46,16 +46,21 @@ def stem_forms(spark, sf_dir):
     return d.groupBy("form").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
 
 
-@query("WITH f AS (SELECT o_orderpriority AS q, min(o_orderkey) AS pos FROM orders WHERE o_orderkey % 7 < 3 GROUP BY 1) SELECT q, pos, row_number() OVER (ORDER BY pos) AS query_number FROM f")
+@query("WITH f AS (SELECT o_orderpriority AS q, min(o_orderkey) AS pos FROM orders GROUP BY 1) SELECT q, pos, row_number() OVER (ORDER BY pos) AS query_number FROM f")
 def plan_dedup(spark, sf_dir):
     """DD-17, WIN-03: the first of each query over all plan files, numbered again."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 7 < 3").groupBy(F.col("o_orderpriority").alias("q")).agg(F.min("o_orderkey").alias("pos"))
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("q")).agg(F.min("o_orderkey").alias("pos"))
     return o.withColumn("query_number", F.row_number().over(Window.orderBy("pos")).cast("long"))  # a plan's few queries
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT page_id AS r, row_number() OVER (ORDER BY page_id) AS n, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) || regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS u, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS t FROM pages),
+s AS (SELECT 0::BIGINT AS n, []::STRUCT(r BIGINT, u VARCHAR, t VARCHAR)[] AS led, NULL::BIGINT AS r, NULL::BIGINT AS leader, NULL::INT AS layer
+  UNION ALL
+  SELECT n, CASE WHEN coalesce(l0, l1) IS NULL THEN list_append(led, {'r': r, 'u': u, 't': t}) ELSE led END, r, coalesce(l0, l1), CASE WHEN l0 IS NOT NULL THEN 0 WHEN l1 IS NOT NULL THEN 1 END
+  FROM (SELECT o.n, s.led, o.r, o.u, o.t, list_filter(s.led, lambda x: x.u = o.u AND o.u <> '')[1].r AS l0, list_filter(s.led, lambda x: x.t = o.t AND o.t <> '')[1].r AS l1 FROM s JOIN o ON o.n = s.n + 1))
+SELECT r AS page_id, leader, layer FROM s WHERE r IS NOT NULL""")
 def or_key_dedup(spark, sf_dir):
-    """DD-12, DD-18: rows that share a URL key or a title with an earlier kept row; tested against a scan."""
+    """DD-12, DD-18: rows that share a URL key or a title with an earlier kept row; the twin scans row by row."""
     p = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
     members = duplicates.memberships(p, "page_id", [T.plain_url_key(F.col("url")), F.lower("title")])
     return duplicates.leaders(p, members, None, "page_id")

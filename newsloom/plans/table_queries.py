@@ -81,10 +81,10 @@ def fallback_join(spark, sf_dir):
     return merge.fallback_join(c, both, [(F.col("k"), F.col("even")), (F.col("k"), F.col("any"))], "found", "id").select("c_custkey", "found")
 
 
-@query("SELECT o.o_orderkey, c.c_name AS first_name, n.n_name AS last_name FROM orders o LEFT JOIN customer c ON c_custkey = o_custkey LEFT JOIN (SELECT n_regionkey, max_by(n_name, n_nationkey) AS n_name FROM nation GROUP BY 1) n ON n_regionkey = o_custkey % 5 WHERE o_orderkey % 2 = 0")
+@query("SELECT o.o_orderkey, c.c_name AS first_name, n.n_name AS last_name FROM orders o LEFT JOIN customer c ON c_custkey = o_custkey LEFT JOIN (SELECT n_regionkey, max_by(n_name, n_nationkey) AS n_name FROM nation GROUP BY 1) n ON n_regionkey = o_custkey % 5")
 def lookups(spark, sf_dir):
     """JN-01 (last wins), JN-02 (first wins), JN-07."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), (F.col("o_custkey") % 5).cast("int").alias("n_regionkey"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), (F.col("o_custkey") % 5).cast("int").alias("n_regionkey"))
     first = merge.keep_first(table(spark, sf_dir, "customer"), ["c_custkey"], F.col("c_name"))
     last = merge.keep_last(table(spark, sf_dir, "nation"), ["n_regionkey"], "n_nationkey").withColumnRenamed("n_name", "last_name")
     out = merge.look_up(merge.look_up(o, first, ["c_custkey"], ["c_name"]), last, ["n_regionkey"], ["last_name"])

@@ -2,17 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
 from newsloom.operators import duplicates, keywords, metrics, relevance, windows
 from newsloom.plans.catalogue import query
+from newsloom.sources.shared import cut
 from newsloom.sources.tables import table, urls_in
 
 #: A test profile of words that occur in documents: the shipped domains' words do not.
 PRODUCT, SIGNAL, ACTION, PLACES, COUNTRY = ["the", "that", "le"], ["with", "was", "en"], ["for", "from", "de"], ["are", "of", "la"], ["to", "and", "un"]
-PROFILE = relevance.Profile(product=["that", "thing"], adulteration=["with"], action=["from"], places=["are", "of"], country=["are"], non_food=["was"], business=["for"], out_of_scope=["by"], excluded=[" which "], reject=["###"], strong=["the that"], as_adulterant=["is the of"])
+PROFILE = relevance.Profile(
+    product=["that", "thing"], adulteration=["with"], action=["from"], places=["are", "of"], country=["are"], country_names=["are"], non_food=["was"], business=["for"], out_of_scope=["by"], other_food=["his"], excluded=[" which "],
+    reject=["###"], strong=["the that"], as_adulterant=["is the of"],
+)
+#: A title and a URL for documents, which have neither.
+TITLE, SITE = "left(coalesce(text, ''), 60)", "'https://www.' || source || '.example/' || n_chars || '?utm_source=x'"
+
+
+def title() -> Column:
+    return F.left(F.coalesce("text", F.lit("")), F.lit(60))
+
+
+def site() -> Column:
+    return F.concat(F.lit("https://www."), "source", F.lit(".example/"), F.col("n_chars").cast("string"), F.lit("?utm_source=x"))
+
+
+def word(text: str, term: str) -> str:
+    """SQL: whether a term stands in a lower-cased text between characters that are no letters or digits of any script."""
+    return f"regexp_matches({text}, '(^|[^\\pL\\pN_]){term}([^\\pL\\pN_]|$)')"
+
+
+def some(text: str, terms: list[str]) -> str:
+    return "(" + " OR ".join(word(text, t) for t in terms) + ")"
+
+
+def many(text: str, terms: list[str]) -> str:
+    return "(" + " + ".join(f"{word(text, t)}::INT" for t in terms) + ")"
+
+
+def around(at: str, length: int, before: int, after: int) -> str:
+    """SQL: text of clean around a place."""
+    return f"trim(substring(clean, greatest(1, {at} - {before}), {at} + {length + after} - greatest(1, {at} - {before})))"
+
+
+def beside(terms: list[str]) -> str:
+    """SQL: text of clean around the first of the terms that is a word of low."""
+    cases = [f"WHEN {word('low', t)} THEN " + around(f"instr(low, '{t}')", len(t), 100, 140) for t in terms]
+    return " ".join(["CASE", *cases, "ELSE '' END"])
 
 
 def lit(words: list[str]) -> str:
@@ -37,34 +75,40 @@ def discovery_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, array_to_string(list_filter(list_transform([1,2,3,4,5], lambda i: CASE WHEN contains({PAD.format('text')}, ' ' || {lit(['that', 'with', 'the', 'and', 'of'])}[i] || ' ') THEN {lit(['that', 'with', 'the', 'and', 'of'])}[i] END), lambda x: x IS NOT NULL)[1:3], '; ') AS hits FROM documents")
 def lexicon_hits(spark, sf_dir):
     """TXT-02: whole-word terms, longest first, capped."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.terms_in(F.col("text"), ["that", "with", "the", "and", "of"], 3), "; ").alias("hits"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.padded_terms(F.col("text"), ["that", "with", "the", "and", "of"], 3), "; ").alias("hits"))
 
 
 CANON = """regexp_replace(lower(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '')"""
 PATH = """regexp_replace(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '')"""
-CANONICAL = f"""
-WITH u AS (SELECT page_id, url, {CANON.format('url')} AS h, {PATH.format('url')} AS p, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS q, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS s FROM pages),
-q AS (SELECT page_id, array_to_string(list_sort(list(kv)), '&') AS q FROM (SELECT page_id, unnest(string_split(q, '&')) AS kv FROM u)
-  WHERE regexp_matches(kv, '^[^=]+=.+') AND split_part(lower(kv), '=', 1) NOT IN ({', '.join(f"'{t}'" for t in T.TRACKING)}) GROUP BY page_id)
-SELECT page_id, s || '://' || h || CASE WHEN p = '' THEN '/' ELSE p END || CASE WHEN coalesce(q.q, '') = '' THEN '' ELSE '?' || q.q END AS canonical FROM u LEFT JOIN q USING (page_id)"""
+URL_PARTS = f"""u AS (SELECT page_id, url, {CANON.format('url')} AS h, {PATH.format('url')} AS p, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS q, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS s FROM pages),
+kv AS (SELECT page_id, i, url_decode(replace(regexp_extract(x, '^([^=]*)', 1), '+', ' ')) AS k, url_decode(replace(regexp_extract(x, '^[^=]*=(.*)$', 1), '+', ' ')) AS v
+  FROM (SELECT page_id, i, string_split(q, '&')[i] AS x FROM (SELECT page_id, q, unnest(range(1, len(string_split(q, '&')) + 1)) AS i FROM u WHERE q <> '')) WHERE x <> '')"""
 
 
-@query(CANONICAL)
+@query(f"""WITH {URL_PARTS},
+firsts AS (SELECT page_id, k, min_by(v, i) AS v FROM kv WHERE v <> '' AND lower(k) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'ref', 'referrer', 'fbclid', 'gclid', 'msclkid', '_ga', 'source', 'from', 'via', 'share', 's', 'cmpid', 'mod') GROUP BY ALL),
+q AS (SELECT page_id, string_agg(k || '=' || v, '&' ORDER BY k) AS q FROM firsts GROUP BY page_id)
+SELECT page_id, s || '://' || h || CASE WHEN p = '' THEN '/' ELSE p END || CASE WHEN coalesce(q.q, '') = '' THEN '' ELSE '?' || q.q END AS canonical FROM u LEFT JOIN q USING (page_id)""")
 def url_canonical(spark, sf_dir):
     """DD-01."""
     return table(spark, sf_dir, "pages").select("page_id", T.canonical_url(F.col("url")).alias("canonical"))
 
 
-@query(f"""
-WITH u AS (SELECT page_id, url, {CANON.format('url')} AS h, {PATH.format('url')} AS p, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS q, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS s FROM pages),
-q AS (SELECT page_id, array_to_string(list_sort(list(kv)), '&') AS q FROM (SELECT page_id, unnest(string_split(q, '&')) AS kv FROM u)
-  WHERE kv <> '' AND NOT starts_with(lower(kv), 'utm_') AND split_part(lower(kv), '=', 1) NOT IN ('fbclid', 'gclid', 'ref') GROUP BY page_id)
-SELECT page_id, CASE WHEN s = '' THEN 'https' ELSE s END || '://' || h || p || CASE WHEN coalesce(q.q, '') = '' THEN '' ELSE '?' || q.q END AS review_key FROM u LEFT JOIN q USING (page_id)""")
+@query(f"""WITH {URL_PARTS},
+q AS (SELECT page_id, string_agg(url_encode(k) || '=' || url_encode(v), '&' ORDER BY k, v) AS q FROM kv WHERE NOT starts_with(lower(k), 'utm_') AND lower(k) NOT IN ('fbclid', 'gclid', 'mc_cid', 'mc_eid', 'ref', 'ref_src', 'source', 'utm') GROUP BY page_id)
+SELECT page_id, s || '://' || h || CASE WHEN p = '' AND regexp_matches(url, '^[^/]*//[^/?#]*/') THEN '/' ELSE p END || CASE WHEN coalesce(q.q, '') = '' THEN '' ELSE '?' || q.q END AS review_key FROM u LEFT JOIN q USING (page_id)""")
 def url_review_key(spark, sf_dir):
     """DD-02."""
     return table(spark, sf_dir, "pages").select("page_id", T.review_url(F.col("url")).alias("review_key"))
 
 
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '([0-9])[,.]([0-9])', '\\1\\2', 'g'), '[^\\pL\\pN_\\s]', ' ', 'g'), '\\s+', ' ', 'g'), '([0-9]) ([0-9])', '\\1\\2', 'g')) AS plain_title FROM pages WHERE regexp_full_match(regexp_extract(html, '<title>([^<]*)</title>', 1), '[\\x00-\\x7F]*') UNION ALL SELECT page_id, NULL FROM pages WHERE NOT regexp_full_match(regexp_extract(html, '<title>([^<]*)</title>', 1), '[\\x00-\\x7F]*')")
+def normal_titles(spark, sf_dir):
+    """DD-04 of all pages; titles that are not ASCII are decomposed, which the twin cannot say: null here, tested apart."""
+    named = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    return table(spark, sf_dir, "pages").select("page_id", F.when(F.octet_length(named) == F.char_length(named), T.normal_title(named)).alias("plain_title"))
+
+
 @query(f"SELECT page_id, {CANON.format('url')} AS domain, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) || {PATH.format('url')} AS plain_key, regexp_replace({CANON.format('url')}, '[^A-Za-z0-9_.-]', '_', 'g') || '/' || left(sha256(url), 16) || '.txt' AS text_path FROM pages")
 def url_domain(spark, sf_dir):
     """TXT-45, DD-03, SNK-12."""
@@ -73,19 +117,19 @@ def url_domain(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id, sha256(text) AS text_hash, left(sha1(text), 16) AS short_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS words, coalesce(len(regexp_extract_all(lower(text), '[a-z][a-z0-9&/-]*')), 0) AS tokens,
- trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')) AS slug_whole FROM documents WHERE text <> ''""")
+SELECT doc_id, CASE WHEN text <> '' THEN sha256(text) END AS text_hash, left(sha1(text), 16) AS short_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS words, coalesce(len(regexp_extract_all(lower(text), '[a-z][a-z0-9&/-]*')), 0) AS tokens,
+ trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')) AS slug_whole FROM documents""")
 def text_scalars(spark, sf_dir):
     """DD-05, TXT-22, TXT-37, TXT-39."""
     t = F.col("text")
-    return table(spark, sf_dir, "documents").where(t != "").select("doc_id", T.text_hash(t).alias("text_hash"), F.left(F.sha1(t), F.lit(16)).alias("short_id"), T.word_count(t).cast("long").alias("words"), F.size(T.tokens(t, least=1)).cast("long").alias("tokens"), F.regexp_replace(F.regexp_replace(F.lower(t), "[^a-z0-9]+", "-"), "^-|-$", "").alias("slug_whole"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.text_hash(t).alias("text_hash"), F.left(F.sha1(t), F.lit(16)).alias("short_id"), T.word_count(t).cast("long").alias("words"), F.size(T.tokens(t, least=1)).cast("long").alias("tokens"), F.regexp_replace(F.regexp_replace(F.lower(t), "[^a-z0-9]+", "-"), "^-|-$", "").alias("slug_whole"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE regexp_replace(left(text, 200), '\\s+\\S*$', '') || '...' END AS excerpt, (length(lower(text)) - length(replace(lower(text), 'th', ''))) // 2 AS th_count, CASE WHEN instr(lower(text), 'that') > 0 THEN trim(substring(text, greatest(1, instr(lower(text), 'that') - 100), instr(lower(text), 'that') + 4 + 140 - greatest(1, instr(lower(text), 'that') - 100))) ELSE '' END AS evidence FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE regexp_replace(left(text, 200), '\\s+\\S*$', '') || '...' END AS excerpt, (length(lower(text)) - length(replace(lower(text), 'th', ''))) // 2 AS th_count, CASE WHEN instr(lower(text), 'that') > 0 THEN trim(substring(text, greatest(1, instr(lower(text), 'that') - 100), instr(lower(text), 'that') + 4 + 140 - greatest(1, instr(lower(text), 'that') - 100))) ELSE '' END AS evidence FROM documents")
 def text_excerpts(spark, sf_dir):
     """PRJ-03, TXT-16, TXT-20."""
     t = F.col("text")
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", T.excerpt(t, 200).alias("excerpt"), T.phrase_count(t, "th").cast("long").alias("th_count"), T.snippet(t, ["that"]).alias("evidence"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.excerpt(t, 200).alias("excerpt"), T.phrase_count(t, "th").cast("long").alias("th_count"), T.snippet(t, ["that"]).alias("evidence"))
 
 
 @query("SELECT page_id, array_to_string(found, ' ') AS urls FROM (SELECT page_id, list_transform(regexp_extract_all(html, 'https?://[^\\s\"''<>]+'), lambda u: regexp_replace(u, '[.,;)]+$', '')) AS found FROM pages)")
@@ -120,7 +164,8 @@ def dup_flag_all(spark, sf_dir):
 
 
 SHINGLES = """
-w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents WHERE n_chars BETWEEN 200 AND 700),
+f AS (SELECT min(doc_id) AS doc_id, text FROM documents WHERE text <> '' GROUP BY text),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM f),
 s AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL)"""
@@ -128,9 +173,9 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.
 
 @query(f"WITH {SHINGLES} SELECT a, b, round(c / (x.n + y.n - c), 6) AS similarity FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c / (x.n + y.n - c) >= 0.75")
 def shingle_jaccard_pairs(spark, sf_dir):
-    """DD-06, DD-07, JN-15: all pairs of documents of 200 to 700 characters, a stated set, that are near."""
-    docs = table(spark, sf_dir, "documents").where("n_chars between 200 and 700")
-    return duplicates.near_pairs(docs, "doc_id", F.col("text"), 0.75).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    """DD-06, DD-07, JN-15: all near pairs of distinct texts, each told by its first document."""
+    firsts = table(spark, sf_dir, "documents").where("text <> ''").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    return duplicates.near_pairs(firsts, "doc_id", F.col("text"), 0.75).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query()
@@ -141,22 +186,57 @@ def shingle_jaccard_pairs_all(spark, sf_dir):
     return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+LEADERS = """
+rows AS (SELECT doc_id AS r, row_number() OVER (ORDER BY doc_id) AS n, 'https://' || source || '.example/' || n_chars AS u, CASE WHEN text <> '' THEN sha256(text) END AS h,
+  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '([0-9])[,.]([0-9])', '\\1\\2', 'g'), '[^\\pL\\pN_\\s]', ' ', 'g'), '\\s+', ' ', 'g'), '([0-9]) ([0-9])', '\\1\\2', 'g')) AS t FROM documents),
+near AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c / (x.n + y.n - c) >= 0.75),
+near2 AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+h1 AS (SELECT doc_id AS g, sha256(text) AS h FROM f)"""
+
+
+@query(f"""WITH RECURSIVE {SHINGLES},
+{LEADERS},
+nb AS (SELECT y.r, list(x.r ORDER BY x.r) AS xs FROM rows y JOIN h1 fy ON fy.h = y.h JOIN near2 ON near2.b = fy.g JOIN h1 fx ON fx.g = near2.a JOIN rows x ON x.h = fx.h AND x.r < y.r GROUP BY y.r),
+o AS (SELECT rows.*, coalesce(xs, []) AS xs FROM rows LEFT JOIN nb USING (r)),
+scan AS (SELECT 0::BIGINT AS n, []::STRUCT(r BIGINT, u VARCHAR, t VARCHAR, h VARCHAR)[] AS led, NULL::BIGINT AS r, NULL::BIGINT AS leader, NULL::INT AS layer
+  UNION ALL
+  SELECT n, CASE WHEN leader IS NULL THEN list_append(led, {{'r': r, 'u': u, 't': t, 'h': h}}) ELSE led END, r, leader, layer
+  FROM (SELECT *, coalesce(l0, l1, l2, l3) AS leader, CASE WHEN l0 IS NOT NULL THEN 0 WHEN l1 IS NOT NULL THEN 1 WHEN l2 IS NOT NULL THEN 2 WHEN l3 IS NOT NULL THEN 3 END AS layer
+    FROM (SELECT o.n, scan.led, o.r, o.u, o.t, o.h, list_filter(scan.led, lambda x: x.u = o.u)[1].r AS l0, CASE WHEN length(o.t) > 10 THEN list_filter(scan.led, lambda x: x.t = o.t)[1].r END AS l1,
+      list_filter(scan.led, lambda x: x.h = o.h)[1].r AS l2, list_filter(scan.led, lambda x: list_contains(o.xs, x.r))[1].r AS l3 FROM scan JOIN o ON o.n = scan.n + 1)))
+SELECT r AS doc_id, leader IS NOT NULL AS is_duplicate, leader AS duplicate_of, layer AS duplicate_layer FROM scan WHERE r IS NOT NULL""")
 def leader_dedup(spark, sf_dir):
-    """DD-08..DD-11: layers of URL, title and text over all documents; tested against a sequential scan."""
+    """DD-08..DD-11: layers of URL, title, text and near text over all documents; the twin scans row by row."""
     docs = table(spark, sf_dir, "documents")
-    out = duplicates.layered(docs, "doc_id", F.lit(None).cast("string"), F.split_part("text", F.lit("\n"), F.lit(1)), F.col("text"))
+    out = duplicates.layered(docs, "doc_id", site(), F.split_part("text", F.lit("\n"), F.lit(1)), F.col("text"))
     return out.select("doc_id", "is_duplicate", "duplicate_of", "duplicate_layer")
 
 
 TOK = "SELECT doc_id, source, list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9&/-]*'), lambda t: length(t) >= 3 AND t NOT IN ('the', 'and')) AS w FROM documents"
-GRAMS = f"w AS ({TOK}), g AS (SELECT doc_id, source, w[i] AS term FROM (SELECT doc_id, source, w, unnest(range(1, len(w) + 1)) AS i FROM w) UNION ALL SELECT doc_id, source, w[i] || ' ' || w[i + 1] FROM (SELECT doc_id, source, w, unnest(range(1, len(w))) AS i FROM w))"
+def grams(most: int, words: str = TOK) -> str:
+    """SQL: (doc_id, source, term) of all n-grams up to most words."""
+    each = [f"SELECT doc_id, source, {' || chr(32) || '.join(f'w[i + {k}]' for k in range(n))} AS term FROM (SELECT doc_id, source, w, unnest(range(1, len(w) - {n - 2})) AS i FROM w)" for n in range(1, most + 1)]
+    return f"w AS ({words}), g AS ({' UNION ALL '.join(each)})"
+
 
+GRAMS = grams(2)
 
-@query(f"WITH {GRAMS} SELECT term, count(*) AS n FROM g GROUP BY term ORDER BY n DESC, term LIMIT 120")
+
+@query(f"WITH {grams(4)} SELECT term, count(*) AS n FROM g GROUP BY term ORDER BY n DESC, term LIMIT 120")
 def ngram_topk(spark, sf_dir):
-    """TXT-23, SRT-07."""
-    return keywords.frequency(keywords.grams(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), (1, 2), ["the", "and"]), 120)
+    """TXT-23, SRT-07: runs of 1 to 4 words, after stop words are out."""
+    return keywords.frequency(keywords.grams(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), (1, 2, 3, 4), ["the", "and"]), 120)
+
+
+LONG = "SELECT doc_id, source, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda t: length(t) > 3 AND t NOT IN ('that', 'with')) AS w FROM documents"
+
+
+@query(f"WITH {grams(3, LONG)} SELECT term, count(*) AS n FROM g WHERE contains(term, ' ') GROUP BY term ORDER BY n DESC, term LIMIT 100")
+def phrase_topk(spark, sf_dir):
+    """TXT-24: runs of two and three words of over three letters; none runs over the end of a document."""
+    plain = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9_]+", " ")
+    words = table(spark, sf_dir, "documents").select(F.filter(F.split(plain, " "), lambda t: (F.length(t) > 3) & ~t.isin("that", "with")).alias("w"))
+    return keywords.frequency(words.select(F.explode(F.concat(T.ngrams(F.col("w"), 2), T.ngrams(F.col("w"), 3))).alias("term")), 100)
 
 
 TFIDF = f"""WITH {GRAMS}, tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2), n AS (SELECT count(*) AS n FROM documents),
@@ -171,16 +251,23 @@ def tfidf_topk(spark, sf_dir):
     return keywords.tfidf_top(weights, 100).select("term", F.round("score", 4).alias("score"))
 
 
-@query(f"""WITH {GRAMS}, f AS (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM g GROUP BY term HAVING count(DISTINCT doc_id) >= 20), n AS (SELECT count(*) AS n FROM documents),
-s AS (SELECT term, tf, df, CASE WHEN df < n / 2 THEN tf * ln((1 + n) / (1 + df)) END AS w, n FROM f, n)
-SELECT term, tf AS total_frequency, df AS document_frequency, round(0.35 * coalesce(w / max(w) OVER (), 0) + 0.15 * tf / max(tf) OVER () + 0.15 * df / n + 0.10 * ((w IS NOT NULL)::INT + 1) / 3, 6) AS composite_score FROM s""")
+@query(f"""WITH {GRAMS}, tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL), f AS (SELECT term, sum(tf) AS tf, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS n FROM documents),
+v AS (SELECT doc_id, tf.term, tf.tf * (ln((1 + n) / (1 + f.df)) + 1) AS v FROM tf JOIN f USING (term), n), m AS (SELECT doc_id, sqrt(sum(v * v)) AS m FROM v GROUP BY doc_id),
+t AS (SELECT term, sum(v / m) AS score FROM v JOIN m USING (doc_id) GROUP BY term ORDER BY round(sum(v / m), 6) DESC, term LIMIT 80),
+k AS (SELECT term FROM f ORDER BY tf DESC, term LIMIT 120),
+c AS (SELECT term, tf, df, score, k.term IS NOT NULL AS often FROM f LEFT JOIN t USING (term) LEFT JOIN k USING (term) WHERE t.term IS NOT NULL OR k.term IS NOT NULL)
+SELECT term, tf::BIGINT AS total_frequency, df AS document_frequency, round(0.35 * coalesce(score / max(score) OVER (), 0) + 0.15 * tf / max(tf) OVER () + 0.15 * df / n + 0.10 * ((score IS NOT NULL)::INT + often::INT) / 3, 6) AS composite_score FROM c, n""")
 def keyword_composite(spark, sf_dir):
-    """TXT-28, WIN-06: no score of the second method is there, so its weight is 0."""
+    """TXT-28, WIN-06: candidates are the 120 most frequent terms and the 80 best by TF-IDF; the second method (TXT-26)
+    is not there, so its weight is 0."""
     docs = table(spark, sf_dir, "documents")
     n = docs.count()
-    f = keywords.grams(docs, "doc_id", F.col("text"), (1, 2), ["the", "and"]).groupBy("term", "doc_id").agg(F.count("*").alias("k")).groupBy("term").agg(F.sum("k").alias("total_frequency"), F.count("*").alias("document_frequency")).where("document_frequency >= 20")
-    weight = F.when(F.col("document_frequency") < n / 2, F.col("total_frequency") * F.log((1 + F.lit(n)) / (1 + F.col("document_frequency"))))
-    return keywords.composite(f.withColumn("tfidf", weight).withColumn("yake", F.lit(None).cast("double")), n)
+    terms = cut(keywords.grams(docs, "doc_id", F.col("text"), (1, 2), ["the", "and"]).groupBy("doc_id", "term").agg(F.count("*").alias("tf")))
+    counts = cut(terms.groupBy("term").agg(F.sum("tf").alias("total_frequency"), F.count("*").alias("document_frequency")))
+    best = keywords.tfidf_of(terms, "doc_id", n).groupBy("term").agg(F.sum("weight").alias("tfidf")).orderBy(F.desc(F.round("tfidf", 6)), "term").limit(80)
+    often = counts.orderBy(F.desc("total_frequency"), "term").limit(120).select("term", F.lit(True).alias("often"))
+    found = counts.join(best.join(often, "term", "full_outer"), "term")  # 200 candidates
+    return keywords.composite(found.withColumn("yake", F.lit(None).cast("double")), n)
 
 
 ROUNDS = f"WITH w AS ({TOK}), t AS (SELECT source, unnest(w) AS term FROM w), c AS (SELECT source, term, count(*) AS n FROM t GROUP BY ALL), r AS (SELECT source, term, row_number() OVER (PARTITION BY source ORDER BY n DESC, term) AS k FROM c QUALIFY k <= 30)"
@@ -214,52 +301,80 @@ def kw_novel(spark, sf_dir):
 
 P = PAD.format("text")
 W = PROFILE
+DAY = "'20' || (10 + doc_id % 20) || '-05-01T00:00'"
 
 
-@query(f"""WITH p AS (SELECT doc_id, text, {P} AS p FROM documents WHERE lang = 'en'),
-n AS (SELECT doc_id, contains(lower(text), '###') AS rej, {COUNT('p', W.product)} AS a, {COUNT('p', W.adulteration)} AS b, {COUNT('p', W.action)} AS c, contains(p, ' of ') AS pl, contains(p, ' are ') AS ind FROM p),
-s AS (SELECT *, round(least(1.0, least(a * 0.25, 0.30) + least(b * 0.20, 0.25) + least(c * 0.15, 0.20) + least(0.10 + CASE WHEN pl THEN 0.05 ELSE 0 END, 0.15)), 4) AS t FROM n)
+@query(f"""WITH l AS (SELECT doc_id, {DAY} AS day, lower(coalesce(text, '')) AS low FROM documents),
+n AS (SELECT doc_id, day, contains(low, '###') AS rej, {many('low', W.product)} AS a, {many('low', W.adulteration)} AS b, {many('low', W.action)} AS c, {word('low', 'of')} AS pl, {word('low', 'are')} AS ind FROM l),
+s AS (SELECT *, round(least(1.0, least(a * 0.25, 0.30) + least(b * 0.20, 0.25) + least(c * 0.15, 0.20) + least(0.10 + CASE WHEN pl THEN 0.05 ELSE 0 END, 0.15) + CASE WHEN left(day, 10) BETWEEN '2021-01-01' AND '2026-12-31' THEN 0.10 ELSE 0 END), 4) AS t FROM n)
 SELECT doc_id, round(CASE WHEN rej OR NOT ind OR a = 0 THEN 0.0 WHEN b + c = 0 THEN 0.05 ELSE t END::DOUBLE, 4) AS score, CASE WHEN rej OR NOT ind OR a = 0 OR b + c = 0 OR t < 0.25 THEN 'irrelevant' WHEN t >= 0.55 THEN 'relevant' ELSE 'maybe_relevant' END AS label FROM s""")
 def lexicon_score(spark, sf_dir):
-    """TXT-05, TXT-06."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
-    r = relevance.score(PROFILE, F.lit(""), F.col("text"), F.lit(""), F.lit(None).cast("string"))
-    return docs.select("doc_id", r.alias("r")).select("doc_id", F.round("r.score", 4).alias("score"), "r.label")
-
-
-CLEAN = "trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
-NEAR = "regexp_matches(lower(t), '(thing|that).{{0,90}}(with|from)|(with|from).{{0,90}}(thing|that)')".replace("{{", "{").replace("}}", "}")
-
-
-@query(f"""WITH c AS (SELECT doc_id, {CLEAN} AS t FROM documents WHERE lang = 'en'), p AS (SELECT doc_id, t, {PAD.format('t')} AS p FROM c),
-n AS (SELECT doc_id, t, {HAS('p', W.product)} AS a, {HAS('p', W.adulteration + W.action)} AS b, {HAS('p', W.non_food)} AS nf, {HAS('p', W.business)} AS bu, {HAS('p', W.out_of_scope)} AS oo FROM p)
-SELECT doc_id, CASE WHEN nf AND NOT a THEN 'irrelevant' WHEN contains(lower(t), 'is the of') THEN 'irrelevant' WHEN oo AND NOT a THEN 'irrelevant' WHEN bu AND NOT b THEN 'irrelevant' WHEN contains(lower(t), 'the that') THEN 'relevant' WHEN a AND b THEN 'manual_review' ELSE 'irrelevant' END AS label,
- CASE WHEN nf AND NOT a THEN 0.95 WHEN contains(lower(t), 'is the of') THEN 0.90 WHEN oo AND NOT a THEN 0.85 WHEN bu AND NOT b THEN 0.85 WHEN contains(lower(t), 'the that') THEN 0.94 WHEN a AND b AND {NEAR} THEN 0.74 WHEN a AND b THEN 0.55 WHEN a OR b THEN 0.70 ELSE 0.80 END::DOUBLE AS confidence FROM n""")
+    """TXT-01, TXT-05, TXT-06: over all documents, with a day for each."""
+    day = F.concat(F.lit("20"), (10 + F.col("doc_id") % 20).cast("string"), F.lit("-05-01T00:00"))
+    r = relevance.score(PROFILE, F.lit(""), F.col("text"), F.lit(""), day)
+    return table(spark, sf_dir, "documents").select("doc_id", r.alias("r")).select("doc_id", F.round("r.score", 4).alias("score"), "r.label")
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter([{', '.join(f'CASE WHEN {word(chr(108), t)} THEN {t!r} END' for t in ['with', 'that', 'en', 'für', 'été', 'the'])}], lambda x: x IS NOT NULL), '; ') AS hits FROM (SELECT doc_id, lower(coalesce(text, '')) AS l FROM documents)")
+def word_hits(spark, sf_dir):
+    """TXT-01: whole words of any script, in the order of the list."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.terms_in(F.col("text"), ["with", "that", "en", "für", "été", "the"]), "; ").alias("hits"))
+
+
+STRIP = "trim(regexp_replace(replace(regexp_replace({0}, '<[^>]+>', ' ', 'g'), chr(160), ' '), '\\s+', ' ', 'g'))"
+NEAR = "regexp_matches(t, '(thing|that).{{0,90}}(with|from)|(with|from).{{0,90}}(thing|that)')".replace("{{", "{").replace("}}", "}")
+CLOSE = f"""c AS (SELECT doc_id, clean, lower(clean) AS low, head FROM (SELECT doc_id, {STRIP.format(f"{TITLE} || ' ' || coalesce(text, '') || ' ' || {SITE}")} AS clean, {STRIP.format(f"{TITLE} || ' ' || {SITE}")} AS head FROM documents)),
+pr AS (SELECT doc_id, li, l, len(parts) AS m, unnest(range(1, len(parts) + 1)) AS i, unnest(list_transform(parts, lambda x: length(x))) AS k FROM (SELECT doc_id, li, l, string_split(low, l) AS parts FROM c, (VALUES (1, 'that'), (2, 'thing')) t(li, l) WHERE contains(low, l))),
+pl AS (SELECT doc_id, li, l, i, p, clean FROM (SELECT doc_id, li, l, i, m, (sum(k) OVER (PARTITION BY doc_id, li ORDER BY i) + (i - 1) * length(l) + 1)::BIGINT AS p FROM pr) JOIN c USING (doc_id) WHERE i < m),
+sn AS (SELECT doc_id, li, i, substring(clean, greatest(1, p - 90), p + length(l) + 90 - greatest(1, p - 90)) AS s FROM pl),
+ev AS (SELECT doc_id, min_by(trim(s), li * 1e9 + ri * 1e7 + i) AS evidence FROM (SELECT *, 1 AS ri FROM sn WHERE {word('lower(s)', 'with')} UNION ALL SELECT *, 2 FROM sn WHERE {word('lower(s)', 'from')}) GROUP BY doc_id)"""
+
+
+@query(f"WITH {CLOSE} SELECT c.doc_id, coalesce(evidence, '') AS evidence FROM c LEFT JOIN ev USING (doc_id)")
+def proximity_evidence(spark, sf_dir):
+    """TXT-17, JN-16: the text around the first product that has a signal as a word nearby."""
+    clean = T.strip_markup(F.concat_ws(" ", title(), F.coalesce("text", F.lit("")), site()))
+    docs = table(spark, sf_dir, "documents").select("doc_id", clean.alias("clean"))
+    return docs.select("doc_id", T.proximity_evidence(F.col("clean"), PROFILE.product, PROFILE.adulteration + PROFILE.action).alias("evidence"))
+
+
+@query(f"""WITH {CLOSE},
+n AS (SELECT c.doc_id, clean, low, head, coalesce(evidence, '') AS ev, {some('low', W.product)} AS a, {some('low', W.adulteration + W.action)} AS b, {some('low', W.non_food)} AS nf, {some('low', W.business)} AS bu, {some('low', W.out_of_scope)} AS oo FROM c LEFT JOIN ev USING (doc_id)),
+k AS (SELECT *, CASE WHEN nf AND NOT a THEN 1 WHEN contains(low, 'is the of') THEN 2 WHEN oo AND NOT a THEN 3 WHEN bu AND NOT b THEN 4 WHEN contains(low, 'the that') THEN 5 WHEN a AND b AND ev <> '' AND contains(head, ev) THEN 6 WHEN a AND b AND ev <> '' THEN 7 WHEN a AND b THEN 8 WHEN a THEN 9 WHEN b THEN 10 ELSE 11 END AS k FROM n)
+SELECT doc_id, ['non_food_oil', 'adulterant', 'adjacent_or_unclear', 'adjacent_or_unclear', 'adulterated_product', 'adulterated_product', 'adulterated_product', 'adjacent_or_unclear', 'adjacent_or_unclear', 'adjacent_or_unclear', 'adjacent_or_unclear'][k] AS role,
+ ['irrelevant', 'irrelevant', 'irrelevant', 'irrelevant', 'relevant', 'relevant', 'manual_review', 'manual_review', 'irrelevant', 'irrelevant', 'irrelevant'][k] AS label, [0.95, 0.90, 0.85, 0.85, 0.94, 0.82, 0.74, 0.55, 0.70, 0.70, 0.80][k]::DOUBLE AS confidence,
+ CASE k WHEN 1 THEN {beside(W.non_food)} WHEN 2 THEN {around("instr(low, 'is the of')", 9, 80, 100)} WHEN 3 THEN {beside(W.out_of_scope)} WHEN 4 THEN {beside(W.business)} WHEN 5 THEN {around("instr(low, 'the that')", 8, 80, 100)} WHEN 6 THEN ev WHEN 7 THEN ev
+  WHEN 8 THEN {beside(W.product + W.adulteration + W.action)} WHEN 9 THEN {beside(W.product)} WHEN 10 THEN {beside(W.adulteration + W.action)} ELSE '' END AS evidence FROM k""")
 def cascade_label(spark, sf_dir):
-    """TXT-07, TXT-18."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return docs.select("doc_id", relevance.cascade(PROFILE, F.lit(""), F.col("text"), F.lit("")).alias("r")).select("doc_id", "r.label", F.col("r.confidence").cast("double").alias("confidence"))
+    """TXT-07, TXT-16, TXT-18: role, label, confidence and evidence of all documents, with a title and a URL."""
+    r = relevance.cascade(PROFILE, title(), F.col("text"), site())
+    return table(spark, sf_dir, "documents").select("doc_id", r.alias("r")).select("doc_id", "r.role", "r.label", F.col("r.confidence").cast("double").alias("confidence"), "r.evidence")
 
 
-@query("""WITH l AS (SELECT doc_id, ' ' || replace(lower(text), '-', ' ') || ' ' AS t FROM documents WHERE lang = 'en'),
+@query("""WITH l AS (SELECT doc_id, ' ' || replace(lower(text), '-', ' ') || ' ' AS t FROM documents),
 h AS (SELECT doc_id, (contains(t, 'that') OR contains(t, 'thing')) AS a, contains(t, 'with') AS b, contains(t, 'from') AS c, contains(t, 'are') AS i, contains(t, ' which ') AS x, contains(t, 'for') AS bu, """ + NEAR + """ AS n FROM l)
 SELECT doc_id, 3 * a::INT + 4 * b::INT + 2 * c::INT + 2 * i::INT - 6 * x::INT - 5 * bu::INT + 4 * n::INT AS points, CASE WHEN a AND i AND NOT x AND NOT bu AND n AND b THEN 'strict_rescue_candidate' WHEN a AND i AND NOT x AND n THEN 'possible_review' ELSE 'confirm_metadata_drop' END AS decision FROM h""")
 def audit_score(spark, sf_dir):
     """TXT-03, TXT-09."""
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", relevance.audit(PROFILE, F.col("text")).alias("r")).select("doc_id", "r.points", "r.decision")
+    return table(spark, sf_dir, "documents").select("doc_id", relevance.audit(PROFILE, F.col("text")).alias("r")).select("doc_id", "r.points", "r.decision")
+
+
+BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
-@query("SELECT doc_id, left(text, 60) || chr(10) || chr(10) || left(text, 500) AS body FROM documents")
+@query(f"WITH d AS (SELECT doc_id, trim(left(text, 60), {BLANK}) AS t, trim(text, {BLANK}) AS b FROM documents) SELECT doc_id, t AS title_only, md5(b) AS body_only, md5(left(t || chr(10) || chr(10) || b, 15000)) AS title_and_body, md5(trim(t || chr(10) || chr(10) || b, {BLANK})) AS whole, length(left(t || chr(10) || chr(10) || b, 15000)) AS n FROM d")
 def representations(spark, sf_dir):
-    """TXT-41."""
-    return table(spark, sf_dir, "documents").select("doc_id", windows.title_and_body(F.left("text", F.lit(60)), F.col("text"), 500).alias("body"))
+    """TXT-41: title, body, both within 15,000 characters, and both whole."""
+    t, b = title(), F.coalesce("text", F.lit(""))
+    both = windows.title_and_body(t, b)
+    return table(spark, sf_dir, "documents").select("doc_id", T.trimmed(t).alias("title_only"), F.md5(T.trimmed(b)).alias("body_only"), F.md5(both).alias("title_and_body"), F.md5(windows.title_and_body(t, b, None)).alias("whole"), F.length(both).cast("long").alias("n"))
 
 
 @query()
 def keyword_windows(spark, sf_dir):
-    """TXT-40, TXT-42, TXT-43, WIN-04: sentence splitting is beyond the twin's regular expressions."""
+    """TXT-21, TXT-40, TXT-42, TXT-43, WIN-04: sentence splitting is beyond the twin's regular expressions; tested against plain loops."""
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", windows.keyword_windows(t, ["that", "with"]).alias("windows"), windows.product_windows(F.left(t, F.lit(40)), t, ["that"]).alias("product"), windows.context(t, "with").alias("context"))
+    return table(spark, sf_dir, "documents").select("doc_id", windows.title_windows(title(), t, ["that", "with"]).alias("windows"), windows.product_windows(title(), t, ["that"]).alias("product"), windows.context(t, "with").alias("context"))
 
 
 SCORED = "WITH s AS (SELECT l.doc_id, l.quality, l.toxic, ((d.n_chars * 7919) % 1009) / 1009.0 AS score, ((d.n_chars * 104729) % 997) / 997.0 AS other, d.source, d.lang FROM labels l JOIN documents d USING (doc_id))"
@@ -327,13 +442,13 @@ def label_crosstab(spark, sf_dir):
     return scored(spark, sf_dir).groupBy("source", "quality").agg(F.count("*").alias("n"))
 
 
-@query("WITH l AS (SELECT doc_id, lower(left(text, 60) || ' ' || text) AS t FROM documents WHERE lang = 'en') SELECT doc_id, CASE WHEN contains(t, 'xyz') OR contains(t, 'which') THEN 0.0 ELSE round(((contains(t, 'thing') OR contains(t, 'with'))::INT + contains(t, 'eran')::INT + contains(t, 'for')::INT) / 3, 6) END AS score FROM l")
+@query("WITH l AS (SELECT doc_id, lower(left(text, 60) || ' ' || text) AS t FROM documents) SELECT doc_id, CASE WHEN contains(t, 'xyz') OR contains(t, 'which') THEN 0.0 ELSE round(((contains(t, 'thing') OR contains(t, 'with'))::INT + contains(t, 'eran')::INT + contains(t, 'for')::INT) / 3, 6) END AS score FROM l")
 def substring_score(spark, sf_dir):
     """TXT-13, TXT-14, FLT-05."""
     from newsloom.operators.rounds import substring_score as score
 
     t = F.col("text")
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.round(score(F.left(t, F.lit(60)), t, ["thing and with", "eran", "for"], ["xyz", "which"]), 6).alias("score"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(score(F.left(t, F.lit(60)), t, ["thing and with", "eran", "for"], ["xyz", "which"]), 6).alias("score"))
 
 
 @query("SELECT page_id FROM pages WHERE NOT regexp_matches(lower(url), '(?:/es/)|(?:page=2)') AND NOT contains(lower(url), '#top') AND (length(regexp_extract(html, '<title>([^<]*)</title>', 1)) <= 15 OR regexp_matches(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), 'th|en'))")

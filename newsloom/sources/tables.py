@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from newsloom.functions import text as T
-from newsloom.operators.merge import keep_last
+from newsloom.operators.merge import keep_first, keep_last
 
 #: Schemas of landed records, by connector; what the connectors have in common is the last one.
 LANDED = {
@@ -30,12 +30,19 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: str | StructTyp
     return df.toDF(*(c.lstrip("﻿") for c in df.columns))
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    """df with file and position: a row's place in the order of files' names, of their blocks and of lines, however
+    files are dealt to tasks."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return df.select("*", F.col("_metadata.file_path").alias("file"), place.alias("position"))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, keys: list[str] = ()) -> DataFrame:
-    """JSON lines without malformed ones; with keys, the last line of each."""
+    """JSON lines without malformed ones; with keys, the last line of each in the order of files and lines."""
     df = spark.read.json(path, schema=schema, mode="DROPMALFORMED")
     if not keys:
         return df
-    return keep_last(df.withColumn("_at", F.monotonically_increasing_id()), list(keys), "_at").drop("_at")
+    return keep_last(_placed(df), list(keys), "position").select(df.columns)
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -43,9 +50,82 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_many(spark: SparkSession, pattern: str) -> DataFrame:
-    """All CSV files of a pattern, with the file's name and a row number in the order of names and lines."""
-    df = read_csv(spark, pattern).withColumn("file", F.col("_metadata.file_path"))
-    return df.withColumn("position", F.monotonically_increasing_id())
+    """All CSV files of a pattern, with file and position, which sorts by file name and then by line."""
+    return _placed(read_csv(spark, pattern))
+
+
+def scan(df: DataFrame, equals: dict[str, object], order: list[str], most: int | None = None) -> DataFrame:
+    """Rows with the given values (None: null), in an order; at most that many."""
+    for name, value in equals.items():
+        df = df.where(F.col(name).isNull() if value is None else F.col(name) == F.lit(value))
+    df = df.orderBy(*order)
+    return df.limit(most) if most else df
+
+
+def seeds(df: DataFrame, name: str) -> DataFrame:
+    """Seed rows (url, position and any of title_snippet, published_date, query_used, domain) as discovered records: the
+    first row of each URL; blank cells get the defaults."""
+    first = keep_first(df.withColumn("url", F.btrim("url")).where("url <> ''"), ["url"], F.col("position"))
+    own = {"title_snippet": F.lit(""), "published_date": F.lit(None).cast("string"), "query_used": F.lit("seed"), "domain": T.domain(F.col("url"))}
+    given = {c: F.coalesce(F.nullif(F.btrim(c), F.lit("")), default) if c in df.columns else default for c, default in own.items()}
+    return first.select("url", F.lit("seed").alias("discovery_method"), *(v.alias(k) for k, v in given.items()), F.lit(name).alias("source"), F.lit("pending").alias("status"))
+
+
+def feed_entries(df: DataFrame, product: list[str], signals: list[str], feed: str) -> DataFrame:
+    """Feed entries (link, title, description) whose title and summary have a product and a signal, as whole words."""
+    said = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))))
+    has = lambda terms: F.size(T.terms_in(said, terms)) > 0
+    kept = df.where(F.btrim(F.coalesce("link", F.lit(""))) != "").where(has(product) & has(signals))
+    return kept.select(F.btrim("link").alias("url"), F.lit("rss").alias("discovery_method"), F.lit(f"rss:{feed}").alias("query_used"), F.left(F.coalesce("title", F.lit("")), F.lit(500)).alias("title_snippet"), F.lit(feed).alias("source"), T.domain(F.btrim("link")).alias("domain"), F.lit("pending").alias("status"))
+
+
+def decoded_redirect(url: Column, host: str) -> Column:
+    """The first URL within the base64 path segment behind /articles/ of a host's redirect; any other URL as it is."""
+    coded = F.regexp_extract(url, r"/articles/([A-Za-z0-9_-]+)", 1)
+    plain = F.translate(coded, "-_", "+/")
+    whole = F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), "=")
+    raw = F.decode(F.try_to_binary(whole, F.lit("base64")), "ISO-8859-1")
+    found = F.regexp_extract(raw, r"(https?://[^\x00-\x20\x7f-\xff]+)", 1)
+    return F.when(F.contains(url, F.lit(host)) & (coded != "") & (F.coalesce(found, F.lit("")) != ""), found).otherwise(url)
+
+
+def fetch_status(code: Column) -> Column:
+    """What a response code makes of a page: ok, failed (gone, refused or moved for good) or retry."""
+    # Codes that are not tried again.
+    return F.when(code == 200, "ok").when(code.isin(301, 302, 303, 307, 308, 403, 404, 410, 451), "failed").otherwise("retry")
+
+
+# Lines of a reader's markdown that are not the article's.
+READER_LINES = ["advertisement", "read more", "also read"]
+READER_HEADS = ["url source:", "published time:", "markdown content:"]
+READER_WORDS = r"(?<![A-Za-z0-9_])(login|subscribe|newsletter|share this|follow us|copyright)(?![A-Za-z0-9_])"
+
+
+def reader_article(markdown: Column) -> Column:
+    """struct(title, published, body) of a page that a reader service turned into markdown."""
+
+    def skipped(line: Column) -> Column:
+        low = F.lower(line)
+        heads = [F.startswith(low, F.lit(h)) for h in READER_HEADS] + [F.startswith(line, F.lit(h)) for h in ("![", "[![", "[](")]
+        out = low.isin(READER_LINES) | low.rlike(READER_WORDS) | low.rlike(r"\.(jpg|jpeg|png|webp|gif)\)")
+        for h in heads:
+            out = out | h
+        return out
+
+    def plain(line: Column) -> Column:
+        out = F.regexp_replace(line, r"!\[[^\]]*\]\([^)]+\)", "")
+        out = F.regexp_replace(out, r"\[([^\]]+)\]\([^)]+\)", "$1")
+        return F.btrim(F.regexp_replace(F.regexp_replace(out, r"[*_`#>]+", ""), r"\s+", " "))
+
+    def of(lines: Column) -> Column:
+        at = F.filter(F.transform(lines, lambda x, i: F.when(F.startswith(x, F.lit("Markdown Content:")), i)), lambda i: i.isNotNull())
+        head = lambda name: F.coalesce(F.btrim(F.substr(F.try_element_at(F.filter(lines, lambda x: F.startswith(x, F.lit(name))), F.lit(-1)), F.lit(len(name) + 1))), F.lit(""))
+        fields = lambda x: F.startswith(x, F.lit("Title: ")) | F.startswith(x, F.lit("Published Time: "))
+        body = F.filter(lines, lambda x, i: (i > F.get(at, F.lit(0))) & ~fields(x) & ~skipped(x))
+        text = F.array_join(F.filter(F.transform(body, plain), lambda x: x != ""), "\n")
+        return F.struct(head("Title: ").alias("title"), head("Published Time: ").alias("published"), F.coalesce(text, F.lit("")).alias("body"))
+
+    return T.let(F.transform(F.split(F.coalesce(markdown, F.lit("")), r"\r?\n"), lambda x: F.btrim(x)), of)
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -87,3 +167,29 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 def write_by_label(df: DataFrame, path: str, label: str = "final_label") -> None:
     """One table, a folder for each label: all, relevant, review and irrelevant are reads of it with a filter."""
     df.write.mode("overwrite").partitionBy(label).parquet(path)
+
+
+def _files(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for a path of any store."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """df as the Parquet table at path: written whole beside it and then renamed, so readers see the old or the new one."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    files, at = _files(spark, path)
+    _, fresh = _files(spark, f"{path}.new")
+    files.delete(at, True)
+    if not files.rename(fresh, at):
+        raise OSError(f"{path}.new could not be renamed")
+
+
+def cached(spark: SparkSession, path: str, make) -> DataFrame:
+    """The table at path, made by make() and written where it is not there whole."""
+    files, done = _files(spark, f"{path}/_SUCCESS")
+    if not files.exists(done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LATE = "10 minutes"
 
@@ -37,16 +41,35 @@ def read_folder(spark: SparkSession, path: str, schema: str, files_per_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def upsert_into(events: DataFrame, path: str, checkpoint: str, keys: list[str], order: str) -> StreamingQuery:
-    """Keeps the latest row of each key as a Parquet table: every batch is merged into a new version of it, and a
-    version is whole before it is named by its batch. A batch that runs again writes its version again."""
-    from newsloom.operators.merge import keep_last, upsert_latest
+def upsert_into(events: DataFrame, path: str, checkpoint: str, keys: list[str], order: str, buckets: int = 64) -> StreamingQuery:
+    """Keeps the latest row of each key as a Parquet table in buckets of a hash of the key. A batch rewrites the buckets
+    that it touches and no other; a batch that runs again gives the same rows."""
+    from newsloom.operators.merge import keep_last
+    from newsloom.sources.shared import cut
+    from newsloom.sources.tables import _files
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = keep_last(batch, keys, order)
-        if number:
-            new = upsert_latest(spark.read.parquet(f"{path}/version={number - 1}"), new, keys, order)
-        new.write.mode("overwrite").parquet(f"{path}/version={number}")
+        new = cut(keep_last(batch, keys, order).withColumn("bucket", F.expr(f"cast(pmod(xxhash64({', '.join(keys)}), {buckets}) as int)")))
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # buckets at most
+        files, at = _files(spark, path)
+        if files.exists(at):
+            old = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched))
+            # The checkpoint is read before the buckets are written.
+            new = cut(keep_last(old.unionByName(new), keys, order))
+        new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def leader_store(rows: DataFrame, key: str, row: str) -> DataFrame:
+    """(row, leader) of a stream: of each key the first row leads, in the order of arrival and within a batch of row
+    numbers, and later ones name it. The state is a number for each key."""
+
+    def lead(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        own = pd.concat(parts)[row].sort_values()
+        first = state.get[0] if state.exists else int(own.iloc[0])
+        state.update((first,))
+        yield pd.DataFrame({"row": own.to_numpy(), "leader": [None if r == first and not n else first for n, r in enumerate(own)]}).astype({"leader": "Int64"})
+
+    return rows.where(F.col(key).isNotNull()).groupBy(key).applyInPandasWithState(lead, "row long, leader long", "first long", "append", GroupStateTimeout.NoTimeout)

@@ -61,9 +61,8 @@ def test_stream_equals_batch(spark, tmp_path):
     q = events.upsert_into(events.read_folder(spark, f"{tmp_path}/in", schema.replace(":", " "), 1), f"{tmp_path}/out", f"{tmp_path}/ck", ["user_id"], "event_id")
     q.awaitTermination(120)
     last = {r.user_id: r.m for r in batch.groupBy("user_id").agg(F.max("event_id").alias("m")).collect()}
-    versions = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "out").iterdir() if p.name.startswith("version="))
-    got = spark.read.parquet(f"{tmp_path}/out/version={versions[-1]}").collect()
-    assert len(got) == len(last) and {r.user_id for r in got} == set(last)
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert len(got) == len(last) and {r.user_id: r.event_id for r in got} == last
 
 
 def test_page_fields():
@@ -81,3 +80,82 @@ def test_keyword_rounds(spark):
     steps = [["a", "b"], ["a", "c"], ["a", "c"]]
     known, settled = rounds.augment(lambda k, q: spark.createDataFrame([(t, 1.0) for t in steps[k]], "term string, score double"), ["x"], rounds=3)
     assert settled and known[-1] == ["a", "c"]
+
+
+def test_order_of_files_is_by_name_and_line(spark, tmp_path):
+    """A short file that comes first by name, and a long one: however Spark packs them."""
+    (tmp_path / "a.csv").write_text("url,n\nu,1\n")
+    (tmp_path / "b.csv").write_text("url,n\n" + "".join(f"v{k},{k}\n" for k in range(5000)) + "u,2\n")
+    many = tables.read_many(spark, f"{tmp_path}/*.csv")
+    assert [r.url for r in many.orderBy("position").limit(3).collect()] == ["u", "v0", "v1"]
+    (tmp_path / "a.jsonl").write_text("".join('{"url": "u", "v": %d}\n' % k for k in range(3000)))
+    (tmp_path / "b.jsonl").write_text('{"url": "u", "v": -1}\n')
+    assert tables.read_jsonl(spark, f"{tmp_path}/*.jsonl", "url string, v int", ["url"]).first().v == -1
+    (tmp_path / "x.json").write_text('[{"url": "a", "text": "t"},\n {"url": "b"}]')
+    assert [(r.url, r.text) for r in tables.read_json_array(spark, f"{tmp_path}/x.json", "url string, text string").collect()] == [("a", "t"), ("b", None)]
+    (tmp_path / "t.txt").write_text("one\ntwo")
+    assert tables.read_texts(spark, f"{tmp_path}/t.txt").first()[0] == "one\ntwo"
+
+
+def test_seeds_and_feeds(spark):
+    rows = [(" https://www.a.in/x ", "T", "", 1), ("https://www.a.in/x", "later", "2024", 2), ("", "no", "", 3), ("https://b.in/y", " ", None, 4)]
+    got = tables.seeds(spark.createDataFrame(rows, "url string, title_snippet string, published_date string, position int"), "seeds.csv").orderBy("url").collect()
+    assert [(r.url, r.title_snippet, r.published_date, r.domain, r.query_used, r.status) for r in got] == [("https://b.in/y", "", None, "b.in", "seed", "pending"), ("https://www.a.in/x", "T", None, "a.in", "seed", "pending")]
+    entries = [("https://a.in/1", "Fake oil", "seized"), ("https://a.in/2", "Turmoil", "fake"), ("", "fake oil", ""), ("https://a.in/3", None, "oil was adulterated")]
+    got = tables.feed_entries(spark.createDataFrame(entries, "link string, title string, description string"), ["oil"], ["fake", "adulterated"], "f").collect()
+    assert [r.url for r in got] == ["https://a.in/1", "https://a.in/3"] and got[0].query_used == "rss:f"
+
+
+def test_redirects_codes_and_reader_pages(spark):
+    import base64
+
+    coded = base64.urlsafe_b64encode(b"\x08\x13\x22\x15https://a.in/b?c=1\xd2\x01\x00").decode().rstrip("=")
+    urls = {f"https://news.example.com/rss/articles/{coded}?oc=5": "https://a.in/b?c=1", f"https://other.com/articles/{coded}": None, "https://news.example.com/rss/articles/AAAA": None, "https://news.example.com/x": None, "https://news.example.com/articles/A": None}
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", tables.decoded_redirect(F.col("u"), "news.example.com").alias("d")).collect()
+    assert {r.u: r.d for r in got} == {u: d or u for u, d in urls.items()}
+    codes = [200, 301, 404, 451, 429, 500, None]
+    got = spark.createDataFrame([(c,) for c in codes], "c int").select(tables.fetch_status(F.col("c")).alias("s")).collect()
+    assert [r.s for r in got] == ["ok", "failed", "failed", "failed", "retry", "retry", "retry"]
+    page = "Title: A  title\nURL Source: x\nPublished Time: 2024-03-05\nMarkdown Content:\n# Head\n![img](a.png)\nSome [link](http://x) *text*\nAdvertisement\nSubscribe now\n\n> quoted\n[](x)\nlast"
+    r = spark.range(1).select(tables.reader_article(F.lit(page)).alias("r")).first().r
+    assert (r.title, r.published, r.body) == ("A  title", "2024-03-05", "Head\nSome link text\nquoted\nlast")
+    assert spark.range(1).select(tables.reader_article(F.lit(None).cast("string")).alias("r")).first().r.body == ""
+
+
+def test_tables_are_replaced_whole_and_cached(spark, tmp_path):
+    path = f"file://{tmp_path}/state"
+    for n in (3, 1):
+        tables.replace_table(spark.range(n), path)
+        assert spark.read.parquet(path).count() == n
+    made = []
+    for _ in range(2):
+        assert tables.cached(spark, f"file://{tmp_path}/cache", lambda: made.append(1) or spark.range(5)).count() == 5
+    assert made == [1]
+
+
+def test_leader_store_of_a_stream(spark, tmp_path):
+    rows = [(k, f"https://a.in/{k % 4}" if k != 9 else None) for k in range(10)]
+    for n in range(2):
+        spark.createDataFrame(rows[n * 5 : n * 5 + 5], "row long, url string").coalesce(1).write.parquet(f"{tmp_path}/in{n}")
+    for n in range(2):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        for f in (tmp_path / f"in{n}").glob("*.parquet"):
+            f.rename(tmp_path / "in" / f"{n}-{f.name}")
+        stream = events.read_folder(spark, f"{tmp_path}/in", "row long, url string", 1)
+        q = events.leader_store(stream, "url", "row").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck2").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert {r.row: r.leader for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {k: None if k < 4 else k % 4 for k in range(9)}
+
+
+def test_article_rounds(spark):
+    assert rounds.anchored(["a", "b", "c", "d"], ["x", "a", "y"], 5) == ["a", "b", "c", "x", "y"] and rounds.anchored(["a", "b", "c"], ["x"], 2) == ["a", "b", "c"]
+    pool = spark.createDataFrame([("milk urea",)], "text string")
+    asked = []
+
+    def fetch(k, q):
+        asked.append(q)
+        return spark.createDataFrame([(f"milk urea round{k}",), ("nothing",)], "text string")
+
+    words, kept = rounds.article_rounds(lambda p: sorted({w for r in p.collect() for w in r.text.split()}), fetch, lambda df, ws: df.where(rounds.any_part(F.col("text"), ws)), pool, "milk", 5)
+    assert words == [["milk", "urea"], ["milk", "urea", "round0"], ["milk", "urea", "round0", "round1"]] and [df.count() for df in kept] == [1, 1, 1]
+    assert asked[0] == "milk AND ((milk) OR (urea))"
