@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from newsloom.plans import merge_queries, table_queries, text_queries  # noqa: E402, F401  they register themselves
+from newsloom.plans import merge_queries, model_queries, report_queries, table_queries, text_queries  # noqa: E402, F401  they register themselves

@@ -14,7 +14,7 @@ from newsloom.streaming import events as streams
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, min(ts::DATE)::VARCHAR AS first_day, max(ts::DATE)::VARCHAR AS last_day, count(*) FILTER (value > 50) AS large FROM events GROUP BY 1")
 def event_summary(spark, sf_dir):
-    """AGG-02, AGG-16, AGG-17."""
+    """AGG-02, AGG-17."""
     e = table(spark, sf_dir, "events")
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.min(F.to_date("ts")).cast("string").alias("first_day"), F.max(F.to_date("ts")).cast("string").alias("last_day"), F.count_if(F.col("value") > 50).alias("large"))
 
@@ -71,14 +71,18 @@ def duplicate_report(spark, sf_dir):
     return rest.select("o_orderkey", F.col("first.o_orderkey").alias("first_key"), (F.col("first.o_orderstatus") != F.col("o_orderstatus")).alias("differs"))
 
 
-@query("WITH c AS (SELECT c_custkey, c_name, c_nationkey FROM customer), s AS (SELECT s_nationkey, min_by(s_name, s_suppkey) AS s FROM supplier GROUP BY 1), n AS (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 2 = 0) SELECT c_custkey, coalesce(n_name, s) AS found FROM c LEFT JOIN n ON n_nationkey = c_nationkey LEFT JOIN s ON s_nationkey = c_nationkey")
+@query("""WITH c AS (SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer), s AS (SELECT s_nationkey, min_by(s_name, s_suppkey) AS s FROM supplier WHERE s_nationkey % 3 = 0 GROUP BY 1), n AS (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 2 = 0), t AS (SELECT lower(c_mktsegment) AS t, min_by(c_name, c_custkey) AS s FROM customer GROUP BY 1)
+SELECT c_custkey, coalesce(n_name, s.s, t.s) AS found FROM c LEFT JOIN n ON n_nationkey = c_nationkey LEFT JOIN s ON s_nationkey = c_nationkey LEFT JOIN t ON t.t = lower(c_mktsegment)""")
 def fallback_join(spark, sf_dir):
-    """JN-08, JN-09: the nation's name where its key is even, else its first supplier."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("k"))
-    nation = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("id"), F.col("n_nationkey").cast("string").alias("even"), F.lit(None).cast("string").alias("any"), F.col("n_name").alias("found"))
-    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(None).cast("string").alias("even"), F.col("s_nationkey").cast("string").alias("any"), F.col("s_name").alias("found"))
-    both = nation.withColumn("id", F.col("id").cast("long")).unionByName(supplier)
-    return merge.fallback_join(c, both, [(F.col("k"), F.col("even")), (F.col("k"), F.col("any"))], "found", "id").select("c_custkey", "found")
+    """JN-08, JN-09: the nation's name where its key is even, else its first supplier, else the first of equal titles."""
+    none, key = F.lit(None).cast("string"), F.col("c_nationkey").cast("string")
+    c = table(spark, sf_dir, "customer")
+    nation = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_nationkey").cast("string").alias("a"), none.alias("b"), none.alias("c"), F.col("n_name").alias("found"))
+    supplier = table(spark, sf_dir, "supplier").where("s_nationkey % 3 = 0").select(F.col("s_suppkey").alias("id"), none.alias("a"), F.col("s_nationkey").cast("string").alias("b"), none.alias("c"), F.col("s_name").alias("found"))
+    titles = c.select(F.col("c_custkey").alias("id"), none.alias("a"), none.alias("b"), F.lower("c_mktsegment").alias("c"), F.col("c_name").alias("found"))
+    every = nation.unionByName(supplier).unionByName(titles)
+    steps = [(F.col("k"), F.col("a")), (F.col("k"), F.col("b")), (F.col("t"), F.col("c"))]
+    return merge.fallback_join(c.select("c_custkey", key.alias("k"), F.lower("c_mktsegment").alias("t")), every, steps, "found", "id").select("c_custkey", "found")
 
 
 @query("SELECT o.o_orderkey, c.c_name AS first_name, n.n_name AS last_name FROM orders o LEFT JOIN customer c ON c_custkey = o_custkey LEFT JOIN (SELECT n_regionkey, max_by(n_name, n_nationkey) AS n_name FROM nation GROUP BY 1) n ON n_regionkey = o_custkey % 5")
@@ -111,7 +115,7 @@ def year_pivot(spark, sf_dir):
 
 @query("SELECT source, count(*) AS n, count(*) FILTER (n_chars > 2000) AS long, count(DISTINCT lang) AS langs, round(count(*) FILTER (lang = 'en') / count(*), 6) AS english FROM documents GROUP BY 1 ORDER BY n DESC, source LIMIT 10")
 def source_agg(spark, sf_dir):
-    """AGG-03, AGG-09, AGG-11."""
+    """AGG-03, AGG-11."""
     d = table(spark, sf_dir, "documents")
     return d.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") > 2000).alias("long"), F.countDistinct("lang").alias("langs"), F.round(F.count_if(F.col("lang") == "en") / F.count("*"), 6).alias("english")).orderBy(F.desc("n"), "source").limit(10)
 
@@ -143,7 +147,7 @@ def category_percent(spark, sf_dir):
 
 @query("SELECT coalesce(lang, 'all') AS lang, coalesce(source, 'all') AS source, count(*) AS n FROM documents GROUP BY ROLLUP (lang, source)")
 def funnel_rollup(spark, sf_dir):
-    """AGG-19."""
+    """Rows by language and source at every level; funnel has AGG-19's stages."""
     return table(spark, sf_dir, "documents").rollup("lang", "source").agg(F.count("*").alias("n")).select(F.coalesce("lang", F.lit("all")).alias("lang"), F.coalesce("source", F.lit("all")).alias("source"), "n")
 
 
@@ -181,14 +185,14 @@ def audit_sample(spark, sf_dir):
 
 @query("SELECT doc_id, CASE WHEN n_chars % 101 >= 80 THEN 'high' WHEN n_chars % 101 >= 60 THEN 'medium' ELSE 'low' END AS priority, CASE WHEN n_chars % 101 >= 84 THEN 'relevant' WHEN n_chars % 101 >= 5 THEN 'review' ELSE 'irrelevant' END AS bucket FROM documents")
 def score_buckets(spark, sf_dir):
-    """PRJ-04, PRJ-05, TXT-11, TXT-12."""
+    """PRJ-04, PRJ-05."""
     s = F.col("n_chars") % 101
     return table(spark, sf_dir, "documents").select("doc_id", relevance.bucket(s, 80, 60, ("high", "medium", "low")).alias("priority"), relevance.bucket(s, 84, 5).alias("bucket"))
 
 
 @query("SELECT event_id, CASE WHEN event_type IN ('error') THEN 'irrelevant' WHEN event_type IN ('click', 'purchase') THEN 'pending' ELSE 'pending' END AS state, json_extract(props, '$.k')::BIGINT AS k, greatest(0, least(100, coalesce(value, 0)))::DOUBLE AS clamped FROM events")
 def normalised_events(spark, sf_dir):
-    """TXT-44, TXT-46, TXT-47, PRJ-02."""
+    """TXT-44, TXT-46, TXT-47."""
     e = table(spark, sf_dir, "events")
     state = T.tri_state(F.when(F.col("event_type") == "error", "no").otherwise(F.col("event_type")))
     return e.select("event_id", state.alias("state"), T.json_object(F.col("props"), "k long")["k"].alias("k"), T.clamp(F.col("value").cast("string"), 0, 100).alias("clamped"))
@@ -208,14 +212,14 @@ def turn_neighbours(spark, sf_dir):
     return c.select("conv_id", "turn", F.max("h").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-1, 1)).alias("near_hit"))
 
 
-@query("SELECT (SELECT count(*) FROM (SELECT doc_id FROM labels WHERE quality = 1 UNION SELECT doc_id FROM labels WHERE toxic = 1)) AS either, (SELECT count(*) FROM (SELECT doc_id FROM labels WHERE quality = 1 INTERSECT SELECT doc_id FROM labels WHERE toxic = 1)) AS both, (SELECT count(*) FROM (SELECT doc_id FROM labels WHERE quality = 1 EXCEPT SELECT doc_id FROM labels WHERE toxic = 1)) AS only_first")
+@query("SELECT (SELECT count(*) FROM (SELECT doc_id FROM labels WHERE quality = 1 UNION SELECT doc_id FROM labels WHERE toxic = 1)) AS either, (SELECT count(*) FROM (SELECT doc_id FROM labels WHERE quality = 1 INTERSECT SELECT doc_id FROM labels WHERE toxic = 1)) AS both, (SELECT count(*) FROM (SELECT doc_id FROM labels WHERE quality = 1 EXCEPT SELECT doc_id FROM labels WHERE toxic = 1)) AS only_first, (SELECT count(*) FROM (SELECT doc_id FROM labels WHERE toxic = 1 EXCEPT SELECT doc_id FROM labels WHERE quality = 1)) AS only_second")
 def set_operations(spark, sf_dir):
-    """SET-01..SET-04."""
+    """SET-01..SET-04: union, intersection and both differences, so whether two label sets are one."""
     ls = table(spark, sf_dir, "labels")
     a, b = ls.where("quality = 1").select("doc_id"), ls.where("toxic = 1").select("doc_id")
-    sets = ((a.union(b).distinct(), "either"), (a.intersect(b), "both"), (a.exceptAll(b).distinct(), "only_first"))
+    sets = ((a.union(b).distinct(), "either"), (a.intersect(b), "both"), (a.exceptAll(b).distinct(), "only_first"), (b.exceptAll(a).distinct(), "only_second"))
     each = [x.select(F.lit(n).alias("name")) for x, n in sets]
-    return each[0].union(each[1]).union(each[2]).groupBy().pivot("name", ["either", "both", "only_first"]).count().na.fill(0)
+    return each[0].union(each[1]).union(each[2]).union(each[3]).groupBy().pivot("name", [n for _, n in sets]).count().na.fill(0)
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

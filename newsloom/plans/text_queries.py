@@ -270,7 +270,7 @@ def keyword_composite(spark, sf_dir):
     return keywords.composite(found.withColumn("yake", F.lit(None).cast("double")), n)
 
 
-ROUNDS = f"WITH w AS ({TOK}), t AS (SELECT source, unnest(w) AS term FROM w), c AS (SELECT source, term, count(*) AS n FROM t GROUP BY ALL), r AS (SELECT source, term, row_number() OVER (PARTITION BY source ORDER BY n DESC, term) AS k FROM c QUALIFY k <= 30)"
+ROUNDS = f"WITH w AS ({TOK}), t AS (SELECT source, unnest(w) AS term FROM w), c AS (SELECT source, term, count(*) AS n FROM t GROUP BY ALL), r AS (SELECT source, term, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, term) AS k FROM c QUALIFY k <= 30)"
 
 
 def _rounds(spark, sf_dir) -> DataFrame:
@@ -292,11 +292,15 @@ def kw_first_seen(spark, sf_dir):
     return keywords.first_seen(_rounds(spark, sf_dir), "source", "term")
 
 
-@query(f"{ROUNDS}, k AS (SELECT DISTINCT term FROM r WHERE source < 'src5') SELECT DISTINCT r.term FROM r LEFT JOIN k USING (term) WHERE k.term IS NULL")
+STEM = "CASE WHEN ends_with(term, 'ies') AND length(term) > 4 THEN left(term, -3) || 'y' WHEN ends_with(term, 's') AND NOT ends_with(term, 'ss') AND length(term) > 3 THEN left(term, -1) ELSE term END"
+
+
+@query(f"{ROUNDS}, f AS (SELECT source, term, r.n, {STEM} AS form FROM r), b AS (SELECT term, sum(n) AS score, form FROM f WHERE source >= 'src5' AND length(term) >= 4 AND form NOT IN (SELECT form FROM f WHERE source < 'src5') GROUP BY ALL) SELECT term, score::BIGINT AS score FROM b QUALIFY row_number() OVER (PARTITION BY form ORDER BY score DESC, term) = 1 ORDER BY score DESC, term LIMIT 50")
 def kw_novel(spark, sf_dir):
-    """ITR-03, ITR-08, JN-05."""
+    """ITR-03, ITR-08, JN-05: the best candidates whose normal form no earlier round has; sources stand for rounds."""
     r = _rounds(spark, sf_dir)
-    return r.select("term").distinct().join(r.where("source < 'src5'").select("term"), "term", "left_anti")
+    late = r.where("source >= 'src5'").groupBy("term").agg(F.sum("n").alias("score"))
+    return keywords.novel(late, r.where("source < 'src5'").select("term"), least_words=1, top=50)
 
 
 P = PAD.format("text")
@@ -391,12 +395,6 @@ def label_metrics(spark, sf_dir):
     return metrics.confusion(scored(spark, sf_dir), F.col("quality"), (F.col("score") >= 0.5).cast("int"))
 
 
-@query(SCORED + " , t AS (SELECT range AS t FROM range(5, 96)) SELECT t / 100 AS threshold, count(*) FILTER (quality = 1 AND score >= t / 100) AS tp, count(*) FILTER (quality = 0 AND score >= t / 100) AS fp, round(coalesce(2.0 * count(*) FILTER (quality = 1 AND score >= t / 100) / nullif(count(*) FILTER (score >= t / 100) + count(*) FILTER (quality = 1), 0), 0), 6) AS f1 FROM t, s GROUP BY t")
-def threshold_sweep(spark, sf_dir):
-    """ML-10."""
-    return metrics.threshold_sweep(scored(spark, sf_dir), "quality", "score")
-
-
 @query(SCORED + " , r AS (SELECT quality, (rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0) AS r FROM s) SELECT round((sum(r) FILTER (quality = 1) - count(*) FILTER (quality = 1) * (count(*) FILTER (quality = 1) + 1) / 2.0) / (count(*) FILTER (quality = 1) * count(*) FILTER (quality = 0)), 6) AS roc_auc FROM r")
 def auc(spark, sf_dir):
     """ML-09."""
@@ -415,12 +413,6 @@ def stratified_folds(spark, sf_dir):
     return metrics.stratified_folds(table(spark, sf_dir, "labels"), "doc_id", "quality")
 
 
-@query(SCORED + " , w AS (SELECT a.range AS a, b.range AS b FROM range(0, 5) a, range(0, 5) b WHERE a.range + b.range > 0), v AS (SELECT a, b, quality, round(a / (a + b) * score + b / (a + b) * other, 9) >= 0.5 AS g FROM s, w) SELECT a || ':' || b AS weights, count(*) FILTER (quality = 1 AND g) AS tp, count(*) FILTER (quality = 0 AND g) AS fp, count(*) FILTER (quality = 1 AND NOT g) AS fn, round(coalesce(2.0 * count(*) FILTER (quality = 1 AND g) / nullif(2 * count(*) FILTER (quality = 1 AND g) + count(*) FILTER (quality = 0 AND g) + count(*) FILTER (quality = 1 AND NOT g), 0), 0), 4) AS f1 FROM v GROUP BY ALL")
-def ensemble_grid(spark, sf_dir):
-    """ML-15, ML-16, ML-17."""
-    return metrics.ensemble_grid(scored(spark, sf_dir), "quality", ["score", "other"]).drop("g")
-
-
 @query("SELECT label, i - 1 AS dim, round(avg(x), 4) AS mean, round(max(x), 4) AS max FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL")
 def embedding_pool(spark, sf_dir):
     """ML-18, WIN-08."""
@@ -451,33 +443,18 @@ def substring_score(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(score(F.left(t, F.lit(60)), t, ["thing and with", "eran", "for"], ["xyz", "which"]), 6).alias("score"))
 
 
-@query("SELECT page_id FROM pages WHERE NOT regexp_matches(lower(url), '(?:/es/)|(?:page=2)') AND NOT contains(lower(url), '#top') AND (length(regexp_extract(html, '<title>([^<]*)</title>', 1)) <= 15 OR regexp_matches(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), 'th|en'))")
+@query("WITH p AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages) SELECT page_id FROM p WHERE NOT regexp_matches(lower(url || ' ' || t), '(?:/es/)|(?:page=2)') AND NOT contains(lower(url), '#top') AND (length(t) <= 15 OR regexp_matches(lower(t), 'th|en'))")
 def url_prefilter(spark, sf_dir):
     """FLT-03, FLT-06."""
-    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    p = table(spark, sf_dir, "pages").select("page_id", "url", title.alias("title"))
-    return p.where(relevance.url_looks_relevant(F.col("url"), F.lit(""), ["/es/", "page=2"], ["#top"], []) & ((F.length("title") <= 15) | F.lower("title").rlike("th|en"))).select("page_id")
+    named = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    return table(spark, sf_dir, "pages").where(relevance.url_looks_relevant(F.col("url"), named, ["/es/", "page=2"], ["#top"], ["th", "en"])).select("page_id")
 
 
 @query()
 def html_fields(spark, sf_dir):
-    """HTM-01..HTM-05: the standard parser's fields; tested on pages by hand."""
+    """HTM-01 (one parser in place of three), HTM-02..HTM-05: the standard parser's fields, the title of the head where a
+    page says nothing else; tested on pages by hand."""
     from newsloom.operators import html
 
-    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "fields.title", "fields.canonical_url", "published_day", "extraction_status")
-
-
-@query()
-def bench_classifiers(spark, sf_dir):
-    """ML-01..ML-13: out-of-fold metrics of a model over texts and one over vectors."""
-    from newsloom.operators import models
-
-    docs = models.checked(scored(spark, sf_dir).select("doc_id", "quality").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "text", "quality")
-    vecs = models.vectors(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), (F.col("label") % 2).alias("quality"), "embedding"), "embedding")
-    runs = [("text", docs, models.text_features("text", size=4096)), ("vector", vecs, models.scaled())]
-    out = None
-    for shape, rows, features in runs:
-        got = models.cross_validated(rows, "doc_id", "quality", features, "logreg", k=2)
-        got = metrics.confusion(got, F.col("quality"), (F.col("probability") >= 0.5).cast("int")).select(F.lit("logreg").alias("model"), F.lit(shape).alias("representation"), "*")
-        out = got if out is None else out.unionByName(got)
-    return out
+    named = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", html.overlay(F.col("fields.title"), named).alias("title"), "fields.canonical_url", "published_day", "extraction_status")
