@@ -19,28 +19,39 @@ from newsloom.sources.shared import cut
 ROUNDS, FEW, FEW_LINKS = 8, 50_000, 500_000
 
 
-def shingles(df: DataFrame, row: str, text: Column, k: int = 3) -> DataFrame:
-    """(row, shingle): distinct runs of k words, lower-cased; shorter texts have none."""
-    words = df.select(row, F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), lambda w: w != "").alias("w"))
-    return words.select(row, F.explode(T.ngrams(F.col("w"), k)).alias("shingle")).distinct()
+def shingle_hashes(text: Column, k: int = 3) -> Column:
+    """The hashes of a text's distinct runs of k words, lower-cased; shorter texts have none."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), lambda w: w != "")
+
+    def runs(w: Column) -> Column:
+        side = F.arrays_zip(w.alias("w0"), *(F.slice(w, n + 1, F.greatest(F.size(w) - n, F.lit(0))).alias(f"w{n}") for n in range(1, k)))
+        return F.array_distinct(F.transform(F.slice(side, 1, F.greatest(F.size(w) - k + 1, F.lit(0))), lambda s: F.xxhash64(*(s[f"w{n}"] for n in range(k)))))
+
+    return T.let(words, runs)
 
 
 def near_pairs(df: DataFrame, row: str, text: Column, least: float = 0.75, k: int = 3) -> DataFrame:
     """(a, b, similarity), a before b, of all rows whose shingle sets have a Jaccard similarity of least or more.
 
-    Exact, with a prefix filter: shingles are ordered by how rare they are; two sets that are that similar share one of
-    their first n - ceil(least * n) + 1, so only those are joined. A pair's candidates are then counted in full.
-    Equal texts are to be folded by the caller.
+    Exact. Only shingles of several rows count: a row fewer than least of whose shingles others have is near none. Of
+    the rest, in the order of how rare they are, two sets that are that similar share one of the first
+    n - ceil(least * n) + 1, so only those are joined, and a pair's candidates are then counted in full. Equal texts are
+    to be folded by the caller.
     """
-    own = cut(shingles(df.select(F.col(row).alias("_r"), text.alias("_t")), "_r", F.col("_t"), k).select("_r", F.xxhash64("shingle").alias("_s")))
-    sizes = own.groupBy("_r").agg(F.count("*").alias("_n"))
-    sets = own.join(own.groupBy("_s").agg(F.count("*").alias("_df")), "_s").groupBy("_r").agg(F.sort_array(F.collect_list(F.struct("_df", "_s"))).alias("set"))
-    prefix = sets.select("_r", F.explode(F.slice("set", 1, (F.size("set") - F.ceil(F.lit(least) * F.size("set") - 1e-9) + 1).cast("int"))).alias("p")).select("_r", "p._s", "p._df").where("_df > 1").join(sizes, "_r")
+    hashed = cut(df.select(F.col(row).alias("_r"), shingle_hashes(text, k).alias("h")).where(F.size("h") > 0))
+    each = hashed.select("_r", F.size("h").alias("_n"), F.explode("h").alias("_s"))
+    several = each.groupBy("_s").agg(F.count("*").alias("_df")).where("_df > 1")
+    sets = each.join(several.hint("shuffle_hash"), "_s").groupBy("_r", "_n").agg(F.sort_array(F.collect_list(F.struct("_df", "_s"))).alias("set"))
+    need = F.ceil(F.lit(least) * F.col("_n") - 1e-9)
+    sets = cut(sets.where(F.size("set") >= need))
+    # Shingles of one row only come first in the order, so they are off the prefix already.
+    prefix = sets.select("_r", "_n", F.explode(F.slice("set", 1, (F.size("set") - need + 1).cast("int"))).alias("p")).select("_r", "_n", "p._s")
     left, right = prefix.select(F.col("_r").alias("a"), "_s", F.col("_n").alias("na")), prefix.select(F.col("_r").alias("b"), "_s", F.col("_n").alias("nb"))
     candidates = left.join(right, "_s").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
-    full = sets.select(F.col("_r").alias("r"), F.transform("set", lambda x: x["_s"]).alias("set"))
-    met = candidates.join(full.withColumnsRenamed({"r": "a", "set": "x"}), "a").join(full.withColumnsRenamed({"r": "b", "set": "y"}), "b")
-    return met.select("a", "b", T.jaccard(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= least)
+    full = sets.select(F.col("_r").alias("r"), F.col("_n").alias("n"), F.transform("set", lambda x: x["_s"]).alias("set"))
+    met = candidates.join(full.withColumnsRenamed({"r": "a", "n": "na", "set": "x"}), "a").join(full.withColumnsRenamed({"r": "b", "n": "nb", "set": "y"}), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return met.select("a", "b", (both / (F.col("na") + F.col("nb") - both)).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def near_pairs_folded(df: DataFrame, row: str, text: Column, least: float = 0.75, k: int = 3) -> DataFrame:
@@ -130,9 +141,9 @@ def leaders(rows: DataFrame, members: DataFrame, near: DataFrame | None, row: st
 def layered(df: DataFrame, row: str, url: Column, title: Column, text: Column, least: float = 0.75) -> DataFrame:
     """df with is_duplicate, duplicate_of, duplicate_layer (0 URL, 1 title of over 10 characters, 2 text, 3 near text)
     and duplicate_cluster. row is a number in scan order. Near pairs are sought, and kept, between distinct texts."""
-    shaped = cut(df.select(row, T.canonical_url(url).alias("_u"), T.normal_title(title).alias("_t"), T.text_hash(text).alias("_h"), text.alias("_text")))
+    shaped = cut(df.select(row, T.canonical_url(url).alias("_u"), T.normal_title(title).alias("_t"), T.text_hash(text).alias("_h")))
     firsts = cut(shaped.where("_h is not null").groupBy("_h").agg(F.min(row).alias("grp")))
-    near = near_pairs(shaped.join(firsts.select(F.col("grp").alias(row)), row, "left_semi"), row, F.col("_text"), least)
+    near = near_pairs(df.join(firsts.select(F.col("grp").alias(row)), row, "left_semi"), row, text, least)
     near_of = shaped.select(F.col(row).alias("r"), "_h").join(firsts, "_h").select("r", "grp")
     members = memberships(shaped, row, [F.col("_u"), F.when(F.length("_t") > 10, F.col("_t")), F.col("_h")])
     decided = leaders(shaped, members, near, row, near_of).withColumnsRenamed({"leader": "duplicate_of", "layer": "duplicate_layer"})
