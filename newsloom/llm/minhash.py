@@ -136,8 +136,8 @@ def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
     The edited text keeps the first half (the larger one) and goes on with as many characters from the start of the
-    next document as were cut, or all it has. Null texts count as empty. An empty table gives an empty one. Other
-    columns are not looked at.
+    next document as were cut, or all it has. Null texts count as empty, texts of any length are read whole. Repeated
+    rows each get their row. An empty table gives an empty one. Other columns are not looked at, whatever their names.
     """
     found = with_successors(docs).withColumn("other", fingerprint(F.col("edited")))
     return found.select(

@@ -1,7 +1,10 @@
 import hashlib
+import random
 import re
+import struct
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from newsloom.llm import minhash
@@ -75,3 +78,48 @@ def test_ranks_are_the_order(spark):
     df = spark.range(1000).select(F.expr("id * 7919 % 1000").alias("k")).repartition(7)
     got = sorted((r["rank"], r.k) for r in minhash.ranked(df, F.col("k").desc()).collect())
     assert got == [(i, 999 - i) for i in range(1000)]
+
+
+def signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_fingerprint(text: str) -> str:
+    """One-permutation MinHash and its densification, bin by bin, from the description."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text.translate({c: c + 32 for c in range(65, 91)})) if w]
+    if not words:
+        return ""
+
+    def chained(*parts: bytes) -> int:
+        h = 42
+        for p in parts:
+            h = xxhash.xxh64_intdigest(p, h)
+        return h
+
+    runs = [words[i : i + 5] for i in range(len(words) - 4)] if len(words) >= 5 else [[" ".join(words)]]
+    least: dict[int, int] = {}
+    for run in runs:
+        h = signed(chained(*(w.encode() for w in run)))
+        if h & ((1 << 57) - 1) != (1 << 57) - 1:
+            least[h >> 57] = min(h, least.get(h >> 57, h))
+    own = [least.get(b) for b in range(-64, 64)]
+    out = []
+    for i, h in enumerate(own):
+        if h is None:
+            tries = (own[signed(chained(struct.pack("<i", i), struct.pack("<i", t))) % 128] for t in range(minhash.PROBES))
+            h = next((x for x in tries if x is not None), None)
+        if h is None:
+            h = min((signed(chained(struct.pack("<i", i), struct.pack("<q", x >> 57), struct.pack("<i", -1))), x) for x in least.values())[1]
+        out.append(h & 255)
+    return bytes(out).hex()
+
+
+def test_fingerprints_by_brute_force(spark):
+    """Of one shingle up to many, so that bins are nearly all empty, and full; and of a very long text."""
+    rng = random.Random(1)
+    texts = ["", " ", "one", "A b\tC d", "a b c d e", "é ü", *(" ".join(f"w{rng.randrange(3000)}" for _ in range(n)) for n in (6, 7, 9, 20, 60, 200, 1500, 60_000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.f for r in docs.select("doc_id", F.lower(F.hex(minhash.fingerprint(F.col("text")))).alias("f")).collect()}
+    assert got == {k: plain_fingerprint(t) for k, t in enumerate(texts)}
+    rows = {r.doc_id: r for r in minhash.report(docs).collect()}
+    assert rows[13].n_chars == len(texts[13]) and rows[13].edited_fingerprint == plain_fingerprint(expected(list(enumerate(texts)))[13][1])
