@@ -159,3 +159,14 @@ def test_article_rounds(spark):
     words, kept = rounds.article_rounds(lambda p: sorted({w for r in p.collect() for w in r.text.split()}), fetch, lambda df, ws: df.where(rounds.any_part(F.col("text"), ws)), pool, "milk", 5)
     assert words == [["milk", "urea"], ["milk", "urea", "round0"], ["milk", "urea", "round0", "round1"]] and [df.count() for df in kept] == [1, 1, 1]
     assert asked[0] == "milk AND ((milk) OR (urea))"
+
+
+def test_first_of_each_key_in_a_stream(spark, tmp_path):
+    """Repeats within the watermark go, whichever file they come in."""
+    rows = [(k, f"u{k % 3}", f"2024-01-01 00:00:0{k}") for k in range(6)]
+    df = spark.createDataFrame(rows, "n long, url string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    df.repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = events.first_seen(events.read_folder(spark, f"{tmp_path}/in", "n long, url string, ts timestamp", 1), ["url"])
+    q = stream.writeStream.format("memory").queryName("first_seen").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r.url for r in spark.sql("select url from first_seen").collect()) == ["u0", "u1", "u2"] == sorted(r.url for r in events.first_seen(df, ["url"]).collect())

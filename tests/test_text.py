@@ -142,3 +142,34 @@ def test_titles_are_decomposed(spark):
     for t in ("Café №5 ﬁne", "Cafe\u0301 №5 ﬁne", "１２３ ｌｉｔｒｅｓ", "plain"):
         plain = unicodedata.normalize("NFKD", t.lower())
         assert one(spark, T.normal_title(F.col("t")), t=t) == " ".join(re.sub(r"[^\w\s]", " ", re.sub(r"(\d)[,.](\d)", r"\1\2", plain)).split())
+
+
+def split_by_hand(text: str) -> list[str]:
+    out = []
+    for part in re.split(r"(?<=[.!?])\s+(?=[A-Zऀ-ॿ‘“\d\"])", text.strip()):
+        out += [line.strip() for line in part.splitlines() if line.strip()]
+    return out
+
+
+def near_by_hand(sentences: list[str], words: list[str], reach: int = 1) -> list[str]:
+    hits = [bool(boundary_terms(s, words)) for s in sentences]
+    return [s for k, s in enumerate(sentences) if any(hits[max(0, k - reach) : k + reach + 1])]
+
+
+def test_windows_against_plain_loops(spark):
+    """Documents of the fixed tables and texts with paragraphs: title windows with the first sentences before few hits,
+    and product windows with the first paragraph."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if r.text]
+    texts += ["First one. Then the oil came. After it.\n\nFar away. Nothing here.", "no sentence end", "", "Oil. " * 30 + "\n\nlast", "One!\nTwo? \"Three\" 4. Five"]
+    words = ["that", "oil", "Two"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    title, t = F.left("t", F.lit(12)), F.col("t")
+    got = {r.k: r for r in df.select("k", windows.title_windows(title, t, words).alias("a"), windows.product_windows(title, t, words).alias("b"), windows.keyword_windows(t, words).alias("c")).collect()}
+    for k, text in enumerate(texts):
+        all_, head = split_by_hand(text), text[:12].strip()
+        near = near_by_hand(all_, words)
+        first = all_[:2] if len(near) < 20 else []
+        assert got[k].a == f"{head}\n\n{' '.join([*first, *near] if near else all_[:30])}"
+        assert got[k].c == " ".join(near or all_[:30])
+        parts = [head, " ".join(split_by_hand(text.strip().split("\n\n", 1)[0])), " ".join(near)]
+        assert got[k].b == "\n\n".join(p for p in dict.fromkeys(parts) if p)
