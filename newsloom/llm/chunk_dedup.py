@@ -247,12 +247,13 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     document may lose its whole text. A null text stays null, an empty one empty; texts of any length are read whole. An
     empty table gives an empty one. Columns may have any names.
     """
-    rows = carried(docs, order(docs).alias("doc"), F.col("text").alias("text"))
+    rows = carried(docs, order(docs).alias("doc"))
     met = rows.join(marks(docs, min_words), "doc", "left")
     # Only texts with something repeated go to Python.
-    some = F.col("known").isNotNull() & F.col("text").isNotNull()
-    met = met.withColumn("found", rest(F.when(some, F.col("text")), F.when(some, F.col("known")), F.coalesce("own", F.lit(False)), min_words))
-    none = F.struct(F.col("text").alias("text"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans"), F.lit(0).alias("n_removed"))
+    text = F.col("row.text")
+    some = F.col("known").isNotNull() & text.isNotNull()
+    met = met.withColumn("found", rest(F.when(some, text), F.when(some, F.col("known")), F.coalesce("own", F.lit(False)), min_words))
+    none = F.struct(text.alias("text"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans"), F.lit(0).alias("n_removed"))
     return met.select("row", F.when(some, F.col("found")).otherwise(none).alias("repeated"))
 
 
