@@ -346,10 +346,50 @@ def stem_key(phrase: Column) -> Column:
     return F.array_join(F.transform(F.split(F.btrim(F.lower(phrase)), " +"), one), " ")
 
 
+def round_name(number: Column) -> Column:
+    """round_03 of a number in any spelling; other names in lower case with _ for what is no letter or digit."""
+    n = number.try_cast("int")
+    plain = F.regexp_replace(F.regexp_replace(F.lower(number), r"[^\p{L}\p{N}]", "_"), "^_+|_+$", "")
+    return F.concat(F.lit("round_"), F.coalesce(F.when(n >= 0, F.lpad(n.cast("string"), F.greatest(F.length(n.cast("string")), F.lit(2)), F.lit("0"))), n.cast("string"), plain))
+
+
+def search_term(term: Column) -> Column:
+    """A term of a search string: as it is where it has a field or a wildcard, in quotes where it has a space or a dash."""
+    return F.when(term.rlike("[:*]"), term).when(term.rlike("[ -]"), F.concat(F.lit('"'), term, F.lit('"'))).otherwise(term)
+
+
 def or_group(terms: Column, field: str | None = None) -> Column:
-    """(a OR "b c" OR d-e quoted) of a search string; a field is put before each term."""
-    def quoted(t: Column) -> Column:
-        own = F.when(t.rlike("[ -]"), F.concat(F.lit('"'), t, F.lit('"'))).otherwise(t)
-        return F.concat(F.lit(f"{field}:"), own) if field else own
+    """(a OR "b c" OR "d-e" OR f*) of a search string; a field is put before each term."""
+    own = lambda t: F.concat(F.lit(f"{field}:"), search_term(t)) if field else search_term(t)
+    return F.concat(F.lit("("), F.array_join(F.transform(terms, own), " OR "), F.lit(")"))
+
+
+def scoped(query: Column, excluded: Column) -> Column:
+    """A search string without what an excluded term finds."""
+    return F.concat(F.lit("("), query, F.lit(") AND NOT "), or_group(excluded))
+
+
+def within(phrase: Column, distance: int) -> Column:
+    """A search for a phrase's words at most so far apart."""
+    return F.concat(F.lit('"'), phrase, F.lit(f'"~{distance}'))
+
+
+def variants(url: Column, rules: dict[str, list[str]]) -> Column:
+    """The URL and what else its page may stand under: of the first rule whose name is in its host, forms made of
+    {base}, {path} (without a trailing slash) and {query} (with its question mark)."""
+
+    def of(kind: Column, host: Column, path: Column, query: Column) -> Column:
+        names = {"base": F.concat(kind, F.lit("://"), host), "path": F.regexp_replace(path, "/+$", ""), "query": F.when(query == "", "").otherwise(F.concat(F.lit("?"), query))}
+
+        def form(template: str) -> Column:
+            parts = [names[x[1:-1]] if x.startswith("{") else F.lit(x) for x in re.split(r"({base}|{path}|{query})", template) if x]
+            return F.concat(*parts)
+
+        out = F.array(url)
+        for name, templates in reversed(rules.items()):
+            out = F.when(F.contains(host, F.lit(name)), F.array(url, *map(form, templates))).otherwise(out)
+        return F.array_distinct(out)
 
-    return F.concat(F.lit("("), F.array_join(F.transform(terms, quoted), " OR "), F.lit(")"))
+    bare = F.regexp_replace(url, "#.*$", "")
+    u = F.struct(scheme(bare).alias("k"), _part(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)").alias("h"), url_path(bare).alias("p"), url_query(bare).alias("q"))
+    return let(u, lambda x: of(x["k"], x["h"], x["p"], x["q"]))

@@ -26,17 +26,31 @@ def term_document_join(spark, sf_dir):
 
 @query("WITH c AS (SELECT DISTINCT lower(p_type) AS term FROM part), p AS (SELECT unnest(['brass', 'steel', 'x small']) AS positive) SELECT DISTINCT term FROM c JOIN p ON contains(term, positive) OR contains(positive, term)")
 def overlap_risk(spark, sf_dir):
-    """JN-19, TXT-34."""
+    """JN-19."""
     c = table(spark, sf_dir, "part").select(F.lower("p_type").alias("term")).distinct()
     return keywords.overlap_risk(c, ["brass", "steel", "x small"])
 
 
-@query("SELECT page_id, variant FROM (SELECT page_id, unnest(list_distinct([url, regexp_replace(url, '[?#].*$', ''), regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') || '/amp'])) AS variant FROM pages)")
+KEPT, DOMAIN, JUNK = ["brushed brass", "steel", "tin", "standard"], ["econ", "med"], {"price": ["nickel", "large"], "place": ["copper", "promo"]}
+
+
+@query("""WITH c AS (SELECT DISTINCT lower(p_type) AS term FROM part), o AS (SELECT term, list_filter(['brushed brass', 'steel', 'tin', 'standard'], lambda k: contains(term, k) OR contains(k, term)) AS o FROM c)
+SELECT term, CASE WHEN term IN ('brushed brass', 'steel', 'tin', 'standard') THEN 'kept_keyword' WHEN len(o) > 0 THEN 'overlaps' WHEN contains(term, 'econ') OR contains(term, 'med') THEN 'domain_term' ELSE 'possible' END AS risk,
+ CASE WHEN term IN ('brushed brass', 'steel', 'tin', 'standard') THEN term ELSE array_to_string(o[1:3], '; ') END AS overlap, CASE WHEN contains(term, 'nickel') OR contains(term, 'large') THEN 'price' WHEN contains(term, 'copper') OR contains(term, 'promo') THEN 'place' ELSE 'other' END AS category FROM o""")
+def exclusion_risks(spark, sf_dir):
+    """TXT-34, JN-19: what terms would cost as exclusions, and what kind of junk they are."""
+    c = table(spark, sf_dir, "part").select(F.lower("p_type").alias("term")).distinct()
+    return c.select("term", rounds.exclusion_risk(F.col("term"), KEPT, DOMAIN).alias("r"), rounds.first_category(F.col("term"), JUNK, "other").alias("category")).select("term", "r.risk", "r.overlap", "category")
+
+
+VARIANTS = {"example.com": ["{base}/amp{path}{query}", "{base}{path}/amp{query}"], "example.org": ["{base}/amp{path}{query}", "{base}{path}?amp=1"]}
+
+
+@query("""WITH u AS (SELECT page_id, url, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) AS base, regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) AS host, regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS p, CASE WHEN regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) = '' THEN '' ELSE '?' || regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) END AS q FROM pages)
+SELECT page_id, unnest(list_distinct(CASE WHEN contains(host, 'example.com') THEN [url, base || '/amp' || p || q, base || p || '/amp' || q] WHEN contains(host, 'example.org') THEN [url, base || '/amp' || p || q, base || p || '?amp=1'] ELSE [url] END)) AS variant FROM u""")
 def url_variants(spark, sf_dir):
-    """SRC-22: a generator of URL variants."""
-    bare = F.regexp_replace("url", r"[?#].*$", "")
-    variants = F.array_distinct(F.array(F.col("url"), bare, F.concat(F.regexp_replace(bare, "/+$", ""), F.lit("/amp"))))
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(variants).alias("variant"))
+    """SRC-22: what else a page may stand under, by its host."""
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(T.variants(F.col("url"), VARIANTS)).alias("variant"))
 
 
 @query("WITH n AS (SELECT doc_id, regexp_replace(regexp_replace(lower(source || 's ' || lang || 'ies'), '(\\w{2,})ies\\b', '\\1y', 'g'), '(\\w{3,}[^s])s\\b', '\\1', 'g') AS form FROM documents) SELECT form, min(doc_id) AS first_doc, count(*) AS n FROM n GROUP BY form")
@@ -81,10 +95,43 @@ P = "(' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', '
 
 @query(f"SELECT doc_id, CASE WHEN contains({P}, ' that ') THEN 'product' WHEN contains({P}, ' with ') OR contains({P}, ' from ') THEN 'signal' ELSE 'context' END AS term_class FROM documents")
 def term_classes(spark, sf_dir):
-    """TXT-29, TXT-33."""
+    """TXT-29."""
     return table(spark, sf_dir, "documents").select("doc_id", rounds.term_class(F.col("text"), {"product": ["that"], "signal": ["with", "from"]}).alias("term_class"))
 
 
+KINDS = ["oil/product", "fraud/adulteration", "adulterant/mixing", "enforcement/evidence", "incident/action phrase", "support/other", "unknown"]
+
+
+@query("""WITH t AS (SELECT p_partkey, lower(p_type) AS term, ['oil/product', 'fraud/adulteration', 'adulterant/mixing', 'enforcement/evidence', 'incident/action phrase', 'support/other', 'unknown'][1 + p_partkey % 7] AS c, p_partkey % 7 AS k, contains(lower(p_type), 'tin') AND p_size < 10 AS comb FROM part),
+r AS (SELECT *, CASE WHEN p_partkey IN (SELECT p_partkey FROM part WHERE lower(p_type) IN ('small plated tin', 'large brushed steel')) THEN 'combine_only' WHEN k < 5 THEN ['product', 'fraud_signal', 'adulterant_or_mixing_signal', 'enforcement_signal', 'exact_incident_phrase'][k + 1] ELSE 'support_only' END AS role FROM t)
+SELECT p_partkey, role, CASE WHEN role IN ('combine_only', 'support_only') THEN 'combine_only' ELSE 'query_component' END AS use, CASE WHEN k < 6 THEN k ELSE 99 END::BIGINT AS category_rank,
+ list_position(['product', 'fraud_signal', 'adulterant_or_mixing_signal', 'enforcement_signal', 'exact_incident_phrase', 'combine_only', 'support_only'], role)::BIGINT - 1 AS role_rank FROM r""")
+def keyword_roles(spark, sf_dir):
+    """TXT-33: what keywords are good for in queries, and the order in which they are listed."""
+    category = F.get(F.array(*map(F.lit, KINDS)), (F.col("p_partkey") % 7).cast("int"))
+    r = rounds.query_role(F.lower("p_type"), category, ["small plated tin", "large brushed steel"])
+    out = table(spark, sf_dir, "part").select("p_partkey", r.alias("r"))
+    return out.select("p_partkey", "r.role", "r.use", F.col("r.category_rank").cast("long").alias("category_rank"), F.col("r.role_rank").cast("long").alias("role_rank"))
+
+
+@query("""WITH p AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS w, lower(p_type) AS t FROM part), q AS (SELECT p_partkey, t, '(' || array_to_string(list_transform(list_concat(w, [t, 'seiz*', 'lang:en']), lambda x: CASE WHEN contains(x, ':') OR contains(x, '*') THEN x WHEN contains(x, ' ') OR contains(x, '-') THEN '"' || x || '"' ELSE x END), ' OR ') || ')' AS g FROM p)
+SELECT p_partkey, '(' || g || ' AND (article_title:fake OR article_title:"food safety")) AND NOT ("stock market" OR ipl)' AS query, '"' || t || '"~10' AS near FROM q""")
+def boolean_queries(spark, sf_dir):
+    """TXT-35: search strings of OR groups, fields, exclusions and distances."""
+    terms = F.concat(F.split(F.lower("p_name"), " "), F.array(F.lower("p_type"), F.lit("seiz*"), F.lit("lang:en")))
+    words = lambda *ws: F.array(*map(F.lit, ws))
+    base = F.concat(T.or_group(terms), F.lit(" AND "), T.or_group(words("fake", "food safety"), "article_title"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.scoped(base, words("stock market", "ipl")).alias("query"), T.within(F.lower("p_type"), 10).alias("near"))
+
+
+@query("""WITH d AS (SELECT doc_id, text, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS s, ['3', ' 12', 'Round B!', '100'][1 + doc_id % 4] AS r FROM documents)
+SELECT doc_id, CASE WHEN left(s, 80) = '' THEN left(sha1(text), 16) ELSE left(s, 80) END AS slug, ['round_03', 'round_12', 'round_round_b', 'round_100'][1 + doc_id % 4] AS round FROM d""")
+def safe_names(spark, sf_dir):
+    """TXT-37: slugs of at most 80 characters and names of rounds."""
+    r = F.get(F.array(*map(F.lit, ("3", " 12", "Round B!", "100"))), (F.col("doc_id") % 4).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"), T.round_name(r).alias("round"))
+
+
 @query("WITH r AS (SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN 'adulterant' ELSE 'adjacent_or_unclear' END AS role, CASE WHEN n_chars % 2 = 0 THEN 'relevant' ELSE 'irrelevant' END AS llm, (n_chars % 101) / 100.0 AS conf FROM documents) SELECT doc_id, CASE WHEN role <> 'adulterant' AND conf >= 0.65 THEN llm WHEN role = 'adulterant' AND llm = 'relevant' AND conf >= 0.90 THEN 'manual_review' ELSE 'irrelevant' END AS label, round(CASE WHEN role <> 'adulterant' AND conf >= 0.65 THEN greatest(0.7, conf) WHEN role = 'adulterant' AND llm = 'relevant' AND conf >= 0.90 THEN 0.6 ELSE 0.7 END, 3)::DOUBLE AS confidence FROM r")
 def merged_readings(spark, sf_dir):
     """TXT-08."""

@@ -120,7 +120,7 @@ def url_domain(spark, sf_dir):
 SELECT doc_id, CASE WHEN text <> '' THEN sha256(text) END AS text_hash, left(sha1(text), 16) AS short_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS words, coalesce(len(regexp_extract_all(lower(text), '[a-z][a-z0-9&/-]*')), 0) AS tokens,
  trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')) AS slug_whole FROM documents""")
 def text_scalars(spark, sf_dir):
-    """DD-05, TXT-22, TXT-37, TXT-39."""
+    """DD-05, TXT-22, TXT-39; slugs before they are cut."""
     t = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", T.text_hash(t).alias("text_hash"), F.left(F.sha1(t), F.lit(16)).alias("short_id"), T.word_count(t).cast("long").alias("words"), F.size(T.tokens(t, least=1)).cast("long").alias("tokens"), F.regexp_replace(F.regexp_replace(F.lower(t), "[^a-z0-9]+", "-"), "^-|-$", "").alias("slug_whole"))
 
