@@ -302,3 +302,18 @@ def keyword_source(df: DataFrame, text: str, duplicate: Column | None = None, la
 def prompt(title: Column, url: Column, text: Column, most: int) -> Column:
     """What a reader model is asked, with most characters of the text."""
     return F.concat(F.lit("Title: "), F.coalesce(title, F.lit("")), F.lit("\nURL: "), F.coalesce(url, F.lit("")), F.lit("\nText: "), F.left(F.coalesce(text, F.lit("")), F.lit(most)))
+
+
+def suspect_flags(text: Column, products: list[str], bare: str, others: list[str], reuse: str) -> Column:
+    """What speaks against a row that was called relevant: reuse (a pattern), no_product or only_bare (the bare word
+    without a product's name), others_dominate (three other things and one product at most)."""
+
+    def of(low: Column) -> Column:
+        def flags(h: Column) -> Column:
+            none = F.size(h["p"]) == 0
+            word = F.size(T.terms_in_low(low, [bare])) > 0
+            return F.array_compact(F.array(F.when(low.rlike(reuse), "reuse"), F.when(none & ~word, "no_product").when(none, "only_bare"), F.when((F.size(h["o"]) >= 3) & (F.size(h["p"]) <= 1), "others_dominate")))
+
+        return T.let(F.struct(T.terms_in_low(low, products).alias("p"), T.terms_in_low(low, others).alias("o")), flags)
+
+    return T.let(F.lower(F.coalesce(text, F.lit(""))), of)

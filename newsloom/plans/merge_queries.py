@@ -80,14 +80,16 @@ def or_key_dedup(spark, sf_dir):
     return duplicates.leaders(p, members, None, "page_id")
 
 
-@query("SELECT doc_id, array_to_string(list_filter([CASE WHEN d > 1 THEN 'reuse' END, CASE WHEN a < 3 THEN 'few' WHEN a > 50 THEN 'many' END, CASE WHEN NOT contains(lower(text), 'that') THEN 'no_term' END], lambda x: x IS NOT NULL), '; ') AS flags FROM (SELECT doc_id, text, (length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 AS a, count(*) OVER (PARTITION BY sha256(text)) AS d FROM documents)")
+def _word(term: str) -> str:
+    return f"regexp_matches(low, '(^|[^\\pL\\pN_]){term}([^\\pL\\pN_]|$)')::INT"
+
+
+@query(f"""WITH l AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents), n AS (SELECT doc_id, low, {_word('that')} + {_word('which')} AS p, {_word('the')} AS b, {_word('and')} + {_word('of')} + {_word('in')} + {_word('de')} AS o FROM l)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(low, 'with[^.]{{0,40}}that') THEN 'reuse' END, CASE WHEN p = 0 AND b = 0 THEN 'no_product' WHEN p = 0 THEN 'only_bare' END, CASE WHEN o >= 3 AND p <= 1 THEN 'others_dominate' END], lambda x: x IS NOT NULL), '|') AS flags FROM n""")
 def suspect_flags(spark, sf_dir):
     """TXT-50."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2("text", 256).alias("h"))
-    n = T.phrase_count(F.col("text"), "the")
-    shared = d.groupBy("h").agg(F.count("*").alias("c"))
-    flags = F.array_compact(F.array(F.when(F.col("c") > 1, "reuse"), F.when(n < 3, "few").when(n > 50, "many"), F.when(~F.contains(F.lower("text"), F.lit("that")), "no_term")))
-    return d.join(shared, "h").select("doc_id", F.array_join(flags, "; ").alias("flags"))
+    flags = relevance.suspect_flags(F.col("text"), ["that", "which"], "the", ["and", "of", "in", "de"], "with[^.]{0,40}that")
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(flags, "|").alias("flags"))
 
 
 P = "(' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')) || ' ')"
