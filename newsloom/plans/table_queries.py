@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import text as T
 from newsloom.operators import merge, relevance
 from newsloom.plans.catalogue import query
+from newsloom.plans.report_queries import ranked
 from newsloom.sources.tables import table
 from newsloom.streaming import events as streams
 
@@ -97,12 +98,11 @@ def lookups(spark, sf_dir):
 
 @query("WITH f AS (SELECT * FROM (VALUES (1, 'oil'), (2, 'ghee'), (3, 'milk')) t(i, a)), d AS (SELECT n_nationkey AS j, lower(n_name) AS b FROM nation) SELECT row_number() OVER (ORDER BY i, j) AS n, a || ' ' || b AS q, '(' || a || ' OR \"' || a || '-' || b || '\")' AS boolean FROM f, d ORDER BY n LIMIT 60")
 def query_product(spark, sf_dir):
-    """JN-18, TXT-35, WIN-03: a list of literals by a dimension of fixed size."""
-    food = spark.createDataFrame([(1, "oil"), (2, "ghee"), (3, "milk")], "i int, a string")
-    place = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("j"), F.lower("n_name").alias("b"))
-    both = place.select("j", "b", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(a).alias("a")) for i, a in food.collect()))).alias("f")).select("f.i", "f.a", "j", "b")
-    out = both.select(F.row_number().over(Window.orderBy("i", "j")).cast("long").alias("n"), F.concat_ws(" ", "a", "b").alias("q"), F.concat(F.lit("("), "a", F.lit(' OR "'), "a", F.lit("-"), "b", F.lit('")')).alias("boolean"))
-    return out.orderBy("n").limit(60)
+    """JN-18, TXT-35, WIN-03: a list of literals by a dimension of fixed size, numbered in order."""
+    food = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(a).alias("a")) for i, a in ((1, "oil"), (2, "ghee"), (3, "milk"))))
+    both = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("j"), F.lower("n_name").alias("b"), F.explode(food).alias("f")).select("f.i", "f.a", "j", "b")
+    first = ranked(both, 60, F.col("i"), F.col("j"))
+    return first.select(F.col("place").alias("n"), F.concat_ws(" ", "a", "b").alias("q"), F.concat(F.lit("("), "a", F.lit(' OR "'), "a", F.lit("-"), "b", F.lit('")')).alias("boolean"))
 
 
 @query("SELECT left(o_orderdate::VARCHAR, 4) AS year, count(*) AS total, count(*) FILTER (o_orderpriority LIKE '1%') AS urgent, nullif(count(*) FILTER (o_orderstatus = 'F'), 0) AS F, nullif(count(*) FILTER (o_orderstatus = 'O'), 0) AS O, nullif(count(*) FILTER (o_orderstatus = 'P'), 0) AS P FROM orders GROUP BY 1")
