@@ -41,7 +41,7 @@ PROGRESS = 0.02
 #: Words whose ids a worker remembers.
 REMEMBERED = 600_000
 #: Texts that are encoded together: rows and bytes at most, but for a single longer one.
-STEP_ROWS, STEP_BYTES = 6000, 16_000_000
+STEP_ROWS, STEP_BYTES = 6000, 8_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

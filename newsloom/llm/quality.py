@@ -29,7 +29,7 @@ from newsloom.llm.common import carried, cut, doc_order, let, lower_words, resto
 #: of distinct texts from which a word, or a beginning of words, counts as toxic; ridge; odds of rejection.
 SAMPLE, LEAST_Z, LEAST_TEXTS, RIDGE, CUT = 12_000, 3.0, 4, 1e-3, 0.5
 #: Words whose value a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Lengths, in characters, of the beginnings of words that are looked at, too: inflected and compound words.
 STARTS = (4, 5, 6, 7, 8)
 #: Sites (a host and a path, and four rates) that are broadcast at most: some 20 MB.
