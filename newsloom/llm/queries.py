@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chunk_dedup, decontaminate, licenses, minhash, packing, quality, simhash, url_trie, warc, wrappers
+from newsloom.llm import chunk_dedup, decontaminate, filter_audit, licenses, minhash, packing, quality, simhash, url_trie, warc, wrappers
 from newsloom.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -102,3 +102,27 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
+AUDIT_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x FROM documents),
+first AS (SELECT x, min(doc_id) AS first FROM t GROUP BY x),
+marks AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+w AS (SELECT t.*, first, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w FROM t JOIN first USING (x)),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+  + 4 * (100 * (length(x) - length(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2 * length(x))::INT + 8 * regexp_matches(x, '[#$%&*|]')::INT
+  + 16 * (first IS NOT NULL AND (doc_id IS NULL OR doc_id > first))::INT AS mask FROM w LEFT JOIN marks USING (doc_id)),
+g AS (SELECT part, mask, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM m GROUP BY part, mask),
+l(f, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT p.f || q.f || r.f || s.f || t.f AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bits FROM l p, l q, l r, l s, l t WHERE (p.b | q.b | r.b | s.b | t.b) = 31),
+s AS (SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1 : step - 1]), 0)::INT AS before FROM (SELECT *, unnest(range(1, 6))::INT AS step FROM o)),
+c AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER ((mask & (before | own)) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER ((mask & before) = 0 AND (mask & own) > 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER ((mask & before) > 0 AND (mask & own) > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER ((mask & before) = 0 AND (mask & own) > 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER ((mask & before) = 0 AND (mask & own) > 0), 0)::BIGINT AS toxic_lost
+  FROM g, s GROUP BY part, filter_order, step, own)
+SELECT * EXCLUDE own, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM c"""
+
+
+@query(AUDIT_SQL)
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
