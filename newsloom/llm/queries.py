@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chunk_dedup, decontaminate, filter_audit, licenses, minhash, packing, quality, simhash, url_trie, warc, wrappers
+from newsloom.llm import chunk_dedup, decontaminate, filter_audit, licenses, minhash, packing, quality, simhash, token_files, url_trie, warc, wrappers
 from newsloom.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -126,3 +126,8 @@ SELECT * EXCLUDE own, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS sh
 @query(AUDIT_SQL)
 def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
