@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chunk_dedup, decontaminate, filter_audit, licenses, minhash, packing, quality, simhash, token_files, url_trie, warc, wrappers
+from newsloom.llm import chunk_dedup, decontaminate, filter_audit, licenses, minhash, packing, prefix_trie, quality, simhash, token_files, url_trie, warc, wrappers
 from newsloom.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -131,3 +131,26 @@ def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame
 @query()
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
+TRIE_SQL = """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, turn FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'d': sha256(length(r)::VARCHAR || ':' || r || x), 'n': length(x)} ORDER BY turn NULLS FIRST, sha256(length(r)::VARCHAR || ':' || r || x)) AS l FROM t GROUP BY conv_id),
+bits AS (SELECT conv_id, l, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: list_transform(range(8), lambda j: (ascii(c)::BIGINT >> j) & 1))) AS b FROM own),
+h AS (SELECT conv_id, l, xor(list_reduce(list_concat([4294967295::BIGINT], b), lambda x, y: xor(x >> 1, 3988292384 * (xor(x, y) & 1))), 4294967295) % 6 AS h FROM bits),
+full_ AS (SELECT h.conv_id, list_concat(coalesce(b.l[1 : h.h], []), h.l[h.h + 1 :]) AS l FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, d, len(l) = d AS ends, CASE WHEN d > 0 THEN l[d].n ELSE 0 END AS n, sha256(array_to_string(list_transform(l[1 : d], lambda e: e.d), ',')) AS k,
+  sha256(array_to_string(list_transform(l[1 : d - 1], lambda e: e.d), ',')) AS up FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM full_)),
+nodes AS (SELECT k, d, min(conv_id) AS conv_id, any_value(CASE WHEN d > 0 THEN up END) AS up, count(*) AS n_convs, (count(*) - 1) * any_value(n) AS saved,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY k, d),
+kids AS (SELECT up AS k, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up),
+own_ AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (k)),
+above AS (SELECT q.k AS node, o.n_children = 0 AS leaf, o.saved FROM own_ o JOIN p q ON q.conv_id = o.conv_id AND q.d <= o.d),
+rolled AS (SELECT node AS k, count_if(leaf) AS n_leaves, sum(saved) AS saved FROM above GROUP BY node)
+SELECT o.conv_id, o.d AS depth, u.conv_id AS parent_conv_id, o.n_convs, o.n_children, r.n_leaves::BIGINT AS n_leaves, r.saved::BIGINT AS saved_tokens, o.ends_sha256
+FROM own_ o JOIN rolled r USING (k) LEFT JOIN nodes u ON u.k = o.up"""
+
+
+@query(TRIE_SQL)
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.report(table(spark, sf_dir, "conversations"))
