@@ -246,8 +246,8 @@ def report(turns: DataFrame, shard_rows: int = SHARD_ROWS, heavy_nodes: int = HE
     n_leaves, saved_tokens, ends_sha256.
 
     A null role or text is empty. Turns of one number, repeated rows among them, all count, in the order of their
-    digests; null numbers come first. Rows without a conv_id are left out. An empty table has the root alone, without
-    members: its conv_id is null. Texts of any length count whole; other columns are not looked at."""
+    digests; null numbers come first. Rows without a conv_id are left out. An empty table gives no rows.
+    Texts of any length count whole; other columns are not looked at, whatever their names."""
     convs, rows = rebuilt(turns)
     root = prefix([F.lit(0)] * len(LANES), F.lit(0))
     nodes = cut(rows.groupBy("node").agg(F.first("parent").alias("parent"), F.first("depth").alias("depth"), F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), F.first("chars").alias("chars"), F.sum("below").alias("below")))
@@ -259,7 +259,7 @@ def report(turns: DataFrame, shard_rows: int = SHARD_ROWS, heavy_nodes: int = HE
     # The shard of a conversation's light nodes is the first one of them.
     shards = rows.select("conv_id", "depth", "node").join(known, "node", "left").where("heavy is null").groupBy("conv_id").agg(F.min_by("node", "depth").alias("shard"))
     below = cut(light(nodes.where(F.col("below") <= limit).join(shards, "conv_id"), limit))
-    every = convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).select(root.alias("node"), F.lit(None).cast("binary").alias("parent"), F.lit(0).cast("long").alias("depth"), "conv_id", "n_convs", F.lit(0).cast("long").alias("chars"))
+    every = convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0").select(root.alias("node"), F.lit(None).cast("binary").alias("parent"), F.lit(0).cast("long").alias("depth"), "conv_id", "n_convs", F.lit(0).cast("long").alias("chars"))
     upper = cut(every.unionByName(upper.drop("below")))
     tops = below.where("parent_conv_id is null")
     above = heavy(upper, tops)
