@@ -14,9 +14,12 @@ Paths are any that Arrow's file systems know, local files among them.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
+import unicodedata
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,41 +40,84 @@ TOKENIZER, END_ID = "byte_bpe_50k.json", 0
 LENGTH, ROWS = 2048, 256
 #: Texts that are encoded together: rows and bytes at most, but for a single longer one.
 STEP_ROWS, STEP_BYTES = 6000, 8_000_000
-#: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+#: Pieces whose ids a worker remembers.
+REMEMBERED = 500_000
 MANIFEST = "manifest.json"
 IDS = "doc_id long, ids binary"
 DOCS = "doc_id long, start long, n_tokens long, ids binary"
 
-# White space of Unicode, and characters on whose classes all tables of Unicode agree.
-WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-PLAIN = re.compile("[\x00-\x7f¡-ɏ]*")
-#: A blank that is neither the first nor the last of a run of white space, or the last one of a text after another.
-WITHIN = f"[{WHITE}] ([{WHITE}]|$)"
+# White space of ASCII but the blank, kinds of characters, and what stands after an apostrophe that begins a piece of its own.
+SPACES = "\t\n\v\f\r"
+LETTER, NUMBER, OTHER, WHITE, BLANK, NONE = range(6)
+SHORT = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
+#: Texts of characters up to here are split by Spark's batches, others by the tokenizer itself.
+LAST_PLAIN = 0x24F
+
+
+def kind_of(c: str) -> int:
+    return BLANK if c == " " else WHITE if c in SPACES else LETTER if unicodedata.category(c)[0] == "L" else NUMBER if unicodedata.category(c)[0] == "N" else OTHER
+
+
+KINDS = np.array([kind_of(chr(c)) for c in range(LAST_PLAIN + 1)], dtype=np.uint8)
+
+
+def piece_starts(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where pieces start in the UTF-8 bytes of plain texts that stand one after the other; texts: where each starts.
+
+    A byte-level vocabulary's pieces are runs of letters, of numbers or of other signs, with the blank before them; what
+    is left of white space; and short forms behind an apostrophe. The last of several white characters is left to what
+    comes after them."""
+    kind = KINDS[np.minimum(data, 127)]
+    wide = np.flatnonzero(data >= 0xC2)
+    kind[wide] = KINDS[((data[wide].astype(np.uint16) & 0x1F) << 6) | (data[wide + 1] & 0x3F)]
+    kind[wide + 1] = kind[wide]
+    before = np.concatenate([np.array([NONE], dtype=np.uint8), kind[:-1]])
+    before[texts] = NONE
+    after = np.concatenate([kind[1:], np.array([NONE], dtype=np.uint8)])
+    after[texts[1:] - 1] = NONE
+    white = kind >= WHITE
+    start = np.where(white, ((before != WHITE) & (before != BLANK)) | (after < WHITE), (kind != before) & (before != BLANK))
+    start[wide + 1] = False
+    marks = np.flatnonzero((data == 0x27) & (before != OTHER) & (before != BLANK))
+    if len(marks):
+        ends = np.append(texts[1:], len(data))[np.searchsorted(texts, marks, side="right") - 1]
+        for form in SHORT:
+            fit = marks + len(form) < ends
+            for k, c in enumerate(form, 1):
+                fit &= data[np.minimum(marks + k, len(data) - 1)] == c
+            at = marks[fit]
+            start[at + 1] = False
+            stop = at + 1 + len(form)
+            stop = stop[stop < ends[fit]]
+            # What follows is apart from the short form, unless it is the rest of white space.
+            start[stop[kind[stop] < WHITE]] = True
+    start[texts] = True
+    return np.flatnonzero(start)
 
 
 class Encoder(dict):
     """The tokenizer's ids of whole texts, in dtype: piece before byte-pair merges -> its ids, up to REMEMBERED pieces.
 
-    A byte-level vocabulary joins a blank with the word after it, so a text falls apart before its blanks; what stands
-    between them is looked up once for each batch. Other vocabularies, texts with the vocabulary's special tokens and
-    texts with blanks within white space go to the tokenizer whole. Both give the tokenizer's ids."""
+    Texts of ASCII and Latin characters (but for two kinds of white space) are split into pieces together, and each distinct piece of a batch is looked up
+    once. Texts with other characters or with special tokens, and all texts of other kinds of vocabularies, go to the
+    tokenizer whole. Both give the tokenizer's ids."""
 
     def __init__(self, tokenizer: str):
         import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(public_tokenizers.path(tokenizer))
         self.dtype = np.dtype("<u2" if self.own.get_vocab_size() <= 1 << 16 else "<u4")
-        self.model, self.letters, self.pattern = self.own.model, byte_letters(), regex.compile(public_tokenizers.PATTERN)
+        self.model, self.letters = self.own.model, byte_letters()
         about = json.loads(self.own.to_str())
         before = about["pre_tokenizer"] or {}
-        self.by_word = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not about["normalizer"]
-        self.whole = "|".join([WITHIN, *(re.escape(t["content"]) for t in about["added_tokens"])])
+        by_piece = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not about["normalizer"]
+        special = [re.escape(t["content"]) for t in about["added_tokens"]]
+        self.whole = "|".join([rf"[^\x{{0}}-\x{{{LAST_PLAIN:X}}}]|[\x{{85}}\x{{A0}}]", *special]) if by_piece else "(?s)^.*$"
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array([t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, piece.encode())))], dtype=self.dtype).tobytes()
+        text = "".join(map(self.letters.__getitem__, piece.encode()))
+        ids = array(self.dtype.char, [t.id for t in self.model.tokenize(text)]).tobytes()
         if len(self) < REMEMBERED:
             self[piece] = ids
         return ids
@@ -79,25 +125,31 @@ class Encoder(dict):
     def encode(self, text: str) -> bytes:
         return np.array(self.own.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def unit(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.pattern.findall(text))) if PLAIN.fullmatch(text) else self.encode(text)
-
     def encode_all(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text."""
-        apart = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False) if self.by_word else np.ones(len(texts), dtype=bool)
-        lists = pc.split_pattern(pc.if_else(pa.array(apart), "", texts), " ")
-        offsets, values = lists.offsets.to_numpy(), lists.values
-        later, first = values.dictionary_encode(), values.take(pa.array(offsets[:-1])).dictionary_encode()
-        got = [self.unit(" " + w) for w in later.dictionary.to_pylist()] + [self.unit(w) for w in first.dictionary.to_pylist()]
-        which = later.indices.to_numpy().copy()
-        which[offsets[:-1]] = first.indices.to_numpy() + len(later.dictionary)
-        width = self.dtype.itemsize
-        ids, sizes = np.frombuffer(b"".join(got), dtype=self.dtype), np.array([len(x) // width for x in got], dtype=np.int64)
-        start, size = (np.cumsum(sizes) - sizes)[which], sizes[which]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        flat = ids[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
-        own, data = ends[offsets] * width, flat.tobytes()
-        return [self.encode(texts[k].as_py()) if apart[k] else data[own[k] : own[k + 1]] for k in range(len(texts))]
+        apart = pc.match_substring_regex(texts, self.whole)
+        plain = pc.if_else(apart, "", texts)
+        data = np.frombuffer(plain.buffers()[2] or b"", dtype=np.uint8)
+        offsets = np.frombuffer(plain.buffers()[1], dtype=np.int32)[plain.offset : plain.offset + len(plain) + 1]
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        apart, full = apart.to_numpy(zero_copy_only=False), np.unique(offsets[:-1][np.diff(offsets) > 0])
+        starts = piece_starts(data, full) if len(data) else np.zeros(0, dtype=np.int64)
+        ends = np.append(starts, len(data)).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(data)).dictionary_encode()
+        got = list(map(self.__getitem__, pieces.dictionary.to_pylist()))
+        width, which = self.dtype.itemsize, pieces.indices.to_numpy()
+        ids, sizes = np.frombuffer(b"".join(got), dtype=self.dtype), np.fromiter(map(len, got), dtype=np.int32, count=len(got)) // width
+        start, size = (np.cumsum(sizes, dtype=np.int32) - sizes)[which], sizes[which]
+        done = np.concatenate([[0], np.cumsum(size)])
+        flat = ids[np.repeat(start - done[:-1].astype(np.int32), size) + np.arange(done[-1], dtype=np.int32)].tobytes()
+        own = (done[np.searchsorted(starts, offsets)] * width).tolist()
+        return [self.encode(texts[k].as_py()) if apart[k] else flat[own[k] : own[k + 1]] for k in range(len(texts))]
+
+
+@functools.cache
+def encoder_of(tokenizer: str) -> Encoder:
+    """One for each worker, which keeps what it remembers from task to task."""
+    return Encoder(tokenizer)
 
 
 def encoded(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
@@ -105,14 +157,14 @@ def encoded(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -
     Rows keep their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         for batch in batches:
             texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
             at = 0
             while at < len(texts):
                 n = max(1, int(np.searchsorted(np.cumsum(pc.binary_length(texts.slice(at, STEP_ROWS)).to_numpy()), STEP_BYTES)))
-                ids = encoder.encode_all(pa.array(texts.slice(at, n).to_pylist(), pa.string()))
+                ids = encoder.encode_all(texts.slice(at, n).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array([x + end for x in ids], pa.binary())], ["doc_id", "ids"])
                 at += n
 
@@ -311,7 +363,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int =
     order = [doc_order(F.col("doc_id")), row_key(F.col("text")), F.spark_partition_id()]
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c.alias(f"_{k}") for k, c in enumerate(order)))
     sorted_ = keyed.repartitionByRange("_0", "_1", "_2").sortWithinPartitions("_0", "_1")
-    width = Encoder(tokenizer).dtype.itemsize
+    width = encoder_of(tokenizer).dtype.itemsize
     encoded(sorted_, tokenizer, end_id).write.format("token_files").options(path=path, length=length, rows=rows, width=width).mode("append").save()
 
 

@@ -1,7 +1,9 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -81,3 +83,12 @@ def test_what_no_manifest_names_is_not_read(spark, tmp_path):
     (tmp_path / "t" / "000000-lost.ids.arrow").write_bytes(b"half")
     (tmp_path / "t" / "000000-lost.docs.arrow").write_bytes(b"")
     assert token_files.read(spark, path).count() == 50
+
+
+def test_pieces_of_any_texts():
+    """Random texts of blanks, line ends, apostrophes, signs, letters and numbers, plain and not, several in a batch."""
+    encoder, signs = token_files.Encoder("byte_bpe_50k.json"), list("ab Z1  \n\t\r'stredvml.!?-é×²ª¿\u0000\u001cሴ\u0085 中ı")
+    random.seed(5)
+    for _ in range(60):
+        texts = ["".join(random.choices(signs[: random.choice([12, 25, 34, 40])], k=random.randrange(40))) for _ in range(200)]
+        assert encoder.encode_all(pa.array(texts)) == [encoder.encode(t) for t in texts]
