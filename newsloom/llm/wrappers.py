@@ -61,7 +61,9 @@ CONTAINER = BLOCK - HEADINGS - {"p", "li", "dt", "dd", "tr", "th", "pre", "hr",
 TURNS = {"table", "tbody", "thead", "tfoot", "td", "ul", "ol", "dl", "blockquote", "figure"}
 
 TOKEN = re.compile(r"(?s)<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<")
-ATTRIBUTE = re.compile(r"(?s)\b(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: An attribute's name and its value, quoted or not, one after the other, so that values are never taken for names.
+ATTRIBUTE = re.compile(r"(?s)[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+TELLING = re.compile(r"class|id|role|itemprop|hidden", re.I)
 PART = re.compile(r"[a-z]+")
 #: What an element's start ends, inside the given border.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -82,8 +84,11 @@ def mark_of(tag: str, attributes: str) -> str:
         return "-"
     main = tag in ("article", "main")
     noise = hint = False
-    for name, *values in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), "".join(values).lower()
+    # Of an attribute that comes twice the first counts.
+    given: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(attributes) if TELLING.search(attributes) else ():
+        given.setdefault(name.lower(), "".join(values).lower())
+    for name, value in given.items():
         if name in ("class", "id"):
             for word in value.split():
                 parts = set(PART.findall(word))

@@ -1,6 +1,7 @@
 import html
 import random
 import re
+from html.parser import HTMLParser
 
 from newsloom.llm import wrappers as w
 
@@ -125,3 +126,62 @@ def test_edges(spark):
     got = sorted(((r.page_id or 0, r.text[:9], r.n_chars) for r in w.extract(pages).collect()))
     assert got == [(0, "b", 1), (1, "a", 1), (3, "", 0), (3, "", 0), (4, "", 0), (5, "word word", 499_999)]
     assert w.extract(pages.limit(0)).count() == 0
+
+
+def test_attributes_are_read_one_by_one():
+    """Names within values, behind dashes and in other names are no attributes; quotes may be of any kind or none."""
+    same = {
+        '<article style="visibility: hidden; x"><p>x</p></article>': "x", '<article><p>one</p><div style="overflow:hidden"><p>two</p></div></article>': "one\ntwo", '<p style="overflow:hidden">x</p>': "x",
+        '<p data-role="navigation">x</p>': "x", '<div data-hidden="false"><p>x</p></div>': "x", '<div data-class="sidebar"><p>x</p></div><p>y</p>': "x\ny", "<p title='role=\"navigation\" hidden'>x</p>": "x",
+        "<p title=hidden>x</p>": "x", '<p title = "a hidden b">x</p>': "x", "<p data-x=1 hidden>gone</p><p>x</p>": "x", "<p HIDDEN=''>gone</p><p>x</p>": "x", "<div/hidden><p>gone</p></div><p>x</p>": "x",
+        "<div role = 'navigation'><p>gone</p></div><p>x</p>": "x", "<div ROLE=Navigation><p>gone</p></div><p>x</p>": "x", '<p aria-hidden="false">x</p>': "x", '<p aria-hidden = true>gone</p><p>x</p>': "x",
+        '<p class="a" class="hidden" role>x</p>': "x", '<p role="main" role="navigation">x</p>': "x", '<a href="/?role=navigation&hidden">x</a>': "x", "<p =hidden>x</p>": "x",
+    }
+    assert {p: extracted(p) for p in same} == same
+
+
+class Oracle(HTMLParser):
+    """The blocks of <article> with <p> and <h1> in it, by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.on, self.lines, self.line = 0, [], ""
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        self.on += tag == "article"
+        self.line += " " if tag == "br" else ""
+        if tag in ("p", "h1"):
+            self.flush()
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "article"):
+            self.flush()
+        self.on -= tag == "article"
+
+    def flush(self):
+        if " ".join(self.line.split()):
+            self.lines.append(" ".join(self.line.split()))
+        self.line = ""
+
+    def handle_data(self, data):
+        self.line += data if self.on else ""
+
+
+def test_marked_pages_against_another_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("html like '%<article>%'")
+    want = {r.page_id: "\n".join(Oracle(r.html).lines) for r in pages.collect()}
+    assert len(want) > 2000
+    assert {r.page_id: r.text for r in w.extract(pages).collect()} == want
+
+
+def test_a_sidebar_among_many_parts_of_its_name():
+    """More than GROUP parts become one of each name; what every page has there still goes, what one page has stays."""
+    rng = random.Random(9)
+    for n in (10, 49, 51, 120):
+        made = [[prose(rng, 25) for _ in range(n)] for _ in range(5)]
+        pages = ["<body>" + "".join(f"<div><p>{t}</p></div>" + ("<div><p>Read this too</p><ul><li>One more</ul></div>" if k == n // 2 else "") for k, t in enumerate(texts)) + "</body>" for texts in made]
+        wrapper = w.wrapper_of(w.tree(pages[0]))
+        for page in pages[1:]:
+            w.absorb(wrapper, w.wrapper_of(w.tree(page)))
+        assert [w.read(w.tree(p), wrapper) for p in pages] == ["\n".join(t) for t in made]
