@@ -95,11 +95,13 @@ class Model:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray | None:
-    """Weights of a ridge-penalised logistic regression by Newton's method, both classes weighed alike; None for one class."""
-    if len(set(y.tolist())) < 2:
+    """Weights of a ridge-penalised logistic regression by Newton's method, both classes weighed alike; None for one
+    class. y are shares of the class, 0 to 1."""
+    if not 0 < y.mean() < 1:
         return None
     x = np.hstack([x, np.ones((len(x), 1))])
-    weigh = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
+    weigh = (y * 0.5 / y.mean() + (1 - y) * 0.5 / (1 - y.mean())) / len(y)
+    y = y * 0.5 / y.mean() / len(y) / weigh  # what a share is once classes are weighed
     w = np.zeros(x.shape[1])
     pull = np.full(x.shape[1], ridge)
     pull[-1] = 1e-9
@@ -117,10 +119,16 @@ def clipped(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The document model, from at most sample labelled rows, dealt by a hash of their id."""
+    """The document model, from at most sample labelled rows, dealt by a hash of their id.
+
+    Copies of a text count once, with the share of each class among their labels; a text is toxic to the lexicon if at
+    least half of its labels say so. So the model does not depend on how rows are dealt out or ordered."""
     chosen = labels.where("doc_id is not null and quality is not null and toxic is not null").select("doc_id", F.col("quality").cast("int").alias("_q"), F.col("toxic").cast("int").alias("_t"))
     chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(11)), "_q", "_t").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "_q", "_t", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).dropDuplicates(["h"])
+    whole = F.coalesce("text", F.lit(""))
+    marked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(whole.alias("text"), "_q", "_t")
+    texts = marked.groupBy(F.sha2(F.encode("text", "UTF-8"), 256).alias("h")).agg(F.first("text").alias("text"), F.avg("_q").alias("q"), F.avg("_t").alias("t"))
+    texts = texts.withColumn("_t", (F.col("t") >= 0.5).cast("int"))
     texts = cut(texts.repartition(max(2, texts.sparkSession.sparkContext.defaultParallelism), "h"))
     totals = texts.agg(F.count("*").alias("n"), F.sum("_t").alias("t")).first()
     n, toxic = totals["n"], totals["t"] or 0
@@ -144,12 +152,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for part in parts:
             yield pd.Series([shape(t, values) for t in part])
 
-    rows = texts.select("h", "_q", "_t", shapes("text").alias("x")).collect()  # sample rows at most, of a few numbers
+    rows = texts.select("h", "q", "t", shapes("text").alias("x")).collect()  # sample rows at most, of a few numbers
     rows.sort(key=lambda r: r["h"])
     x = np.array([r["x"] for r in rows])
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     x = clipped(x, mean, scale)
-    return Model(lexicon, mean, scale, {"quality": logistic(x, np.array([r["_q"] for r in rows])), "toxic": logistic(x, np.array([r["_t"] for r in rows]))})
+    return Model(lexicon, mean, scale, {"quality": logistic(x, np.array([r["q"] for r in rows])), "toxic": logistic(x, np.array([r["t"] for r in rows]))})
 
 
 def moments(groups: DataFrame, rate: Column | None = None) -> float:
@@ -247,8 +255,9 @@ def report(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
 
     Null texts count as empty, texts of any length are read whole; null hosts and paths are sites of their own; sites
     without labels have the global rate. Where the labels show one class only there is no evidence of that kind and
-    nothing is rejected for it; without labels everything stays. Repeated rows stay; an empty table gives an empty one.
-    Other columns are not looked at, whatever their names.
+    nothing is rejected for it; without labels everything stays. Labels that differ, of one document or of copies, count
+    as shares, see fit(). Repeated rows stay; an empty table gives an empty one. Other columns are not looked at,
+    whatever their names.
     """
     return judged(docs.select("doc_id", "text", "source", "lang"), labels, sample).drop("rk")
 

@@ -106,3 +106,28 @@ def test_what_texts_show_already_is_no_news_of_the_site(spark):
     labels = spark.createDataFrame([(k, int(h == "plain" and k % 20 > 0 or h != "plain" and k % 20 == 0), 0) for k, h, _, _ in rows], "doc_id long, quality int, toxic int")
     news = {r.host: r.news_quality for r in quality.posteriors(docs, labels)[0].collect()}
     assert news["hidden"] < -1.5 and abs(news["seen"]) < 0.5 * abs(news["hidden"])
+
+
+def test_equal_texts_with_different_labels(spark):
+    """The model is the same however rows are dealt out; a text's labels count as shares."""
+    rows = [(k, f"Plain words stand here, number {k}. " * 4 if k % 3 else "Ha ### $$$ *** " * 9, "s", "en") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0 or k % 2), int(k % 12 == 0)) for k in range(60)] + [(1, 0, 1), (1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    models, verdicts = [], []
+    for n in (1, 3, 7):
+        models.append(quality.fit(docs.repartition(n), labels.repartition(n)))
+        verdicts.append(sorted(map(tuple, quality.report(docs.repartition(n), labels).select("doc_id", "rejected").collect())))
+    for m in models[1:]:
+        assert m.lexicon == models[0].lexicon
+        assert all(np.array_equal(m.weights[k], models[0].weights[k]) for k in quality.KINDS)
+    assert verdicts[0] == verdicts[1] == verdicts[2]
+
+
+def test_shares_are_fractions_of_both_classes():
+    """A row of share 1/2 weighs as two rows, one of each class, of half the weight."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 2))
+    y = np.where(np.arange(40) < 10, 0.5, (x[:, 0] > 0).astype(float))
+    twice = np.concatenate([x, x])
+    apart = np.concatenate([np.ceil(y), np.floor(y)])
+    assert np.allclose(quality.logistic(x, y), quality.logistic(twice, apart), atol=1e-8)
