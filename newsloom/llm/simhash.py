@@ -172,7 +172,10 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
 
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
-    """docs without near duplicates: of each component one row stays, see one_of_each()."""
+    """docs without near duplicates: of each component one row stays, see one_of_each().
+
+    Null and empty texts, and those without words, have fingerprint 0 and are alike. Texts of any length are hashed
+    whole. An empty table stays empty."""
     return one_of_each(docs, components(docs, max_bits, shingle)[1])
 
 
