@@ -6,6 +6,7 @@ URL's possible hosts with the rules, which needs no broadcast.
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -29,7 +30,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 class Trie:
     """Nodes are dicts: a host label (from the right) leads on; under None stands the path trie of that host. There a
-    whole segment leads on; rules that end within a segment are kept at its start, by the text they ask for."""
+    whole segment leads on; rules that end within a segment are kept at its start, by the text they ask for, with the
+    lengths of these texts: a URL's segment is tried at these lengths only."""
 
     def __init__(self, rules: Iterable[tuple[str, str, str]]):
         """rules: (verdict, host, path); a rule that is listed twice is a block if either says so."""
@@ -42,7 +44,9 @@ class Trie:
             *whole, last = path.split("/")
             for part in whole:
                 node = node.setdefault(part, {})
-            ends = node.setdefault(None, {})
+            lengths, ends = node.setdefault(None, ([], {}))
+            if len(last) not in lengths:
+                insort(lengths, len(last))
             blocks = "block" in (verdict, ends.get(last, (verdict,))[0])
             ends[last] = ("block" if blocks else "allow", host + path)
 
@@ -58,8 +62,10 @@ class Trie:
             for part in parts:
                 if at is None:
                     break
-                ends = at.get(None, {})
-                for k in range(len(part) + 1) if ends else ():
+                lengths, ends = at.get(None, ((), {}))
+                for k in lengths:
+                    if k > len(part):
+                        break
                     end = ends.get(part[:k])
                     if end and (best is None or len(end[1]) >= len(best[1])):
                         best = end

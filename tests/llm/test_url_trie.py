@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -41,3 +42,12 @@ def test_very_long_urls(spark):
     assert sorted(map(tuple, url_trie.judge(pages, URL_RULES).collect())) == want
     short = pages.where("page_id <> 1")
     assert sorted(map(tuple, url_trie.judge(short, table, max_rules=3).collect())) == [want[0], want[2]]
+
+
+def test_a_very_long_segment_takes_linear_time():
+    trie = url_trie.Trie([*URL_RULES, ("block", "org", "/" + "y" * 30), ("allow", "org", "/" + "y" * 31 + "z")])
+    path = "/" + "y" * 3_000_000
+    start = time.process_time()
+    assert trie.find("a.org", path) == ("block", "org/" + "y" * 30)
+    assert trie.find("example.org", "/es/" + path) == ("block", "example.org/es/")
+    assert time.process_time() - start < 1
