@@ -46,18 +46,20 @@ MORE = [
     ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lesser general public license"),
     ("agpl-3", "gnu affero general public license", "affero general public license"),
     ("agpl-3", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", "affero general public license"),
-    ("mpl-2", "mozilla public license version 2 0", "mozilla public license"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    ("mpl-2", "mozilla public license version 2 0", "mozilla public license version 2 0"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose", "copy modify and or distribute"),
     ("isc", "this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "with or without fee is hereby granted"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
     ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary", "use compile sell or distribute this software"),
     ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software", "will the authors be held liable"),
     ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", "must be plainly marked as such"),
-    ("bsl-1", "boost software license version 1 0", "boost software license"),
+    ("bsl-1", "boost software license version 1 0", "boost software license version 1 0"),
     ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "person or organization obtaining a copy"),
-    ("epl-2", "made available under the terms of the eclipse public license", "eclipse public license"),
-    ("epl-2", "eclipse public license 2 0", "eclipse public license"),
+    ("epl-2", "made available under the terms of the eclipse public license 2 0", "eclipse public license 2 0"),
+    ("epl-2", "eclipse public license 2 0", "eclipse public license 2 0"),
+    ("epl-2", "eclipse public license v 2 0", "eclipse public license v 2 0"),
+    ("epl-2", "eclipse public license version 2 0", "eclipse public license version 2 0"),
     ("artistic-2", "the artistic license 2 0", "artistic license 2 0"),
     ("ms-pl", "microsoft public license ms pl", "microsoft public license"),
     ("eupl", "european union public licence", "european union public licence"),

@@ -71,6 +71,7 @@ NOTICES = {
     "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License": "lgpl", "GNU Affero General Public License": "agpl-3",
     "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.": "cc0", "Distributed under the Boost Software License, Version 1.0.": "bsl-1",
     "This is free and unencumbered software released into the public domain.": "unlicense", "the general public has no license to this software": "",
+    "Eclipse Public License 1.0 applies": "", "Eclipse Public License, version 2.0": "epl-2", "the terms of the Eclipse Public License v. 2.0": "epl-2", "Mozilla Public License, version 1.1": "", "Mozilla Public License Version 2.0": "mpl-2",
 }
 
 
