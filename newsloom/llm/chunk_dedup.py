@@ -230,7 +230,8 @@ def marks(docs: DataFrame, min_words: int) -> DataFrame:
     twice within a text of this document), for documents with either."""
     held = cut(docs.where(F.length("text") > 0).select(order(docs).alias("doc"), sketch(F.col("text"), min_words).alias("s")).select("doc", "s.digests", "s.own"))
     each = held.select("doc", F.explode("digests").alias("digest"))
-    first = each.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("digest", "first")
+    # Checkpointed, so that the join has two shuffles of its own and Spark splits a hot chunk.
+    first = cut(each.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("digest", "first"))
     known = each.join(first, "digest").where("first < doc").groupBy("doc").agg(F.collect_set("digest").alias("known"))
     known = known.select("doc", "known", F.lit(False).alias("own"))
     own = held.where("own").select("doc", F.array().cast("array<long>").alias("known"), F.lit(True).alias("own"))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import shared_path
+from newsloom.llm.common import cut, shared_path
 
 #: Payloads from this size on are written once; bytes of a record's block (a larger one goes on in continuations) and of
 #: a chunk; records in a file; bytes of records that are handed on at a time.
@@ -37,7 +37,8 @@ def with_types(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFram
     html = F.coalesce(F.col("html"), F.lit(""))
     sized = pages.select("page_id", "url", "html", F.sha1(F.encode(html, "UTF-8")).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes"), F.monotonically_increasing_id().alias("at"))
     largest = sized.where(F.col("payload_bytes") >= revisit_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("largest"), F.max_by("at", "page_id").alias("largest_at"), F.count("*").alias("copies"))
-    largest = largest.where("copies > 1 and largest is not null").drop("copies")
+    # Checkpointed, so that the join has two shuffles of its own and Spark splits a hot payload.
+    largest = cut(largest.where("copies > 1 and largest is not null").drop("copies"))
     found = sized.join(largest, ["payload_digest", "payload_bytes"], "left")
     again = F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest"))
     return found.select(
