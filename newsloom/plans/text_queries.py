@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
-from newsloom.operators import duplicates, keywords, metrics, relevance, windows
+from newsloom.operators import duplicates, keywords, metrics, relevance, windows, yake
 from newsloom.plans.catalogue import query
 from newsloom.sources.shared import cut
 from newsloom.sources.tables import table, urls_in
@@ -251,23 +251,75 @@ def tfidf_topk(spark, sf_dir):
     return keywords.tfidf_top(weights, 100).select("term", F.round("score", 4).alias("score"))
 
 
-@query(f"""WITH {GRAMS}, tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL), f AS (SELECT term, sum(tf) AS tf, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS n FROM documents),
+#: Stop words of keyphrases.
+STOP = ["the", "and", "that", "with", "for", "was", "are", "les", "des", "und", "die", "que", "los"]
+FIT = "IN ('a', 'n', 'p')"
+STOPS = "(" + ", ".join(f"'{w}'" for w in STOP) + ")"
+
+
+def _runs(n: int) -> str:
+    """SQL: runs of n words that may be phrases; the next words stand beside each word."""
+    of = range(n)
+    fit = [f"kind{j} {FIT} AND i{j} = i0 + {j}" for j in of] + ["NOT stop0", f"NOT stop{n - 1}"]
+    return f"SELECT doc_id, {' || chr(32) || '.join(f'low{j}' for j in of)} AS phrase, [{', '.join(f'term{j}' for j in of)}] AS terms, [{', '.join(f'stop{j}' for j in of)}] AS stops FROM kl WHERE {' AND '.join(fit)}"
+
+
+BESIDE = ", ".join(f"lead({c}, {j}) OVER w AS {c}{j}" for j in range(4) for c in ("i", "low", "term", "stop", "kind"))
+PHRASES = f"""sent AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id, i) - 1 AS s, part FROM (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i
+  FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[.!?]+\\s+|[\\r\\n]+'), lambda x: regexp_matches(x, '\\S')) AS parts FROM documents))),
+tk AS (SELECT doc_id, s, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM (SELECT doc_id, s, regexp_extract_all(part, '[\\pL\\pM\\pN_]+(?:[''’.,:/&@+-][\\pL\\pM\\pN_]+)*|[^\\s\\pL\\pM\\pN_]') AS w FROM sent)),
+k0 AS (SELECT doc_id, s, i, w, lower(w) AS low, CASE WHEN length(w) > 3 AND ends_with(lower(w), 's') THEN left(lower(w), -1) ELSE lower(w) END AS term, length(w) - length(regexp_replace(w, '\\pN', '', 'g')) AS nd, length(w) - length(regexp_replace(w, '\\pL', '', 'g')) AS nl,
+  length(w) - length(regexp_replace(w, '[!-/:-@\\[-`{{-~]', '', 'g')) AS np, length(w) - length(regexp_replace(w, '\\p{{Lu}}', '', 'g')) AS nu FROM tk WHERE regexp_matches(w, '^[\\pL\\pM\\pN_]')),
+k AS MATERIALIZED (SELECT doc_id, s, i, low, term, low IN {STOPS} OR term IN {STOPS} OR length(regexp_replace(term, '[!-/:-@\\[-`{{-~]', '', 'g')) < 3 AS stop,
+  CASE WHEN regexp_full_match(replace(w, ',', ''), '[0-9]+\\.?[0-9]*|\\.[0-9]+') THEN 'd' WHEN (nd > 0 AND nl > 0) OR (nd = 0 AND nl = 0) OR np > 1 THEN 'u' WHEN nu = length(w) THEN 'a' WHEN nu = 1 AND length(w) > 1 AND regexp_matches(w, '^\\p{{Lu}}') AND i > 0 THEN 'n' ELSE 'p' END AS kind FROM k0),
+kl AS MATERIALIZED (SELECT doc_id, {BESIDE} FROM k WINDOW w AS (PARTITION BY s ORDER BY i)),
+tm AS (SELECT term, count(*) AS tf, count(*) FILTER (kind = 'a') AS caps, count(*) FILTER (kind = 'n') AS names, count(DISTINCT s) AS spread, bool_or(stop) AS stop, median(DISTINCT s) AS mid FROM k GROUP BY term),
+e AS MATERIALIZED (SELECT term0 AS a, term1 AS b, count(*) AS n FROM kl WHERE kind0 {FIT} AND kind1 {FIT} AND i1 = i0 + 1 GROUP BY ALL),
+el AS (SELECT b AS term, count(*) AS d, sum(n) AS n FROM e GROUP BY b), er AS (SELECT a AS term, count(*) AS d, sum(n) AS n FROM e GROUP BY a),
+mx AS (SELECT max(tf) AS m, avg(tf) + stddev_pop(tf) AS ms FROM tm WHERE NOT stop), ns AS (SELECT count(*) AS n FROM sent),
+rel AS (SELECT tm.*, ms, ns.n AS ns, 0.5::DOUBLE + coalesce(el.d / el.n, 0) * (tf / m) + coalesce(el.d, 0) / m + (0.5::DOUBLE + coalesce(er.d / er.n, 0) * (tf / m) + coalesce(er.d, 0) / m) AS rel FROM tm LEFT JOIN el USING (term) LEFT JOIN er USING (term), mx, ns),
+h AS MATERIALIZED (SELECT term, tf, CASE WHEN NOT stop THEN ln(ln(3 + mid)) * rel / (greatest(caps, names) / (1 + ln(tf)) + tf / ms / rel + spread / ns / rel) END AS h FROM rel),
+ph AS (SELECT phrase, count(*) AS tf, count(DISTINCT doc_id) AS df, any_value(terms) AS terms, any_value(stops) AS stops FROM ({" UNION ALL ".join(map(_runs, range(1, 5)))}) GROUP BY phrase),
+pt AS (SELECT phrase, unnest(terms) AS term, unnest(stops) AS stop, unnest([NULL] || terms[: len(terms) - 1]) AS bef, unnest(terms[2 :] || [NULL]) AS aft, generate_subscripts(terms, 1) AS i FROM ph),
+pw AS (SELECT phrase, i, CASE WHEN NOT pt.stop THEN h.h END AS h, CASE WHEN pt.stop THEN coalesce(e1.n / hb.tf, 0) * coalesce(e2.n / ha.tf, 0) END AS tied FROM pt JOIN h ON h.term = pt.term LEFT JOIN e e1 ON e1.a = bef AND e1.b = pt.term LEFT JOIN h hb ON hb.term = bef LEFT JOIN e e2 ON e2.a = pt.term AND e2.b = aft LEFT JOIN h ha ON ha.term = aft),
+ys AS (SELECT phrase, ph.tf, ph.df, p / nullif((t + 1) * ph.tf, 0) AS raw FROM (SELECT phrase, list_reduce(list(coalesce(h, 2 - tied) ORDER BY i), lambda a, x: a * x) AS p, list_reduce(list(coalesce(h, tied - 1) ORDER BY i), lambda a, x: a + x) AS t FROM pw GROUP BY phrase) JOIN ph USING (phrase)),
+yr AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY raw, phrase) AS n FROM ys WHERE raw IS NOT NULL QUALIFY n <= 5000),
+yf AS (SELECT 0::BIGINT AS n, []::VARCHAR[] AS led, NULL::VARCHAR AS phrase, NULL::BIGINT AS tf, NULL::BIGINT AS df, NULL::DOUBLE AS raw
+  UNION ALL
+  SELECT yr.n, CASE WHEN near = 0 THEN list_append(led, yr.phrase) ELSE led END, CASE WHEN near = 0 THEN yr.phrase END, yr.tf, yr.df, yr.raw
+  FROM (SELECT yr.*, led, len(list_filter(led, lambda x: 1 - levenshtein(yr.phrase, x) / greatest(length(yr.phrase), length(x)) > 0.75)) AS near FROM yf JOIN yr ON yr.n = yf.n + 1 WHERE len(led) < 80) yr),
+yk AS (SELECT phrase AS term, tf, df, 1 / (1 + raw) AS yake FROM yf WHERE phrase IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {PHRASES} SELECT term, tf AS total_frequency, df AS document_frequency, round(yake, 6) AS score FROM yk")
+def keyphrase_topk(spark, sf_dir):
+    """TXT-26: the 80 best phrases of up to 4 words by the statistics of the corpus as one text, near ones folded."""
+    found = yake.keyphrases(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), STOP)
+    return found.select("term", F.col("tf").alias("total_frequency"), F.col("df").alias("document_frequency"), F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH RECURSIVE {GRAMS}, tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL), f AS (SELECT term, sum(tf) AS tf, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS n FROM documents),
 v AS (SELECT doc_id, tf.term, tf.tf * (ln((1 + n) / (1 + f.df)) + 1) AS v FROM tf JOIN f USING (term), n), m AS (SELECT doc_id, sqrt(sum(v * v)) AS m FROM v GROUP BY doc_id),
 t AS (SELECT term, sum(v / m) AS score FROM v JOIN m USING (doc_id) GROUP BY term ORDER BY round(sum(v / m), 6) DESC, term LIMIT 80),
-k AS (SELECT term FROM f ORDER BY tf DESC, term LIMIT 120),
-c AS (SELECT term, tf, df, score, k.term IS NOT NULL AS often FROM f LEFT JOIN t USING (term) LEFT JOIN k USING (term) WHERE t.term IS NOT NULL OR k.term IS NOT NULL)
-SELECT term, tf::BIGINT AS total_frequency, df AS document_frequency, round(0.35 * coalesce(score / max(score) OVER (), 0) + 0.15 * tf / max(tf) OVER () + 0.15 * df / n + 0.10 * ((score IS NOT NULL)::INT + often::INT) / 3, 6) AS composite_score FROM c, n""")
+o AS (SELECT term FROM f ORDER BY tf DESC, term LIMIT 120),
+{PHRASES},
+c AS (SELECT term, coalesce(f.tf, yk.tf) AS tf, coalesce(f.df, yk.df) AS df, score, yake, o.term IS NOT NULL AS often FROM f FULL JOIN yk USING (term) LEFT JOIN t USING (term) LEFT JOIN o USING (term) WHERE t.term IS NOT NULL OR o.term IS NOT NULL OR yk.term IS NOT NULL)
+SELECT term, tf::BIGINT AS total_frequency, df AS document_frequency, round(0.35 * coalesce(score / max(score) OVER (), 0) + 0.25 * coalesce(yake / nullif(greatest(max(yake) OVER (), 0), 0), 0) + 0.15 * tf / max(tf) OVER () + 0.15 * df / n + 0.10 * ((score IS NOT NULL)::INT + (yake IS NOT NULL)::INT + often::INT) / 3, 6) AS composite_score FROM c, n""")
 def keyword_composite(spark, sf_dir):
-    """TXT-28, WIN-06: candidates are the 120 most frequent terms and the 80 best by TF-IDF; the second method (TXT-26)
-    is not there, so its weight is 0."""
+    """TXT-28, WIN-06: candidates are the 120 most frequent terms, the 80 best by TF-IDF and the 80 best keyphrases, which
+    bring their own counts where they are no runs of the other two's tokens."""
     docs = table(spark, sf_dir, "documents")
     n = docs.count()
     terms = cut(keywords.grams(docs, "doc_id", F.col("text"), (1, 2), ["the", "and"]).groupBy("doc_id", "term").agg(F.count("*").alias("tf")))
     counts = cut(terms.groupBy("term").agg(F.sum("tf").alias("total_frequency"), F.count("*").alias("document_frequency")))
     best = keywords.tfidf_of(terms, "doc_id", n).groupBy("term").agg(F.sum("weight").alias("tfidf")).orderBy(F.desc(F.round("tfidf", 6)), "term").limit(80)
     often = counts.orderBy(F.desc("total_frequency"), "term").limit(120).select("term", F.lit(True).alias("often"))
-    found = counts.join(best.join(often, "term", "full_outer"), "term")  # 200 candidates
-    return keywords.composite(found.withColumn("yake", F.lit(None).cast("double")), n)
+    phrases = yake.keyphrases(docs, "doc_id", F.col("text"), STOP).withColumnRenamed("score", "yake")
+    chosen = cut(best.join(often, "term", "full_outer").join(phrases, "term", "full_outer"))  # 280 candidates
+    # All candidates stay, those without counts of their own, too: the few are broadcast on the side that is not kept whole.
+    own = counts.join(F.broadcast(chosen.select("term")), "term", "left_semi")
+    found = chosen.join(own, "term", "left").select("term", "tfidf", "yake", "often", *(F.coalesce(a, b).alias(a) for a, b in (("total_frequency", "tf"), ("document_frequency", "df"))))
+    return keywords.composite(found, n)
 
 
 ROUNDS = f"WITH w AS ({TOK}), t AS (SELECT source, unnest(w) AS term FROM w), c AS (SELECT source, term, count(*) AS n FROM t GROUP BY ALL), r AS (SELECT source, term, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, term) AS k FROM c QUALIFY k <= 30)"
