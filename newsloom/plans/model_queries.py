@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.operators import metrics, models, windows
+from newsloom.operators import diversity, metrics, models, windows
 from newsloom.plans.catalogue import query
 from newsloom.plans.text_queries import SCORED, scored, title
 from newsloom.sources.shared import cut
@@ -127,3 +127,19 @@ def bench_classifiers(spark, sf_dir):
         got = models.cross_validated(rows, "doc_id", "quality", features, kind)
         found.append(got.select(F.lit(f"{shape}_{kind}").alias("model"), F.lit("full" if shape == "tfidf" else "vector").alias("representation"), "doc_id", F.col("quality").alias("label"), "probability"))
     return metrics.comparison(cut(reduce(DataFrame.unionByName, found)), BY)
+
+
+MARGINAL = """WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
+c AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS m FROM x GROUP BY ALL) GROUP BY label), r AS MATERIALIZED (SELECT vec_id, label, v, list_cosine_similarity(v, c) AS rel FROM e JOIN c USING (label)),
+s AS (SELECT label, 1 AS place, max_by(vec_id, rel) AS vec_id, max(rel) AS rel, max(rel) AS score, [max_by(vec_id, rel)] AS ids, [max_by(v, rel)] AS vs FROM r GROUP BY label
+  UNION ALL
+  SELECT label, place + 1, max_by(vec_id, score), max_by(rel, score), max(score), list_append(any_value(ids), max_by(vec_id, score)), list_append(any_value(vs), max_by(v, score))
+  FROM (SELECT s.label, place, ids, vs, r.vec_id, r.rel, r.v, 0.3 * r.rel - 0.7 * list_max(list_transform(vs, lambda w: list_cosine_similarity(r.v, w))) AS score FROM s JOIN r USING (label) WHERE place < 20 AND NOT list_contains(ids, r.vec_id)) GROUP BY label, place)
+SELECT label, vec_id, place, round(rel, 6) AS relevance, round(score, 6) AS score FROM s"""
+
+
+@query(MARGINAL)
+def marginal_relevance(spark, sf_dir):
+    """TXT-27: of each label 20 vectors near its centre and unlike each other, with a diversity of 0.7."""
+    found = diversity.mmr(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 20, 0.7)
+    return found.select("label", "vec_id", "place", F.round("relevance", 6).alias("relevance"), F.round("score", 6).alias("score"))
