@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from newsloom.operators import diversity, metrics, models, windows
 from newsloom.plans.catalogue import query
 from newsloom.plans.text_queries import SCORED, scored, title
-from newsloom.sources.shared import cut
+from newsloom.sources.shared import cut, shared_dir
 from newsloom.sources.tables import table
 
 SWEEP = SCORED + """, t AS (SELECT range / 100.0 AS t FROM range(5, 96)),
@@ -113,15 +114,21 @@ def rescreened(spark, sf_dir):
     return metrics.rescreened(scored(spark, sf_dir).select("doc_id", "score"), "doc_id", "score", 0.8, 0.2).select("doc_id", "review_bucket", "audited")
 
 
-@query()
-def bench_classifiers(spark, sf_dir):
-    """ML-01, ML-02 (without damped counts), ML-03, ML-04 (over vectors), ML-06, ML-07, ML-08, ML-11: out-of-fold metrics of five folds of
-    linear models over texts (words and runs of characters) and vectors, side by side."""
+def labelled_texts(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", windows.title_and_body(title(), F.col("text")).alias("text"))
     docs = models.checked(scored(spark, sf_dir).select("doc_id", "quality").join(docs, "doc_id"), "text", "quality")
-    docs = docs.withColumn("grams", models.character_grams(F.col("text")))
+    return docs.withColumn("grams", models.character_grams(F.col("text")))
+
+
+@query()
+def bench_classifiers(spark, sf_dir):
+    """ML-01..ML-08, ML-11, ML-20: out-of-fold metrics of five folds of logistic regression and calibrated linear machines
+    over texts (words, pairs of words and runs of characters, counts damped) and of these and a kernel machine, by random
+    Fourier features, over vectors, side by side."""
+    docs = labelled_texts(spark, sf_dir)
     vecs = models.vectors(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), (F.col("label") % 2).alias("quality"), "embedding"), "embedding")
-    runs = [("tfidf", docs, models.text_features("text", characters="grams"), "logreg"), ("emb", vecs, models.scaled(), "logreg"), ("emb", vecs, models.scaled(), "linsvm")]
+    texts = models.text_features("text", characters="grams")
+    runs = [("tfidf", docs, texts, "logreg"), ("tfidf", docs, texts, "linsvm"), ("emb", vecs, models.scaled(), "logreg"), ("emb", vecs, models.scaled(), "linsvm"), ("emb", vecs, models.scaled(), "rbfsvm")]
     found = []
     for shape, rows, features, kind in runs:
         got = models.cross_validated(rows, "doc_id", "quality", features, kind)
@@ -129,6 +136,23 @@ def bench_classifiers(spark, sf_dir):
     return metrics.comparison(cut(reduce(DataFrame.unionByName, found)), BY)
 
 
+@query()
+def feature_weights(spark, sf_dir):
+    """ML-14: the 30 features that speak most for and against quality, by name."""
+    fitted = models.fit(models.balanced(labelled_texts(spark, sf_dir), "quality"), "doc_id", "quality", models.text_features("text", characters="grams"), "logreg")
+    return models.top_features(fitted, spark)
+
+
+@query()
+def rescreened_by_model(spark, sf_dir):
+    """ML-21, SNK-13: all documents scored by a model that was fitted on the labelled ones, saved and loaded, in buckets."""
+    rows = lambda: models.balanced(labelled_texts(spark, sf_dir).drop("grams"), "quality")
+    made = models.kept(spark, f"{shared_dir(spark)}/models-{uuid.uuid4().hex}", "logreg-1", lambda: models.fit(rows(), "doc_id", "quality", models.text_features("text"), "logreg"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", windows.title_and_body(title(), F.col("text")).alias("text"))
+    scores = made.probability(docs, "doc_id")
+    return metrics.rescreened(scores, "doc_id", "probability", 0.8, 0.2).select("doc_id", F.round("probability", 6).alias("probability"), "review_bucket", "audited")
+
+
 MARGINAL = """WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
 c AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS m FROM x GROUP BY ALL) GROUP BY label), r AS MATERIALIZED (SELECT vec_id, label, v, list_cosine_similarity(v, c) AS rel FROM e JOIN c USING (label)),
 s AS (SELECT label, 1 AS place, max_by(vec_id, rel) AS vec_id, max(rel) AS rel, max(rel) AS score, [max_by(vec_id, rel)] AS ids, [max_by(v, rel)] AS vs FROM r GROUP BY label

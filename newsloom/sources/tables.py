@@ -169,7 +169,7 @@ def write_by_label(df: DataFrame, path: str, label: str = "final_label") -> None
     df.write.mode("overwrite").partitionBy(label).parquet(path)
 
 
-def _files(spark: SparkSession, path: str):
+def files_of(spark: SparkSession, path: str):
     """(file system, path) of Hadoop for a path of any store."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -180,8 +180,8 @@ def replace_table(df: DataFrame, path: str) -> None:
     """df as the Parquet table at path: written whole beside it and then renamed, so readers see the old or the new one."""
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{path}.new")
-    files, at = _files(spark, path)
-    _, fresh = _files(spark, f"{path}.new")
+    files, at = files_of(spark, path)
+    _, fresh = files_of(spark, f"{path}.new")
     files.delete(at, True)
     if not files.rename(fresh, at):
         raise OSError(f"{path}.new could not be renamed")
@@ -189,7 +189,7 @@ def replace_table(df: DataFrame, path: str) -> None:
 
 def cached(spark: SparkSession, path: str, make) -> DataFrame:
     """The table at path, made by make() and written where it is not there whole."""
-    files, done = _files(spark, f"{path}/_SUCCESS")
+    files, done = files_of(spark, f"{path}/_SUCCESS")
     if not files.exists(done):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -46,13 +46,13 @@ def upsert_into(events: DataFrame, path: str, checkpoint: str, keys: list[str],
     that it touches and no other; a batch that runs again gives the same rows."""
     from newsloom.operators.merge import keep_last
     from newsloom.sources.shared import cut
-    from newsloom.sources.tables import _files
+    from newsloom.sources.tables import files_of
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = cut(keep_last(batch, keys, order).withColumn("bucket", F.expr(f"cast(pmod(xxhash64({', '.join(keys)}), {buckets}) as int)")))
         touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # buckets at most
-        files, at = _files(spark, path)
+        files, at = files_of(spark, path)
         if files.exists(at):
             old = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched))
             # The checkpoint is read before the buckets are written.
