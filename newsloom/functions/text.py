@@ -147,11 +147,11 @@ def decomposed(text: Column) -> Column:
 
 
 def normal_title(title: Column) -> Column:
-    """Lower case, letters decomposed, digits joined over separators, punctuation and marks to spaces, spaces folded."""
-    t = F.regexp_replace(decomposed(F.lower(title)), r"([0-9])[,.]([0-9])", "$1$2")
+    """Lower case, letters decomposed, digits of any script joined over separators, punctuation and marks to spaces, spaces folded."""
+    t = F.regexp_replace(decomposed(F.lower(title)), r"(\p{Nd})[,.](\p{Nd})", "$1$2")
     t = F.regexp_replace(t, r"[^\p{L}\p{N}_\s]", " ")
     t = F.regexp_replace(t, r"\s+", " ")
-    return F.btrim(F.regexp_replace(t, r"([0-9]) ([0-9])", "$1$2"))
+    return F.btrim(F.regexp_replace(t, r"(\p{Nd}) (\p{Nd})", "$1$2"))
 
 
 def text_hash(text: Column) -> Column:

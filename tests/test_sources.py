@@ -1,4 +1,5 @@
 from pyspark.sql import functions as F
+import pytest
 from pyspark.sql.types import StructType
 
 from newsloom.operators import html, rounds
@@ -113,20 +114,60 @@ def test_redirects_codes_and_reader_pages(spark):
     urls = {f"https://news.example.com/rss/articles/{coded}?oc=5": "https://a.in/b?c=1", f"https://other.com/articles/{coded}": None, "https://news.example.com/rss/articles/AAAA": None, "https://news.example.com/x": None, "https://news.example.com/articles/A": None}
     got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", tables.decoded_redirect(F.col("u"), "news.example.com").alias("d")).collect()
     assert {r.u: r.d for r in got} == {u: d or u for u, d in urls.items()}
-    codes = [200, 301, 404, 451, 429, 500, None]
-    got = spark.createDataFrame([(c,) for c in codes], "c int").select(tables.fetch_status(F.col("c")).alias("s")).collect()
-    assert [r.s for r in got] == ["ok", "failed", "failed", "failed", "retry", "retry", "retry"]
+    cases = [([200], True, "success", 1, None), ([500, 429, 200, 404], True, "success", 3, None), ([301], True, "failed", 1, "HTTP 301"), ([None, 404, 200], True, "failed", 2, "HTTP 404"), ([500] * 9, True, "failed", 4, "HTTP 500")]
+    cases += [([429, 429, None, None], True, "failed", 4, "no response"), ([503] * 4 + [200], True, "failed", 4, "HTTP 503"), ([], True, "failed", 0, "no response"), (None, True, "failed", 0, "no response"), ([200], False, "robots_blocked", 0, None)]
+    got = spark.createDataFrame([(k, c[0], c[1]) for k, c in enumerate(cases)], "k int, c array<int>, a boolean").select("k", tables.fetch_outcome(F.col("c"), F.col("a")).alias("o")).orderBy("k").collect()
+    assert [tuple(r.o) for r in got] == [c[2:] for c in cases]
     page = "Title: A  title\nURL Source: x\nPublished Time: 2024-03-05\nMarkdown Content:\n# Head\n![img](a.png)\nSome [link](http://x) *text*\nAdvertisement\nSubscribe now\n\n> quoted\n[](x)\nlast"
     r = spark.range(1).select(tables.reader_article(F.lit(page)).alias("r")).first().r
     assert (r.title, r.published, r.body) == ("A  title", "2024-03-05", "Head\nSome link text\nquoted\nlast")
     assert spark.range(1).select(tables.reader_article(F.lit(None).cast("string")).alias("r")).first().r.body == ""
 
 
+def test_a_writer_that_stops_leaves_the_old_or_the_new_table(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/t"
+    with pytest.raises(FileNotFoundError):
+        tables.read_table(spark, path)
+    tables.replace_table(spark.range(1), path)
+    steps = ["files_of", "current_version"]
+    real = {s: getattr(tables, s) for s in steps}
+    for stop in range(1, 12):
+        calls = []
+
+        def counted(name, calls=calls, stop=stop):
+            def run(*args):
+                calls.append(name)
+                if len(calls) == stop:
+                    raise KeyboardInterrupt
+                return real[name](*args)
+
+            return run
+
+        for s in steps:
+            monkeypatch.setattr(tables, s, counted(s))
+        try:
+            tables.replace_table(spark.range(1 + stop), path)
+            done = True
+        except KeyboardInterrupt:
+            done = False
+        for s in steps:
+            monkeypatch.setattr(tables, s, real[s])
+        n = tables.read_table(spark, path).count()
+        assert n == 1 + stop if done else n in (1, 1 + stop)
+        tables.replace_table(spark.range(1), path)
+        if done:
+            break
+    assert done
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v-")]) == 2
+
+
 def test_tables_are_replaced_whole_and_cached(spark, tmp_path):
     path = f"file://{tmp_path}/state"
     for n in (3, 1):
+        old = tables.read_table(spark, path) if n == 1 else None
         tables.replace_table(spark.range(n), path)
-        assert spark.read.parquet(path).count() == n
+        assert tables.read_table(spark, path).count() == n
+        assert old is None or old.count() == 3
     made = []
     for _ in range(2):
         assert tables.cached(spark, f"file://{tmp_path}/cache", lambda: made.append(1) or spark.range(5)).count() == 5

@@ -39,6 +39,7 @@ def test_canonical_url_is_idempotent_without_parameters(spark):
 def test_titles_join_digits_and_keep_all_scripts(spark):
     t = T.normal_title(F.col("t"))
     assert one(spark, t, t="6,000 litres SEIZED!") == one(spark, t, t="6000 litres seized") == "6000 litres seized"
+    assert one(spark, t, t="६,००० लीटर") == one(spark, t, t="६००० लीटर") == "६००० ल टर"
     assert one(spark, t, t="नकली घी—जब्त") == one(spark, t, t="नकली घी जब्त") != ""
 
 
@@ -173,3 +174,9 @@ def test_windows_against_plain_loops(spark):
         assert got[k].c == " ".join(near or all_[:30])
         parts = [head, " ".join(split_by_hand(text.strip().split("\n\n", 1)[0])), " ".join(near)]
         assert got[k].b == "\n\n".join(p for p in dict.fromkeys(parts) if p)
+
+
+def test_sentences_by_hand(spark):
+    texts = ["", "  ", "\n\n", " One. Two! three? ४ और. नकली घी.\u2028x\u0085y\x0bz\x1cq\r\nlast. \"Quoted. 5 ends", "a.  B\u00a0. C", "\x1f A. B \x1f", "no end"]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", windows.sentences(F.col("t")).alias("s")).orderBy("k").collect()
+    assert [r.s for r in got] == [split_by_hand(t) or [t] for t in texts]
