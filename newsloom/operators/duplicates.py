@@ -8,11 +8,11 @@ groups: rows of equal keys hear of their group's earliest leader and earliest un
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
-from newsloom.sources.shared import cut
+from newsloom.sources.shared import cut, written
 
 #: Rounds before a rest of at most FEW undecided rows with FEW_LINKS links is walked in order on the driver: what is
 #: open then are long chains, of which a round decides two rows each.
@@ -30,30 +30,44 @@ def shingle_hashes(text: Column, k: int = 3) -> Column:
     return T.let(words, runs)
 
 
-def near_pairs(df: DataFrame, row: str, text: Column, least: float = 0.75, k: int = 3) -> DataFrame:
-    """(a, b, similarity), a before b, of all rows whose shingle sets have a Jaccard similarity of least or more.
-
-    Exact. Only shingles of several rows count: a row fewer than least of whose shingles others have is near none. Of
-    the rest, in the order of how rare they are, two sets that are that similar share one of the first
-    n - ceil(least * n) + 1, so only those are joined, and a pair's candidates are then counted in full. Equal texts are
-    to be folded by the caller.
-    """
-    hashed = cut(df.select(F.col(row).alias("_r"), shingle_hashes(text, k).alias("h")).where(F.size("h") > 0))
-    each = hashed.select("_r", F.size("h").alias("_n"), F.explode("h").alias("_s"))
-    several = each.groupBy("_s").agg(F.count("*").alias("_df")).where("_df > 1")
-    sets = each.join(several.hint("shuffle_hash"), "_s").groupBy("_r", "_n").agg(F.sort_array(F.collect_list(F.struct("_df", "_s"))).alias("set"))
-    need = F.ceil(F.lit(least) * F.col("_n") - 1e-9)
-    sets = cut(sets.where(F.size("set") >= need))
+def near_index(df: DataFrame, row: str, text: Column, least: float = 0.75, k: int = 3) -> DataFrame:
+    """(r, n, set, prefix): n distinct shingles of each row, those of them that other rows have, the rarest first, and the
+    first of these. Two sets of a similarity of least share one of their prefixes; a row fewer than least of whose
+    shingles others have is near none and left out. Equal texts are to be folded by the caller."""
+    hashed = cut(df.select(F.col(row).alias("r"), shingle_hashes(text, k).alias("h")).where(F.size("h") > 0))
+    each = hashed.select("r", F.size("h").alias("n"), F.explode("h").alias("_s"))
+    # Checkpointed, so that the join has two shuffles of its own and Spark splits a shingle that most rows have.
+    several = cut(each.groupBy("_s").agg(F.count("*").alias("_df")).where("_df > 1"))
+    sets = each.join(several.hint("shuffle_hash"), "_s").groupBy("r", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("_df", "_s"))), lambda x: x["_s"]).alias("set"))
+    need = F.ceil(F.lit(least) * F.col("n") - 1e-9)
     # Shingles of one row only come first in the order, so they are off the prefix already.
-    prefix = sets.select("_r", "_n", F.explode(F.slice("set", 1, (F.size("set") - need + 1).cast("int"))).alias("p")).select("_r", "_n", "p._s")
-    left, right = prefix.select(F.col("_r").alias("a"), "_s", F.col("_n").alias("na")), prefix.select(F.col("_r").alias("b"), "_s", F.col("_n").alias("nb"))
-    candidates = left.join(right, "_s").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
-    full = sets.select(F.col("_r").alias("r"), F.col("_n").alias("n"), F.transform("set", lambda x: x["_s"]).alias("set"))
+    return cut(sets.where(F.size("set") >= need).withColumn("prefix", F.slice("set", 1, (F.size("set") - need + 1).cast("int"))))
+
+
+def verified(candidates: DataFrame, index: DataFrame, least: float) -> DataFrame:
+    """candidates (a, b) with similarity, those of least or more, by the whole sets of near_index()."""
+    full = index.select("r", "n", "set")
     met = candidates.join(full.withColumnsRenamed({"r": "a", "n": "na", "set": "x"}), "a").join(full.withColumnsRenamed({"r": "b", "n": "nb", "set": "y"}), "b")
     both = F.size(F.array_intersect("x", "y"))
     return met.select("a", "b", (both / (F.col("na") + F.col("nb") - both)).alias("similarity")).where(F.col("similarity") >= least)
 
 
+def paired(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b) of left (a, t, na, ua) and right (b, t, nb, ub) that share a t, fit in size, and of which ua is before ub."""
+    fit = F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9
+    return left.join(right, "t").where((F.col("ua") < F.col("ub")) & (F.col("a") != F.col("b")) & fit).select("a", "b").distinct()
+
+
+def near_pairs(df: DataFrame, row: str, text: Column, least: float = 0.75, k: int = 3) -> DataFrame:
+    """(a, b, similarity), a before b, of all rows whose shingle sets have a Jaccard similarity of least or more.
+
+    Exact; candidates share a prefix and are then counted in full. Equal texts are to be folded by the caller."""
+    index = near_index(df, row, text, least, k)
+    each = index.select("r", "n", F.explode("prefix").alias("t"))
+    of = lambda a: each.select(F.col("r").alias(a), "t", F.col("n").alias(f"n{a}"), F.col("r").alias(f"u{a}"))
+    return verified(paired(of("a"), of("b"), least), index, least)
+
+
 def near_pairs_folded(df: DataFrame, row: str, text: Column, least: float = 0.75, k: int = 3) -> DataFrame:
     """(a, b, similarity), a before b, over all rows: near_pairs of the first rows of all distinct texts, and each later
     copy of a text of k words or more with the text's first row, at 1. So a hot text's pairs grow with its copies, not
@@ -110,7 +124,8 @@ def leaders(rows: DataFrame, members: DataFrame, near: DataFrame | None, row: st
 
     def facts() -> DataFrame:
         """(r, layer, led: the earliest leader before it, open: whether an undecided row is before it)."""
-        groups = members.join(state, "r").groupBy("layer", "key").agg(*summary)
+        # Checkpointed, as all aggregates that rows are joined with: a key that most rows have is split then.
+        groups = cut(members.join(state, "r").groupBy("layer", "key").agg(*summary))
         by_key = members.join(groups, ["layer", "key"]).select("r", "layer", "led", "open")
         others = near_of.join(state, "r").groupBy(F.col("grp").alias("b")).agg(*summary)
         told = pairs.join(others, "b").groupBy(F.col("a").alias("grp")).agg(F.min("led").alias("led"), F.min("open").alias("open"))
@@ -138,13 +153,96 @@ def leaders(rows: DataFrame, members: DataFrame, near: DataFrame | None, row: st
     return state.join(led, "r", "left").select(F.col("r").alias(row), F.when(F.col("s") == 2, F.col("m.led")).alias("leader"), F.when(F.col("s") == 2, F.col("m.layer")).alias("layer"))
 
 
-def layered(df: DataFrame, row: str, url: Column, title: Column, text: Column, least: float = 0.75) -> DataFrame:
+#: Undecided texts of a shingle's group that are looked at together.
+WINDOW = 64
+
+
+def windowed(index: DataFrame, open_: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """Of each prefix shingle the first window of the open texts (r, u: its earliest undecided row) as (r, n, t, u), and the
+    texts that some shingle's window leaves out."""
+    posted = index.select("r", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("t")).join(open_, "r")
+    # A limit within groups is taken in each partition before the shuffle.
+    held = cut(posted.withColumn("k", F.row_number().over(Window.partitionBy("t").orderBy("u"))).where(F.col("k") <= window).drop("k"))
+    whole = held.groupBy("r", "p").agg(F.count("*").alias("k")).where("k = p").select("r")
+    return held, index.select("r").join(open_, "r", "left_semi").join(whole, "r", "left_anti")
+
+
+def near_leaders(rows: DataFrame, members: DataFrame, near_of: DataFrame, index: DataFrame, row: str, least: float = 0.75, window: int = WINDOW) -> DataFrame:
+    """leaders() with near texts found as they are needed, so that many texts near each other make no pairs of all.
+
+    A text is open while it has an undecided row. Of each prefix shingle's open texts the first window are compared with
+    each other. A row may lead if all of its text's shingles have it within their windows, for then all open texts before
+    it that may be near have been compared with it. New leaders are then compared with all later texts that share a prefix
+    with them: each leader once, as in a scan. Rows that this decides go, and the windows move on."""
+    members, near_of = cut(members), cut(near_of)
+    open_ = cut(near_of.groupBy(F.col("grp").alias("r")).agg(F.min("r").alias("u")))
+    held, out = windowed(index, open_, window)
+    out = cut(out)
+
+    def pairs_of(held: DataFrame) -> DataFrame:
+        of = lambda a: held.select(F.col("r").alias(a), "t", F.col("n").alias(f"n{a}"), F.col("u").alias(f"u{a}"))
+        return verified(paired(of("a"), of("b"), least), index, least).select("a", "b")
+
+    if not out.count():  # no window leaves a text out: these are all near pairs
+        return leaders(rows, members, pairs_of(held), row, near_of)
+
+    last = 1 + (members.agg(F.max("layer")).first()[0] or 0)
+    state = written(rows.select(F.col(row).alias("r"), F.lit(0).alias("s")))  # 0 undecided, 1 leader, 2 duplicate
+    summary = [F.min(F.when(F.col("s") == 1, F.col("r"))).alias("led"), F.min(F.when(F.col("s") == 0, F.col("r"))).alias("open")]
+    latest = cut(near_of.groupBy(F.col("grp").alias("r")).agg(F.max("r").alias("ub")))
+    links = written(rows.sparkSession.createDataFrame([], "grp long, led long"))
+
+    def by_key(asked: DataFrame) -> DataFrame:
+        groups = cut(members.join(state, "r").groupBy("layer", "key").agg(*summary))
+        return members.join(asked, "r", "left_semi").join(groups, ["layer", "key"]).select("r", "layer", F.when(F.col("led") < F.col("r"), F.col("led")).alias("led"), (F.col("open") < F.col("r")).alias("open"))
+
+    def by_link(asked: DataFrame) -> DataFrame:
+        led = near_of.join(asked, "r", "left_semi").join(links, "grp").where(F.col("led") < F.col("r"))
+        return led.select("r", F.lit(last).alias("layer"), "led", F.lit(False).alias("open"))
+
+    while True:
+        pairs = written(pairs_of(held))
+        pairs = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+        left = None
+        while True:  # rounds over what the windows hold
+            asked = cut(state.where("s = 0").select("r"))
+            if (now := asked.count()) in (0, left):
+                break
+            left = now
+            texts = cut(near_of.join(state, "r").groupBy(F.col("grp").alias("b")).agg(*summary))
+            told = cut(pairs.join(texts, "b").groupBy(F.col("a").alias("grp")).agg(F.min("led").alias("led"), F.min("open").alias("open")))
+            near = near_of.join(asked, "r", "left_semi").join(told, "grp").select("r", F.lit(last).alias("layer"), F.when(F.col("led") < F.col("r"), F.col("led")).alias("led"), (F.col("open") < F.col("r")).alias("open"))
+            waits = near_of.join(asked, "r", "left_semi").join(out.select(F.col("r").alias("grp")), "grp").select("r", F.lit(last).alias("layer"), F.lit(None).cast("long").alias("led"), F.lit(True).alias("open"))
+            facts = by_key(asked).unionByName(near).unionByName(waits).unionByName(by_link(asked)).groupBy("r").agg(F.min("led").alias("led"), F.max(F.coalesce("open", F.lit(False))).alias("open"))
+            state = written(state.join(facts, "r", "left").select("r", F.when(F.col("s") != 0, F.col("s")).when(F.col("led").isNotNull(), 2).when(~F.coalesce("open", F.lit(False)), 1).otherwise(0).alias("s")))
+        # What leads and was not compared yet meets all later texts.
+        fresh = cut(near_of.join(state.where("s = 1"), "r").join(links.select(F.col("led").alias("r")), "r", "left_anti").select("r", "grp"))
+        posted = index.select("r", "n", F.explode("prefix").alias("t"))
+        new = posted.join(fresh.select(F.col("grp").alias("r"), F.col("r").alias("ua")), "r").select(F.col("r").alias("a"), "t", F.col("n").alias("na"), "ua")
+        later = posted.join(latest, "r").select(F.col("r").alias("b"), "t", F.col("n").alias("nb"), "ub")
+        found = verified(paired(new, later, least), index, least).join(fresh.select(F.col("grp").alias("a"), F.col("r").alias("led")), "a").select(F.col("b").alias("grp"), "led")
+        # Leaders without near texts are told, too, by their own text, so that none is compared twice.
+        links = written(links.unionByName(found).unionByName(fresh.select("grp", F.col("r").alias("led"))))
+        asked = state.where("s = 0").select("r")
+        taken = by_link(asked).select("r").distinct().withColumn("taken", F.lit(2))
+        state = written(state.join(taken, "r", "left").select("r", F.coalesce("taken", "s").alias("s")))
+        open_ = written(near_of.join(state.where("s = 0"), "r").groupBy(F.col("grp").alias("r")).agg(F.min("r").alias("u")))
+        if not state.where("s = 0").count():
+            break
+        held, out = windowed(index, open_, window)
+        out = written(out)
+    every = state.where("s = 2").select("r")
+    first = by_key(every).unionByName(by_link(every)).where("led is not null").groupBy("r").agg(F.min(F.struct("layer", "led")).alias("m"))
+    return state.join(first, "r", "left").select(F.col("r").alias(row), F.col("m.led").alias("leader"), F.col("m.layer").alias("layer"))
+
+
+def layered(df: DataFrame, row: str, url: Column, title: Column, text: Column, least: float = 0.75, window: int = WINDOW) -> DataFrame:
     """df with is_duplicate, duplicate_of, duplicate_layer (0 URL, 1 title of over 10 characters, 2 text, 3 near text)
-    and duplicate_cluster. row is a number in scan order. Near pairs are sought, and kept, between distinct texts."""
+    and duplicate_cluster. row is a number in scan order. Near texts are sought between distinct texts."""
     shaped = cut(df.select(row, T.canonical_url(url).alias("_u"), T.normal_title(title).alias("_t"), T.text_hash(text).alias("_h")))
     firsts = cut(shaped.where("_h is not null").groupBy("_h").agg(F.min(row).alias("grp")))
-    near = near_pairs(df.join(firsts.select(F.col("grp").alias(row)), row, "left_semi"), row, text, least)
+    index = near_index(df.join(firsts.select(F.col("grp").alias(row)), row, "left_semi"), row, text, least)
     near_of = shaped.select(F.col(row).alias("r"), "_h").join(firsts, "_h").select("r", "grp")
     members = memberships(shaped, row, [F.col("_u"), F.when(F.length("_t") > 10, F.col("_t")), F.col("_h")])
-    decided = leaders(shaped, members, near, row, near_of).withColumnsRenamed({"leader": "duplicate_of", "layer": "duplicate_layer"})
+    decided = near_leaders(shaped, members, near_of, index, row, least, window).withColumnsRenamed({"leader": "duplicate_of", "layer": "duplicate_layer"})
     return df.join(decided, row, "left").withColumn("is_duplicate", F.col("duplicate_of").isNotNull()).withColumn("duplicate_cluster", F.sha2(F.coalesce("duplicate_of", row).cast("string"), 256))

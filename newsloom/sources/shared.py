@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +29,12 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows, checkpointed: later jobs read them and survive lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder. Unlike a checkpoint it does not carry on the planner's guess of
+    its size, which joins in many rounds multiply beyond all bounds."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
