@@ -99,9 +99,10 @@ def risky_titles(spark, sf_dir):
 def keyword_sources(spark, sf_dir):
     """FLT-09: texts that keywords are taken from: not empty, no duplicates, relevant ones."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    first = d.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("first"))
-    rows = d.join(first, F.sha2("text", 256) == F.col("h")).join(table(spark, sf_dir, "labels"), "doc_id")
-    return relevance.keyword_source(rows, "text", F.col("doc_id") != F.col("first"), F.when(F.col("quality") == 1, "relevant").otherwise("irrelevant")).select("doc_id")
+    # The first row of each text is looked up by its doc_id, so a text that most rows have is no hot key.
+    first = d.groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("first"))
+    rows = d.join(table(spark, sf_dir, "labels"), "doc_id").join(first, "doc_id", "left")
+    return relevance.keyword_source(rows, "text", F.col("first").isNull(), F.when(F.col("quality") == 1, "relevant").otherwise("irrelevant")).select("doc_id")
 
 
 @query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN quality IN (0, 1) WHEN 1 THEN toxic = 1 ELSE false END AS marked FROM labels")
@@ -216,7 +217,7 @@ def run_report(spark, sf_dir):
     """AGG-05: the sections of a run's report: statuses, labels, duplicates, sources and terms."""
     d = table(spark, sf_dir, "documents")
     terms = d.select(F.explode(T.padded_terms(F.col("text"), ["that", "with", "en", "de"])).alias("t"))
-    removed = d.agg((F.count("*") - F.countDistinct("text")).alias("n")).select(F.lit("duplicates").alias("section"), F.lit("removed").alias("key"), "n")
+    removed = d.agg((F.count("*") - F.countDistinct(F.sha2("text", 256))).alias("n")).select(F.lit("duplicates").alias("section"), F.lit("removed").alias("key"), "n")
     labels = d.select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     return stacked([section("discovery", table(spark, sf_dir, "events"), "event_type"), section("labels", labels, "quality"), removed, section("sources", d, "source", 15), section("terms", terms, "t", 10)])
 
@@ -274,7 +275,7 @@ def query_counters(spark, sf_dir):
 def funnel(spark, sf_dir):
     """AGG-19: how many rows of each round reach each stage; languages stand for rounds."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    one = d.groupBy("lang").agg(F.count("*").alias("found"), F.countDistinct("text").alias("distinct"), F.count("quality").alias("labelled"), F.count_if(F.col("quality") == 1).alias("relevant"))
+    one = d.groupBy("lang").agg(F.count("*").alias("found"), F.countDistinct(F.sha2("text", 256)).alias("distinct"), F.count("quality").alias("labelled"), F.count_if(F.col("quality") == 1).alias("relevant"))
     return one.unpivot(["lang"], ["found", "distinct", "labelled", "relevant"], "stage", "n").where("n > 0")
 
 

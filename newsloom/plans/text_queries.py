@@ -162,7 +162,7 @@ DUP = "WITH d AS (SELECT doc_id, source, sha256(text) AS h, row_number() OVER (P
 def dup_exact_hash(spark, sf_dir):
     """DD-05, DD-13, WIN-01: later copies with the first; hot groups are a pre-aggregated minimum and a join."""
     d = table(spark, sf_dir, "documents").select("doc_id", T.text_hash(F.col("text")).alias("h")).where("h is not null")
-    first = d.groupBy("h").agg(F.min("doc_id").alias("duplicate_of"))
+    first = cut(d.groupBy("h").agg(F.min("doc_id").alias("duplicate_of")))
     return d.join(first, "h").where("doc_id <> duplicate_of").select("doc_id", "duplicate_of")
 
 
@@ -170,7 +170,7 @@ def dup_exact_hash(spark, sf_dir):
 def dup_flag_all(spark, sf_dir):
     """DD-15, WIN-05."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    return d.join(d.groupBy("h").agg((F.count("*") > 1).alias("shared")), "h").select("doc_id", "shared")
+    return d.join(cut(d.groupBy("h").agg((F.count("*") > 1).alias("shared"))), "h").select("doc_id", "shared")
 
 
 SHINGLES = """
@@ -184,7 +184,9 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.
 @query(f"WITH {SHINGLES} SELECT a, b, round(c / (x.n + y.n - c), 6) AS similarity FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c / (x.n + y.n - c) >= 0.75")
 def shingle_jaccard_pairs(spark, sf_dir):
     """DD-06, DD-07, JN-15: all near pairs of distinct texts, each told by its first document."""
-    firsts = table(spark, sf_dir, "documents").where("text <> ''").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    docs = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "text")
+    # Digests are grouped, not texts.
+    firsts = docs.join(docs.groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "doc_id", "left_semi")
     return duplicates.near_pairs(firsts, "doc_id", F.col("text"), 0.75).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
