@@ -516,9 +516,9 @@ def url_prefilter(spark, sf_dir):
 
 @query()
 def html_fields(spark, sf_dir):
-    """HTM-01 (one parser in place of three), HTM-02..HTM-05: the standard parser's fields, the title of the head where a
-    page says nothing else; tested on pages by hand."""
+    """HTM-01..HTM-05: the standard parser's fields, the title of the head where a page says nothing else, and the way in
+    which the text was found; tested on pages by hand."""
     from newsloom.operators import html
 
     named = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return html.extract(table(spark, sf_dir, "pages")).select("page_id", html.overlay(F.col("fields.title"), named).alias("title"), "fields.canonical_url", "published_day", "extraction_status")
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", html.overlay(F.col("fields.title"), named).alias("title"), "fields.canonical_url", "published_day", "fields.method", "extraction_status")

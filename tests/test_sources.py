@@ -70,9 +70,9 @@ def test_page_fields():
     page = """<html><head><title>Site</title><meta property="og:title" content="OG &amp; title"><link rel="canonical" href="https://a.in/x">
     <script type="application/ld+json">{"@type": "NewsArticle", "headline": "LD", "author": [{"name": "N"}], "datePublished": "2024-03-05T10:00:00+05:30"}</script></head>
     <body><nav>menu</nav><article><h1>Head</h1><p>one   two</p><p>three</p></article><footer>f</footer></body></html>"""
-    title, _, author, _, canonical, published, body = html.fields_of(page)
+    title, _, author, _, canonical, published, body, _ = html.fields_of(page)
     assert (title, author, canonical, published) == ("OG & title", "N", "https://a.in/x", "2024-03-05T10:00:00+05:30") and body.split("\n") == ["Head", "one two", "three"]
-    assert html.fields_of("<script type='application/ld+json'>{broken</script><body>x")[-1] == "x" and html.fields_of("")[-1] is None
+    assert html.fields_of("<script type='application/ld+json'>{broken</script><body>x")[-2] == "x" and html.fields_of("")[-2:] == (None, None)
 
 
 def test_keyword_rounds(spark):
@@ -211,3 +211,25 @@ def test_first_of_each_key_in_a_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("first_seen").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.url for r in spark.sql("select url from first_seen").collect()) == ["u0", "u1", "u2"] == sorted(r.url for r in events.first_seen(df, ["url"]).collect())
+
+
+def test_three_ways_to_the_text(spark):
+    """Pages that only one of the three ways can read, one that none can, and one where each is right in its turn."""
+    say = lambda n, w: " ".join(f"{w}{k}" for k in range(n))
+    menu = "<nav><ul>" + "".join(f"<li><a href=/{k}>section {k} of the paper</a></li>" for k in range(20)) + "</ul></nav>"
+    pages = {
+        # Blocks of a form in plain containers: no paragraphs, and the tags of the third way leave forms out.
+        "density": (f"<body>{menu}<form><div>{say(25, 'a')}</div><div>short note on it</div><div>{say(20, 'b')}</div></form>", f"{say(25, 'a')}\nshort note on it\n{say(20, 'b')}"),
+        # Paragraphs of a few words each, again where the third way does not look.
+        "paragraphs": (f"<body>{menu}<form><div><p>{say(9, 'a')}<p>{say(9, 'b')}<p>{say(9, 'c')}<p>{say(9, 'd')}</div><div><p>{say(6, 'x')}</div></form>", "\n".join(say(9, w) for w in "abcd")),
+        # Lines without paragraphs, in an element that says what it is.
+        "tags": (f"<body>{menu}<article>" + "".join(f"<li>{say(5, w)}</li>" for w in "abcde") + "</article>", "\n".join(say(5, w) for w in "abcde")),
+        None: (f"<body>{menu}<div>{say(8, 'a')}</div>", None),
+    }
+    for method, (page, text) in pages.items():
+        found = html.fields_of(page)
+        assert found[-1] == method
+        assert method is None or found[-2] == text
+    status = {"density": "success", "paragraphs": "success", "tags": "partial", None: "failed"}
+    df = spark.createDataFrame([(k, p) for k, (p, _) in enumerate(pages.values())] + [(9, None)], "k int, html string")
+    assert {r.k: r.extraction_status for r in html.extract(df).collect()} == dict(enumerate(status[m] for m in pages)) | {9: "failed"}
