@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.operators import diversity, metrics, models, windows
+from newsloom.operators import diversity, metrics, models, token_windows, windows
 from newsloom.plans.catalogue import query
 from newsloom.plans.text_queries import SCORED, scored, title
 from newsloom.sources.shared import cut, shared_dir
@@ -167,3 +167,19 @@ def marginal_relevance(spark, sf_dir):
     """TXT-27: of each label 20 vectors near its centre and unlike each other, with a diversity of 0.7."""
     found = diversity.mmr(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 20, 0.7)
     return found.select("label", "vec_id", "place", F.round("relevance", 6).alias("relevance"), F.round("score", 6).alias("score"))
+
+
+@query()
+def document_windows(spark, sf_dir):
+    """ML-18: all documents in windows of 512 tokens; that windows are the text is tested against the tokenizer."""
+    found = token_windows.token_windows(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select(F.col("doc").alias("doc_id"), "place", "first", "last", "n_tokens", F.md5("text").alias("text"))
+
+
+@query("""WITH x AS (SELECT label, 1 + vec_id % 5 AS w, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)
+SELECT label, dim, round(sum(w * x) / sum(w), 4) AS mean, round(max(x), 4) AS max FROM x GROUP BY ALL""")
+def weighted_pool(spark, sf_dir):
+    """ML-18: vectors pooled by weight; labels stand for documents and vectors for their windows."""
+    rows = table(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"), (1 + F.col("vec_id") % 5).alias("w"))
+    each = token_windows.pooled_by_weight(rows, "label", "v", "w").select("label", F.posexplode(F.arrays_zip("mean", "max")).alias("dim", "z"))
+    return each.select("label", F.col("dim").cast("long").alias("dim"), F.round("z.mean", 4).alias("mean"), F.round("z.max", 4).alias("max"))
