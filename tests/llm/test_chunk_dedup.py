@@ -147,3 +147,19 @@ def test_columns_with_clashing_names_keep_their_values(spark):
     docs = docs.selectExpr("*", "'r' repeated", "'k' known", "'d' doc", "'s' `row`", "'f' found", "'c' copy")
     got = {r.doc_id: tuple(r) for r in c.apply(docs).collect()}
     assert got[1] == (1, long, 9, *"rkdsfc") and got[2][2] == len(got[2][1]) < len(long) - 100 and got[2][3:] == tuple("rkdsfc") and c.apply(docs).columns == docs.columns
+
+
+def test_how_many_stretches_are_found_by_their_length():
+    """What README says of stretches of fewer words than FOUND, from which on all are found."""
+    rng = random.Random(4)
+    prose = lambda n: [f"w{rng.randrange(20_000)}" for _ in range(n)]
+    share = {}
+    for n in (30, 35, 40, 45, 51):
+        hits = 0
+        for _ in range(400):
+            own = prose(n)
+            one, other = (c.Words(" ".join([*prose(rng.randrange(60)), *own, *prose(rng.randrange(60))])) for _ in range(2))
+            hits += bool(c.spans_of(other, c.chunks(one)[2], False, c.MIN_WORDS))
+        share[n] = hits / 400
+    print(share)
+    assert share[30] < 0.1 and 0.4 < share[35] < 0.7 and share[40] > 0.88 and share[45] > 0.98 and share[51] == 1
