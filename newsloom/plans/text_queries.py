@@ -356,6 +356,32 @@ def kw_first_seen(spark, sf_dir):
     return keywords.first_seen(_rounds(spark, sf_dir), "source", "term")
 
 
+ANCHORS = ["that", "les"]
+
+
+@query(f"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, list_distinct(w) AS w FROM ({TOK})),
+r AS (SELECT -1 AS round, []::VARCHAR[] AS terms, false AS settled
+  UNION ALL
+  SELECT round + 1, new, round >= 0 AND len(list_intersect(new, terms)) / len(list_distinct(list_concat(new, terms))) >= 0.85
+  FROM (SELECT round, terms, list(term ORDER BY n DESC, term) AS new FROM (
+    SELECT round, terms, term, count(*) AS n, row_number() OVER (PARTITION BY round ORDER BY count(*) DESC, term) AS k
+    FROM (SELECT round, terms, unnest(w.w) AS term FROM r JOIN w ON list_has_any(w.w, list_concat({lit(ANCHORS)}, terms)[1 : 30]) WHERE NOT settled AND round < 4) GROUP BY round, terms, term)
+    WHERE k <= 30 GROUP BY round, terms))
+SELECT round, place, terms[place] AS term, settled FROM (SELECT round, terms, settled, unnest(range(1, len(terms) + 1)) AS place FROM r WHERE round >= 0)""")
+def keyword_loop(spark, sf_dir):
+    """ITR-01, ITR-04: rounds of queries, the documents that they find and the words of these, until the words settle."""
+    from newsloom.operators.rounds import augment
+
+    words = cut(table(spark, sf_dir, "documents").select(F.array_distinct(T.tokens(F.col("text"), ["the", "and"])).alias("w")))
+
+    def step(_: int, queries: list[str]) -> DataFrame:
+        return words.where(F.arrays_overlap("w", F.array(*map(F.lit, queries)))).select(F.explode("w").alias("term")).groupBy("term").agg(F.count("*").alias("score"))
+
+    known, settled = augment(step, ANCHORS, most=30)
+    rows = [(k, place, term, settled and k == len(known) - 1) for k, terms in enumerate(known) for place, term in enumerate(terms, 1)]
+    return spark.createDataFrame(rows, "round long, place long, term string, settled boolean")
+
+
 STEM = "CASE WHEN ends_with(term, 'ies') AND length(term) > 4 THEN left(term, -3) || 'y' WHEN ends_with(term, 's') AND NOT ends_with(term, 'ss') AND length(term) > 3 THEN left(term, -1) ELSE term END"
 
 

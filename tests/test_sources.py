@@ -233,3 +233,27 @@ def test_three_ways_to_the_text(spark):
     status = {"density": "success", "paragraphs": "success", "tags": "partial", None: "failed"}
     df = spark.createDataFrame([(k, p) for k, (p, _) in enumerate(pages.values())] + [(9, None)], "k int, html string")
     assert {r.k: r.extraction_status for r in html.extract(df).collect()} == dict(enumerate(status[m] for m in pages)) | {9: "failed"}
+
+
+def test_configuration_with_an_environment(spark, tmp_path):
+    import json
+
+    from newsloom.sources import config
+
+    (tmp_path / "c.json").write_text(json.dumps({"api_keys": {"a": "file", "b": "file"}, "discovery": {"x": {"n": 1}}}))
+    names, enables = {"KEY_A": "api_keys.a", "KEY_C": "api_keys.c", "KEY_D": "api_keys.d"}, {"discovery.x.enabled": ["api_keys.a", "api_keys.c"], "discovery.y.enabled": ["api_keys.d"], "discovery.z.enabled": ["api_keys.b"]}
+    got = config.load(spark, f"file://{tmp_path}/c.json", {"KEY_A": "own", "KEY_C": "c", "KEY_D": ""}, names, enables)
+    assert got == {"api_keys": {"a": "own", "b": "file", "c": "c"}, "discovery": {"x": {"n": 1, "enabled": True}, "z": {"enabled": True}}}
+    assert config.at(got, "discovery.x.n") == 1 and config.at(got, "discovery.x.n.m", "none") == "none"
+
+
+def test_many_files_and_landed_records(spark, tmp_path):
+    for name, text in (("b.csv", "\ufeffid,t\n3,\"x\ny\"\n4,z\n"), ("a.csv", "id,t\n1,p\n2,q\n")):
+        (tmp_path / name).write_text(text)
+    rows = tables.read_many(spark, f"file://{tmp_path}/*.csv").orderBy("position").collect()
+    assert [(r.id, r.t) for r in rows] == [("1", "p"), ("2", "q"), ("3", "x\ny"), ("4", "z")]
+    assert [r.file.rsplit("/", 1)[-1] for r in rows] == ["a.csv", "a.csv", "b.csv", "b.csv"]
+    (tmp_path / "t.txt").write_text("one\ntwo")
+    assert tables.read_texts(spark, f"file://{tmp_path}/t.txt").first()[0] == "one\ntwo"
+    (tmp_path / "a.json").write_text('[{"a": 1}, {"a": 2}]')
+    assert [r.a for r in tables.read_json_array(spark, f"file://{tmp_path}/a.json", "a int").orderBy("a").collect()] == [1, 2]
