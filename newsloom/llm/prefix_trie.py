@@ -32,8 +32,8 @@ from newsloom.llm.common import cut
 
 #: The longest shared head, and how many conversations share one.
 HEADS, GROUP = 6, 100
-#: Rows of a shard, heavy nodes at most, ids of a run.
-SHARD_ROWS, HEAVY_NODES, RUN = 200_000, 200_000, 50_000
+#: Rows of a shard, heavy nodes at most, nodes of a batch of shards, ids of a run.
+SHARD_ROWS, HEAVY_NODES, BATCH, RUN = 200, 200_000, 100_000, 50_000
 LANES = ["a", "b", "c", "d"]
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -241,7 +241,7 @@ def ends_of(ends: DataFrame) -> DataFrame:
     return dealt.repartition("node").sortWithinPartitions("node", "first").mapInArrow(hashed, "node binary, ends_sha256 string")
 
 
-def report(turns: DataFrame, shard_rows: int = SHARD_ROWS, heavy_nodes: int = HEAVY_NODES) -> DataFrame:
+def report(turns: DataFrame, shard_rows: int = SHARD_ROWS, heavy_nodes: int = HEAVY_NODES, batch: int = BATCH) -> DataFrame:
     """One row for each node of the trie of rebuilt conversations: conv_id, depth, parent_conv_id, n_convs, n_children,
     n_leaves, saved_tokens, ends_sha256.
 
@@ -258,7 +258,7 @@ def report(turns: DataFrame, shard_rows: int = SHARD_ROWS, heavy_nodes: int = HE
     known = F.broadcast(upper.select("node", F.lit(True).alias("heavy")))
     # The shard of a conversation's light nodes is the first one of them.
     shards = rows.select("conv_id", "depth", "node").join(known, "node", "left").where("heavy is null").groupBy("conv_id").agg(F.min_by("node", "depth").alias("shard"))
-    below = cut(light(nodes.where(F.col("below") <= limit).join(shards, "conv_id"), limit))
+    below = cut(light(nodes.where(F.col("below") <= limit).join(shards, "conv_id"), batch))
     every = convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0").select(root.alias("node"), F.lit(None).cast("binary").alias("parent"), F.lit(0).cast("long").alias("depth"), "conv_id", "n_convs", F.lit(0).cast("long").alias("chars"))
     upper = cut(every.unionByName(upper.drop("below")))
     tops = below.where("parent_conv_id is null")

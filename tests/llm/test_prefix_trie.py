@@ -55,7 +55,7 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, 1, b"x") for r in rows], "conv_id long, turn long, role string, text string, depth int, node binary")
 
 
-@pytest.mark.parametrize("sizes", [{}, {"shard_rows": 3, "heavy_nodes": 10**6}, {"shard_rows": 40, "heavy_nodes": 10**6}])
+@pytest.mark.parametrize("sizes", [{}, {"shard_rows": 3, "heavy_nodes": 10**6, "batch": 1}, {"shard_rows": 40, "heavy_nodes": 10**6, "batch": 50}])
 def test_nodes_equal_brute_force(spark, sizes):
     df = spark.read.parquet(f"{SF}/conversations.parquet")
     assert found(df.repartition(5), **sizes) == brute(map(tuple, df.select("conv_id", "turn", "role", "text").collect()))
@@ -71,7 +71,7 @@ def test_a_hot_first_turn_and_copies(spark):
             text = "hello" if t == 0 and c % 2 else f"w{random.randrange(3)}" if t < 3 else f"{c} {t}"
             rows.append((c, t, "user" if t % 2 else "assistant", text))
     rows += [(c, t, "user", f"copy {t} é語") for c in range(1000, 1200) for t in range(6)]
-    for sizes in ({}, {"shard_rows": 10, "heavy_nodes": 10**6}, {"shard_rows": 1, "heavy_nodes": 50}):
+    for sizes in ({}, {"shard_rows": 10, "heavy_nodes": 10**6}, {"shard_rows": 1, "heavy_nodes": 50, "batch": 300}):
         assert found(frame(spark, rows), **sizes) == brute(rows)
 
 
