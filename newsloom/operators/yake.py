@@ -53,7 +53,9 @@ def sentences_of(docs: DataFrame, doc: str, text: Column) -> tuple[DataFrame, in
     rows = docs.where(F.col(doc).isNotNull()).select(F.col(doc).alias("doc"), split.alias("parts")).select("doc", "parts", F.size("parts").cast("long").alias("n"))
     counted = sums_before(rows.select("doc", "n"), "doc", "n", "first")
     total = counted.agg(F.coalesce(F.max(F.col("first") + F.col("n")), F.lit(0))).first()[0]
-    each = rows.join(counted.select("doc", "first"), "doc").select("doc", "first", F.posexplode("parts").alias("at", "part"))
+    # Texts are dealt to as many tasks as shuffles have: they are few bytes for the work on them, and would be coalesced.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = rows.join(counted.select("doc", "first"), "doc").repartition(tasks, "doc").select("doc", "first", F.posexplode("parts").alias("at", "part"))
     return each.select("doc", (F.col("first") + F.col("at")).alias("sentence"), F.regexp_extract_all("part", F.lit(TOKEN), F.lit(1)).alias("tokens")), total
 
 
