@@ -150,3 +150,13 @@ def test_running_sums_and_medians(spark, monkeypatch):
         by[k].append(v)
     got = {r.k: r.median for r in running.medians(spark.createDataFrame(rows, "k string, v long"), "k", "v").collect()}
     assert got == {k: statistics.median(v) for k, v in by.items()}
+
+
+def test_parts_follow_from_a_phrase(spark):
+    """Shuffles hold phrases and counts, not their terms: these are told by the words alone."""
+    told = spark.createDataFrame([(["Raids", "of", "Oil's", "É", "as", "It"],)], "w array<string>").select(yake.told(F.col("w"), STOP).alias("t"))
+    low = F.array_join(F.transform("t", lambda t: t["low"]), " ")
+    got = told.select(yake.parts_of(low, STOP).alias("p"), F.transform("t", lambda t: F.struct(t["term"].alias("term"), t["stop"].alias("stop"))).alias("q")).first()
+    assert got.p == got.q and len(got.p) == 6
+    rows = told.select(F.lit(1).alias("doc"), F.lit(0).alias("sentence"), F.col("t").alias("tokens"))
+    assert yake.phrases(rows, 4).columns == ["phrase", "tf", "df"]
