@@ -137,6 +137,20 @@ def test_proximity_evidence(spark):
         assert {r.t: r.e for r in got} == {t: evidence_by_hand(t, left, right, reach) for t in texts}
 
 
+def test_evidence_behind_characters_of_two_code_units(spark):
+    """Places with many of them before are found, and characters are counted, not code units."""
+    texts = ["\U0001F600" * 100 + " ghee fake", "x" * 30 + "\U0001F600 y" * 40 + " ghee is fake ghee", "\U0001F600 fake ghee", "fake " + "\U0001F600" * 85 + "ghee", "fake " + "\U0001F600" * 86 + "ghee"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.proximity_evidence(F.col("t"), ["ghee", "oil"], ["fake"], 90).alias("e")).collect()
+    assert {r.t: r.e for r in got} == {t: evidence_by_hand(t, ["ghee", "oil"], ["fake"], 90) for t in texts}
+
+
+def test_evidence_is_read_without_trying_all_lengths_before_a_place(spark):
+    """Behind a place so many characters are looked for once: the pattern names no choice of lengths but at the start."""
+    df = spark.createDataFrame([("fake ghee",)], "t string").select(T.proximity_evidence(F.col("t"), ["ghee"], ["fake"], 90))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?<=(.{90}" in plan and "{0,90}|" not in plan
+
+
 def test_titles_are_decomposed(spark):
     import unicodedata
 
