@@ -151,6 +151,19 @@ def test_evidence_is_read_without_trying_all_lengths_before_a_place(spark):
     assert "(?<=(.{90}" in plan and "{0,90}|" not in plan
 
 
+def test_sentences_are_split_once_for_both_windows(spark):
+    from newsloom.operators import windows
+
+    df = spark.createDataFrame([("One. Two oil.\n\nThree oil. Four.",)], "t string")
+    parts = df.select("t", windows.sentences(F.col("t")).alias("s"))
+    t, words = F.col("t"), ["oil"]
+    both = parts.select(windows.title_windows(F.lit("T"), t, words, parts=F.col("s")).alias("a"), windows.product_windows(F.lit("T"), t, words, parts=F.col("s")).alias("b"))
+    apart = df.select(windows.title_windows(F.lit("T"), t, words).alias("a"), windows.product_windows(F.lit("T"), t, words).alias("b"))
+    assert both.first() == apart.first()
+    splits = lambda x: x._jdf.queryExecution().optimizedPlan().toString().count("[.!?]")
+    assert splits(both) < splits(apart)
+
+
 def test_titles_are_decomposed(spark):
     import unicodedata
 
