@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from newsloom.operators import term_model
 from newsloom.plans import model_queries
 
 TABLES = "/root/testdata/sf0.01"
@@ -16,3 +17,12 @@ def test_labelled_texts_are_whole(spark):
     whole = spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", F.col("text").alias("body")).join(got, "doc_id")
     assert longest(got) > 15_000
     assert whole.where(~F.endswith("text", F.btrim("body"))).count() == 0
+
+
+def test_rescreened_texts_are_whole(spark, monkeypatch):
+    """Both the texts that the model is fitted on and those that it scores."""
+    seen, fit, probability = [], term_model.fit, term_model.TermModel.probability
+    monkeypatch.setattr(term_model, "fit", lambda df, *a: seen.append(longest(df)) or fit(df, *a))
+    monkeypatch.setattr(term_model.TermModel, "probability", lambda self, df, *a: seen.append(longest(df)) or probability(self, df, *a))
+    assert model_queries.rescreened_by_model(spark, TABLES).count() == 1000
+    assert len(seen) == 2 and min(seen) > 15_000
