@@ -25,11 +25,12 @@ def sums_before(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
 BUCKETS = 4096
 
 
-def medians(df: DataFrame, key: str, value: str) -> DataFrame:
+def medians(df: DataFrame, key: str, value: str, most: int | None = None) -> DataFrame:
     """(key, median) of whole numbers from 0 on, exact: counts by bucket tell in which one the middle lies, and only that
-    bucket's values are ordered. So no task holds a key's values, however many there are; equal values are folded."""
-    held = cut(df.groupBy(key, value).agg(F.count("*").alias("_n")))
-    width = (held.agg(F.max(value)).first()[0] or 0) // BUCKETS + 1
+    bucket's values are ordered. So no task holds a key's values, however many there are; equal values are folded. most: a
+    bound of values where a key has each but once and df is a table that may be read again: nothing is kept then."""
+    held = cut(df.groupBy(key, value).agg(F.count("*").alias("_n"))) if most is None else df.select(key, value, F.lit(1).alias("_n"))
+    width = max((held.agg(F.max(value)).first()[0] or 0) if most is None else most, 0) // BUCKETS + 1
     bucketed = held.withColumn("_b", F.floor(F.col(value) / width))
     upto = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)  # BUCKETS rows
     whole = Window.partitionBy(key)

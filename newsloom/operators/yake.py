@@ -11,6 +11,10 @@ All statistics are aggregations by term, by pair of neighbours and by phrase, so
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -32,6 +36,11 @@ def term_of(word: Column) -> Column:
     return F.when((F.length(low) > 3) & F.endswith(low, F.lit("s")), F.left(low, F.length(low) - 1)).otherwise(low)
 
 
+#: Words of letters alone: without capitals, and with one, their first, before others. Most are, and what they are needs
+#: no further look.
+PLAIN, CAPITAL = r"^[\p{L}&&[^\p{Lu}]]+$", r"^\p{Lu}[\p{L}&&[^\p{Lu}]]+$"
+
+
 def kind_of(word: Column, at: Column) -> Column:
     """d: a number; u: mixed with digits or signs; a: all capitals; n: a capital first, not first of its sentence; p: plain."""
     count = lambda pattern: F.length(word) - F.length(F.regexp_replace(word, pattern, ""))
@@ -43,8 +52,7 @@ def kind_of(word: Column, at: Column) -> Column:
 
 
 def is_stop(low: Column, term: Column, stop: list[str]) -> Column:
-    short = F.length(F.regexp_replace(term, r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]", "")) < 3
-    return low.isin(stop) | term.isin(stop) | short
+    return low.isin(stop) | term.isin(stop) | (F.length(F.regexp_replace(term, r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]", "")) < 3)
 
 
 def sentences_of(docs: DataFrame, doc: str, text: Column) -> tuple[DataFrame, int]:
@@ -63,20 +71,28 @@ def told(tokens: Column, stop: list[str]) -> Column:
     """low, term, kind and stop of each token; null of signs."""
 
     def of(word: Column, at: Column) -> Column:
-        low, term = F.lower(word), term_of(word)
-        return F.when(word.rlike(WORD), F.struct(low.alias("low"), term.alias("term"), kind_of(word, at).alias("kind"), is_stop(low, term, stop).alias("stop")))
+        def struct(kind: Column, stopped: Callable[[Column, Column], Column]) -> Column:
+            of_low = lambda low: T.let(term_of(low), lambda term: F.struct(low.alias("low"), term.alias("term"), kind.alias("kind"), stopped(low, term).alias("stop")))
+            return T.let(F.lower(word), of_low)
+
+        letters = lambda low, term: (F.length(term) < 3) | low.isin(stop) | term.isin(stop)
+        short = F.when(word.rlike(PLAIN), struct(F.lit("p"), letters)).when(word.rlike(CAPITAL), struct(F.when(at > 0, "n").otherwise("p"), letters))
+        return short.when(word.rlike(WORD), struct(kind_of(word, at), lambda low, term: is_stop(low, term, stop)))
 
     return F.transform(tokens, of)
 
 
 def terms(rows: DataFrame, sentences: int, edges: DataFrame) -> DataFrame:
     """(sentence, tokens) and neighbours() of them -> term, stop, tf and h, the weight of each term."""
-    each = rows.select("sentence", F.explode("tokens").alias("t")).where("t is not null").select("sentence", "t.*")
-    held = written(each.groupBy("term", "sentence").agg(F.count("*").alias("tf"), F.count_if(F.col("kind") == "a").alias("caps"), F.count_if(F.col("kind") == "n").alias("names"), F.max("stop").alias("stop")))
-    found = held.groupBy("term").agg(*(F.sum(c).alias(c) for c in ("tf", "caps", "names")), F.count("*").alias("spread"), F.max("stop").alias("stop"))
+    each = rows.select(F.explode("tokens").alias("t")).where("t is not null").select("t.*")
+    found = each.groupBy("term").agg(F.count("*").alias("tf"), F.count_if(F.col("kind") == "a").alias("caps"), F.count_if(F.col("kind") == "n").alias("names"), F.max("stop").alias("stop"))
+    # A sentence is one row, so its terms are told apart where they are. Stop words need no place.
+    own = F.array_distinct(F.transform(F.filter("tokens", lambda t: t.isNotNull() & ~t["stop"]), lambda t: t["term"]))
+    held = written(rows.select("sentence", own.alias("terms"))).select("sentence", F.explode("terms").alias("term"))
+    spread = held.groupBy("term").agg(F.count("*").alias("spread"))
     left = edges.groupBy(F.col("b").alias("term")).agg(F.count("*").alias("dl"), F.sum("n").alias("nl"))
     right = edges.groupBy(F.col("a").alias("term")).agg(F.count("*").alias("dr"), F.sum("n").alias("nr"))
-    found = cut(found.join(medians(held.where("not stop"), "term", "sentence"), "term", "left").join(left, "term", "left").join(right, "term", "left").fillna(0, ["dl", "nl", "dr", "nr"]))
+    found = cut(found.join(spread, "term", "left").join(medians(held, "term", "sentence", sentences - 1), "term", "left").join(left, "term", "left").join(right, "term", "left").fillna(0, ["spread", "dl", "nl", "dr", "nr"]))
     own = found.where("not stop").agg(F.max("tf").alias("most"), F.avg("tf").alias("mean"), F.stddev_pop("tf").alias("spread")).first()  # three numbers
     if own["most"] is None:
         return found.select("term", "stop", "tf", F.lit(None).cast("double").alias("h"))
@@ -94,15 +110,26 @@ def neighbours(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.transform(pairs, lambda p: F.struct(p["x"]["term"].alias("a"), p["y"]["term"].alias("b")))).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
 
 
-def phrases(rows: DataFrame, most: int) -> DataFrame:
-    """(phrase, tf, df): runs of up to most words. What goes through the shuffle is a phrase's words and two counts; its
-    terms and stop words follow from the words, see parts_of(). Documents are counted where they are, before it."""
+def phrases(rows: DataFrame, most: int, loose: int = 0) -> DataFrame:
+    """(phrase, tf, df): runs of up to most words, with loose stop words within at least. What goes through the shuffle is a
+    phrase's words and two counts; its terms and stop words follow from the words, see parts_of(). Documents are counted
+    where they are, before it."""
 
     def runs(tokens: Column) -> Column:
         size = F.size(tokens)
-        at = lambda i, k: F.slice(tokens, i + 1, F.lit(k))
-        of = lambda k: F.filter(F.transform(F.sequence(F.lit(0), F.greatest(size - k, F.lit(0))), lambda i: at(i, k)), lambda r: (F.size(r) == k) & F.forall(r, lambda t: t.isNotNull() & t["kind"].isin("a", "n", "p")) & ~F.get(r, F.lit(0))["stop"] & ~F.get(r, F.lit(k - 1))["stop"])
-        return F.transform(F.concat(*(of(k) for k in range(1, most + 1))), lambda r: F.array_join(F.transform(r, lambda t: t["low"]), " "))
+        stopped = lambda i, j: F.get(tokens, i + j)["stop"]
+        fit = lambda i, j: F.coalesce(F.get(tokens, i + j)["kind"].isin("a", "n", "p"), F.lit(False))
+
+        def of(k: int) -> Column:
+            def phrase(i: Column) -> Column:
+                ends = fit(i, 0) & ~stopped(i, 0) & fit(i, k - 1) & ~stopped(i, k - 1)
+                within = sum((F.coalesce(stopped(i, j).cast("int"), F.lit(0)) for j in range(1, k - 1)), F.lit(0)) >= loose
+                return reduce(Column.__and__, (fit(i, j) for j in range(1, k - 1)), ends & within)
+
+            at = F.filter(F.sequence(F.lit(0), F.greatest(size - k, F.lit(0))), phrase)
+            return F.transform(at, lambda i: F.concat_ws(" ", *(F.get(tokens, i + j)["low"] for j in range(k))))
+
+        return F.concat(*(of(k) for k in range(min(loose + 2, most) if loose else 1, most + 1)))
 
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     each = rows.where(F.size("tokens") > 0).repartition(tasks, "doc").select("doc", F.explode(T.let(F.col("tokens"), runs)).alias("phrase"))
@@ -114,18 +141,37 @@ def parts_of(phrase: Column, stop: list[str]) -> Column:
     return F.transform(F.split(phrase, " "), lambda low: F.struct(term_of(low).alias("term"), is_stop(low, term_of(low), stop).alias("stop")))
 
 
-def scored(docs: DataFrame, doc: str, text: Column, stop: list[str], most: int = WORDS) -> DataFrame:
-    """(phrase, tf, df, raw) of all phrases of the corpus, the best with the smallest raw score.
+@dataclass
+class Corpus:
+    """rows: (doc, sentence, tokens) as told(); edges: neighbours(); weights: terms()."""
 
-    Null texts and rows without a doc are left out; doc is a number and tells rows apart. Loose stop words within a phrase
-    may make its score negative, as the method has it; where the sum of weights is -1 there is none."""
+    rows: DataFrame
+    edges: DataFrame
+    weights: DataFrame
+
+
+def read(docs: DataFrame, doc: str, text: Column, stop: list[str]) -> Corpus:
+    """Null texts and rows without a doc are left out; doc is a number and tells rows apart."""
     rows, sentences = sentences_of(docs, doc, text)
     # As Parquet: the words of a corpus repeat, and take a fraction of a checkpoint's bytes there.
     rows = written(rows.select("doc", "sentence", told(F.col("tokens"), stop).alias("tokens")))
     edges = written(neighbours(rows))
-    weights = cut(terms(rows, sentences, edges))
+    return Corpus(rows, edges, cut(terms(rows, sentences, edges)))
+
+
+def scored(docs: DataFrame, doc: str, text: Column, stop: list[str], most: int = WORDS) -> DataFrame:
+    """(phrase, tf, df, raw) of all phrases of the corpus, the best with the smallest raw score."""
+    return scores(read(docs, doc, text, stop), stop, most)
+
+
+def scores(corpus: Corpus, stop: list[str], most: int = WORDS, loose: int = 0) -> DataFrame:
+    """scored(), of the phrases with loose stop words within at least.
+
+    Loose stop words within a phrase may make its score negative, as the method has it; where the sum of weights is -1
+    there is none."""
+    rows, edges, weights = corpus.rows, corpus.edges, corpus.weights
     # Phrases go by numbers until they are scored.
-    found = written(phrases(rows, most).withColumn("id", F.monotonically_increasing_id()))
+    found = written(phrases(rows, most, loose).withColumn("id", F.monotonically_increasing_id()))
     parts = found.select("id", parts_of(F.col("phrase"), stop).alias("parts")).select("id", F.posexplode("parts").alias("at", "p"), "parts").select("id", "at", "p.term", "p.stop", F.get("parts", F.col("at") - 1)["term"].alias("before"), F.get("parts", F.col("at") + 1)["term"].alias("after"))
     # Both sides of these joins have shuffles of their own, so that Spark splits a term that stands in most phrases.
     plain = parts.where("not stop").join(weights.select("term", "h"), "term").select("id", "at", "h", F.lit(None).cast("double").alias("tied"))
@@ -167,5 +213,10 @@ def folded(ranked: DataFrame, top: int = TOP, alike: float = ALIKE, block: int =
 def keyphrases(docs: DataFrame, doc: str, text: Column, stop: list[str], most: int = WORDS, top: int = TOP, alike: float = ALIKE) -> DataFrame:
     """(term, tf, df, score) of the best phrases: how often and in how many documents each stands, and its score,
     1 / (1 + raw), the better the larger."""
-    best = folded(cut(scored(docs, doc, text, stop, most)), top, alike)
+    corpus = read(docs, doc, text, stop)
+    # Weights are positive, and a stop word takes one at most from their sum, to which one is added: a score below 0 needs
+    # two of them. All these scores come before all others, so where they suffice, no other phrase is counted.
+    best = folded(cut(scores(corpus, stop, most, 2).where("raw < 0")), top, alike) if most > 3 else []
+    if len(best) < top:
+        best = folded(cut(scores(corpus, stop, most)), top, alike)
     return docs.sparkSession.createDataFrame([(r["phrase"], r["tf"], r["df"], 1 / (1 + r["raw"])) for r in best], "term string, tf long, df long, score double")

@@ -160,3 +160,40 @@ def test_parts_follow_from_a_phrase(spark):
     assert got.p == got.q and len(got.p) == 6
     rows = told.select(F.lit(1).alias("doc"), F.lit(0).alias("sentence"), F.col("t").alias("tokens"))
     assert yake.phrases(rows, 4).columns == ["phrase", "tf", "df"]
+
+
+def test_scores_below_zero_suffice_where_they_can(spark, monkeypatch):
+    """Phrases without two stop words within are counted only where those with two leave places open; same phrases."""
+    rng = random.Random(3)
+    names = ["oil", "Milk", "police", "Market", "sugar", "butter", "Honey", "flour"]
+    stops = ["of", "in", "a", "the", "and", "to", "it", "is", "on", "by", "at", "as", "be", "he", "an", "or", "if", "so", "we", "us"]
+    word, stop, rare = (lambda: rng.choice(names)), (lambda: rng.choice(stops)), (lambda: "".join(rng.choice("bcdfgklm") for _ in range(7)))
+    found = [" ".join(f"{rare()} {rare()} {word()} {stop()} {stop()} {word()} {rare()} {rare()} {word()}." for _ in range(5)) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(found)), "doc long, text string")
+    _, best = brute(found)
+    below = sum(r < 0 for _, r in best)
+    assert 2 < below < 70
+    asked, phrases = [], yake.phrases
+    monkeypatch.setattr(yake, "phrases", lambda rows, most, loose=0: asked.append(loose) or phrases(rows, most, loose))
+    for top, want in ((below, [2]), (below + 5, [2, 0])):
+        got = [(r.term, r.score) for r in yake.keyphrases(docs, "doc", F.col("text"), STOP, top=top).collect()]
+        assert [t for t, _ in got] == [n for n, _ in best[:top]] and asked == want
+        asked.clear()
+
+
+def test_words_of_letters_are_told_at_once(spark):
+    """As by counting letters, digits, signs and capitals."""
+    words = ["raid", "Raid", "RAID", "É", "é", "Ét", "ǅa", "aB", "aÉ", "x1", "12", "12.5", "don't", "Don't", "mid-day", "दूध", "और", "a_b", "_", "As", "It's", "oils", "Oil", "The", "²", "ß", "Straße", "İx", "-"]
+    got = spark.createDataFrame([(words,)], "w array<string>").select(yake.told(F.col("w"), STOP).alias("t"), F.transform("w", yake.kind_of).alias("k")).first()
+    whole = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.lower("w").alias("low"), yake.term_of(F.col("w")).alias("term"), yake.is_stop(F.lower("w"), yake.term_of(F.col("w")), STOP).alias("stop")).collect()
+    for token, kind_, r in zip(got.t, got.k, whole, strict=True):
+        assert token is None and r.w == "-" or (token.low, token.term, token.kind, token.stop) == (r.low, r.term, kind_, r.stop), r
+
+
+def test_medians_of_values_that_are_distinct(spark, monkeypatch):
+    """Nothing is kept for them."""
+    monkeypatch.setattr(running, "BUCKETS", 5)
+    rng = random.Random(2)
+    by = {f"k{k}": rng.sample(range(200), rng.randrange(1, 90)) for k in range(30)}
+    once = spark.createDataFrame([(k, v) for k, vs in by.items() for v in vs], "k string, v long")
+    assert {r.k: r.median for r in running.medians(once, "k", "v", 199).collect()} == {k: statistics.median(v) for k, v in by.items()}
